@@ -12,7 +12,8 @@ fewer words the whole sequence is one. Two documents link when
 3. The rest, rarest shingle first, give each node its prefix. Nodes with equal
    prefixes and sizes are one group.
 4. Groups meet in buckets (prefix shingle, size band). Pairs are not all emitted:
-   in a bucket one pivot is compared with every member of another component;
+   in a bucket one pivot (first the one with the fewest shingles of its own,
+   the likely original) is compared with every member of another component;
    components grow, buckets of a single component are done, and after ROUNDS
    pivots whatever cross-component pairs remain are all verified. So a group of
    copies costs its size, not its square, and no link between components is lost.
@@ -151,20 +152,23 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
     n = F.col("n")
     length = n - F.floor((n * percent + 99) / 100) + 1 - (n - F.size("s"))  # the prefix less those that nobody shares
     prefixes = tables.cut(shared.withColumn("k", length.cast("int")).filter("k > 0").select("node", "n", F.transform(F.slice("s", F.lit(1), F.col("k")), lambda x: x["h"]).alias("prefix")))
-    grouped = prefixes.withColumn("g", F.xxhash64("n", "prefix"))
-    groups = grouped.groupBy("g", "n").agg(F.min("node").alias("head"), F.first("prefix").alias("prefix"))
-    members = tables.cut(grouped.join(groups.select("g", F.col("n").alias("gn"), "head"), "g").filter("n = gn").select("node", "n", F.col("head").alias("grp")))
+    lone = n - F.floor((n * percent + 99) / 100) + 1 - F.size("prefix")  # shingles that stand before the prefix: nobody shares them
+    grouped = prefixes.withColumn("lone", lone).withColumn("g", F.xxhash64("n", "prefix"))
+    groups = grouped.groupBy("g", "n", "lone").agg(F.min("node").alias("head"), F.first("prefix").alias("prefix"))
+    members = tables.cut(grouped.join(groups.select("g", F.col("n").alias("gn"), "head"), "g").filter("n = gn").select("node", "n", "lone", F.col("head").alias("grp")))
     # partners' sizes differ by a factor of 100 / percent at most: they share a band or stand in neighbouring ones
     band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent + 1e-9)))
-    buckets = tables.cut(groups.select(F.col("head").alias("grp"), F.explode("prefix").alias("h"), band.alias("b")).select("grp", F.explode(F.array(F.xxhash64("h", "b"), F.xxhash64("h", F.col("b") + 1))).alias("bucket")).distinct())
+    tokens = groups.select(F.col("head").alias("grp"), n.alias("gn"), "lone", band.alias("b"), F.posexplode("prefix").alias("at", "h"))
+    rest = (F.col("gn") - F.col("lone") - F.col("at")).alias("rest")  # shingles from this one on
+    buckets = tables.cut(tokens.select("grp", "gn", rest, F.explode(F.array(F.xxhash64("h", "b"), F.xxhash64("h", F.col("b") + 1))).alias("bucket")))
     verified = _verify(members.filter("node <> grp").select(F.col("grp").alias("a"), F.col("node").alias("b")), sets, percent)
     edges = [tables.cut(verified)]
     comp = None
     for r in range(rounds + 1):
         comp = _components(edges, tables)
         now = members if comp is None else members.join(comp, "node", "left")
-        now = tables.cut(now.select("node", "n", "grp", (F.col("node") if comp is None else F.coalesce("component", "node")).alias("c")))
-        state = now.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("o"), "node", "n", "c")).alias("p"))
+        now = tables.cut(now.select("node", "n", "lone", "grp", (F.col("node") if comp is None else F.coalesce("component", "node")).alias("c")))
+        state = now.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(pivot_order(r).alias("o"), F.xxhash64("c", F.lit(r)).alias("x"), "node", "n", "c")).alias("p"))
         open_ = tables.cut(buckets.join(state, "grp").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("p").alias("p")).filter("lo < hi").select("bucket", "p"))
         if open_.isEmpty():
             break
@@ -173,8 +177,10 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
             met = inside.select("grp", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac")).distinct()
             pairs = met.join(now, "grp").filter("c <> ac").select("a", "an", F.col("node").alias("b"), F.col("n").alias("bn"))
         else:  # the remainder: every pair of members of different components
-            one = inside.select("bucket", F.col("grp").alias("g1"))
-            pair = one.join(inside.select("bucket", F.col("grp").alias("g2")), "bucket").filter("g1 <= g2").select("g1", "g2").distinct()
+            one = inside.select("bucket", F.col("grp").alias("g1"), F.col("gn").alias("n1"), F.col("rest").alias("r1"))
+            two = inside.select("bucket", F.col("grp").alias("g2"), F.col("gn").alias("n2"), F.col("rest").alias("r2"))
+            # from its first common shingle on, a pair has at least the overlap that its sizes ask for
+            pair = one.join(two, "bucket").filter(f"g1 <= g2 and {100 + percent} * least(r1, r2) >= {percent} * (n1 + n2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select("g1", "g2").distinct()
             x = now.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
             y = now.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
             pairs = pair.join(x, "g1").join(y, "g2").filter("ac <> bc").select("a", "an", "b", "bn")
@@ -185,6 +191,11 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
     return comp
 
 
+def pivot_order(r: int):
+    """First the node with the fewest shingles of its own, which others are copies of, then any component."""
+    return F.col("lone") / F.col("n") if r == 0 else F.lit(0.0)
+
+
 def _components(edges: list[DataFrame], tables: Tables) -> DataFrame | None:
     every = reduce(DataFrame.union, edges)
     return None if every.isEmpty() else components(every, tables)

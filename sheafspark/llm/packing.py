@@ -29,6 +29,8 @@ LENGTH, END_ID, OPEN_BINS, PACKER_PIECES = 4096, 1, 1024, 60_000
 #: Words whose ids a worker keeps at most (twice), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
 
+#: Marks that may end a word and are no letters, digits or apostrophes.
+TAIL = ".,!?;:*%&$#|"
 #: The tokenizer's own end mark.
 MARK = "<|endoftext|>"
 
@@ -44,27 +46,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.is_end = ends
         self.mark = self.tokenizer.token_to_id(MARK)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word; all go through the library as one text, the special end mark between them."""
-        odd = [w for w in words if "<|" in w]
-        out = {w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd}
-        words = [w for w in words if "<|" not in w] if odd else words
-        for at in range(0, len(words), 4000):
-            own = words[at : at + 4000]
-            ids = np.asarray(self.tokenizer.encode(MARK.join(own) + MARK, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
+        """Ids of each word. A run of plain letters is one match, so many go through the library as one text of blanks
+        between and end where a token ends a word; marks after it are a match of their own. Other words are encoded apart."""
+        out, split, cores, apart = {}, [], {}, {}
+        for w in words:
+            core = w.rstrip(TAIL)
+            if core and core.isalpha() and max(core) < "\u0130":
+                cores[core], tail = None, w[len(core) :]
+                if tail:
+                    apart[tail] = None
+                split.append((w, core, tail))
+            else:
+                apart[w] = None
+                split.append((w, w, ""))
+        todo = list(cores)
+        for at in range(0, len(todo), 4000):
+            own = todo[at : at + 4000]
+            ids = self._ids(" ".join(own))
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(own):
+                raise ValueError("the tokenizer file doesn't mark the ends of words")
             raw, a = ids.tobytes(), 0
+            for w, e in zip(own, ends.tolist(), strict=True):
+                cores[w] = raw[4 * a : 4 * e]
+                a = e
+        todo = [w for w in apart if "<|" not in w]
+        for w in apart:
+            if "<|" in w:
+                apart[w] = self._ids(w).tobytes()
+        for at in range(0, len(todo), 4000):
+            own = todo[at : at + 4000]
+            ids = self._ids(MARK.join(own) + MARK)
+            ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(own):
                 raise ValueError("the tokenizer file doesn't keep its end mark apart")
+            raw, a = ids.tobytes(), 0
             for w, e in zip(own, ends.tolist(), strict=True):
-                out[w] = raw[4 * a : 4 * e]
+                apart[w] = raw[4 * a : 4 * e]
                 a = e + 1
+        for w, core, tail in split:
+            out[w] = cores[core] + apart[tail] if tail else cores[core] if core in cores else apart[core]
         return out
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         young, old = self.young, self.old

@@ -27,7 +27,7 @@ from sheafspark.llm.common import Tables, map_arrow
 
 LENGTH, END_ID, OPEN_BINS, PACKER_PIECES = 4096, 1, 1024, 60_000
 #: Words whose ids a worker keeps at most (twice), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 #: Marks that may end a word and are no letters, digits or apostrophes.
 TAIL = ".,!?;:*%&$#|"
@@ -59,7 +59,7 @@ class Encoder:
         out, split, cores, apart = {}, [], {}, {}
         for w in words:
             core = w.rstrip(TAIL)
-            if core and core.isalpha() and max(core) < "\u0130":
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
                 cores[core], tail = None, w[len(core) :]
                 if tail:
                     apart[tail] = None
@@ -100,21 +100,34 @@ class Encoder:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        words: list[str] = []
+        ends = []
+        for t in texts:
+            words += self.lower(t).replace("\n", " ").split(" ")
+            ends.append(len(words))
         young, old = self.young, self.old
-        new = {w for ws in words for w in ws if w not in young}
+        got = list(map(young.get, words))
+        missing = [i for i, g in enumerate(got) if g is None]
+        new = dict.fromkeys([words[i] for i in missing])
         found = {w: old[w] for w in new if w in old}
         found |= self.encode_words([w for w in new if w not in found])
+        for i in missing:
+            got[i] = found[words[i]]
         if len(young) + len(found) > CACHE_WORDS:
-            kept = {w: young[w] for ws in words for w in ws if w in young}
-            self.old, self.young = young, kept
-            young = kept
-        young.update(found)
-        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
-        for w in found:
-            if len(w) > CACHE_CHARS:
-                del young[w]
-        return out
+            self.old, self.young = young, {}
+        self.young.update(found if max(map(len, found), default=0) <= CACHE_CHARS else {w: v for w, v in found.items() if len(w) <= CACHE_CHARS})
+        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
+
+    @staticmethod
+    def lower(text: str) -> str:
+        """text in lower case where every way to do that agrees (Latin-1); the tokenizer does it anyway, but the cache needs fewer words so."""
+        if "<|" in text:  # a special token's name in capitals is ordinary text
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
 
 def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:

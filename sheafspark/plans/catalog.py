@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from sheafspark.plans import documents, order, tables
+
+PARTS = (documents.register, tables.register, order.register)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.sql.items()}

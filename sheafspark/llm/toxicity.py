@@ -86,11 +86,14 @@ def association(toxic: np.ndarray, seen: np.ndarray, n_toxic: float, n: float) -
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
-    y = np.asarray(labels, np.float64)
+    return train_terms(*terms(pa.array(texts, pa.large_string())), np.asarray(labels, np.float64), seed)
+
+
+def train_terms(ids: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 3) -> Model:
+    """Trains on rows that are given by their terms, as terms() returns them."""
     if not len(y):
         raise ValueError("no labelled rows to learn from")
     rng = np.random.default_rng(seed)
-    ids, counts = terms(pa.array(texts, pa.large_string()))
     at = np.cumsum(counts) - counts
     held = np.arange(len(y)) % 5 == 0 if len(y) >= 100 else np.zeros(len(y), bool)
     use = np.flatnonzero(~held)
@@ -149,8 +152,20 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
 def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """Trains on a bounded sample of rows' labelled texts of TRAIN_CHARS at most."""
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & (F.coalesce(F.length("t"), F.lit(0)) <= TRAIN_CHARS))
-    got = bounded_sample(rows, "k", TRAIN_ROWS).toPandas().sort_values(["k", "y"])
-    return train(got["t"].tolist(), got["y"].tolist())
+    sample = bounded_sample(rows, "k", TRAIN_ROWS)
+
+    def make():
+        def step(part):
+            ids, counts = terms(part.column("_text"))
+            return {"k": part.column("k"), "y": part.column("y"), "ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(ids.astype(np.int32)))}
+
+        return step
+
+    # the terms are taken where the texts are; the driver gets their numbers alone
+    kinds = dict(sample.dtypes)
+    got = map_arrow(sample.withColumnRenamed("t", "_text"), make, f"k {kinds['k']}, y {kinds['y']}, ids array<int>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
+    own = got.column("ids").combine_chunks()
+    return train_terms(own.flatten().to_numpy().astype(np.int64), own.value_lengths().to_numpy().astype(np.int64), got.column("y").to_numpy().astype(np.float64))
 
 
 def predict(model: Model, texts: pa.Array) -> np.ndarray:

@@ -177,13 +177,19 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
             met = inside.select("grp", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac")).distinct()
             pairs = met.join(now, "grp").filter("c <> ac").select("a", "an", F.col("node").alias("b"), F.col("n").alias("bn"))
         else:  # the remainder: every pair of members of different components
-            one = inside.select("bucket", F.col("grp").alias("g1"), F.col("gn").alias("n1"), F.col("rest").alias("r1"))
-            two = inside.select("bucket", F.col("grp").alias("g2"), F.col("gn").alias("n2"), F.col("rest").alias("r2"))
+            # components are told apart before members are listed, so that a group's size isn't squared
+            kept = inside.join(state.select("grp", "lo", "hi"), "grp")
+            one = kept.select("bucket", F.col("grp").alias("g1"), F.col("gn").alias("n1"), F.col("rest").alias("r1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+            two = kept.select("bucket", F.col("grp").alias("g2"), F.col("gn").alias("n2"), F.col("rest").alias("r2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
             # from its first common shingle on, a pair has at least the overlap that its sizes ask for
-            pair = one.join(two, "bucket").filter(f"g1 <= g2 and {100 + percent} * least(r1, r2) >= {percent} * (n1 + n2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select("g1", "g2").distinct()
-            x = now.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-            y = now.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-            pairs = pair.join(x, "g1").join(y, "g2").filter("ac <> bc").select("a", "an", "b", "bn")
+            apart = f"g1 <= g2 and least(lo1, lo2) < greatest(hi1, hi2) and {100 + percent} * least(r1, r2) >= {percent} * (n1 + n2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+            pair = one.join(two, "bucket").filter(apart).select("g1", "g2").distinct()
+            kinds = now.select("grp", "c").distinct()
+            k1, k2 = (kinds.select(F.col("grp").alias(f"g{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
+            crossing = pair.join(k1, "g1").join(k2, "g2").filter("c1 <> c2 and (g1 < g2 or c1 < c2)")
+            x = now.select(F.col("grp").alias("g1"), F.col("c").alias("c1"), F.col("node").alias("a"), F.col("n").alias("an"))
+            y = now.select(F.col("grp").alias("g2"), F.col("c").alias("c2"), F.col("node").alias("b"), F.col("n").alias("bn"))
+            pairs = crossing.join(x, ["g1", "c1"]).join(y, ["g2", "c2"]).select("a", "an", "b", "bn")
         fit = pairs.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges.append(tables.cut(_verify(fit, sets, percent)))
         if r == rounds:

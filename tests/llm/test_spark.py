@@ -33,6 +33,38 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.join(none).count() == 0
 
 
+def test_jaccard_join_remainder(docs):
+    """A hot group of near copies, bridges between groups and strangers: with no pivot rounds the remainder finds what brute force does."""
+    base = [[f"{g}w{i}" for i in range(60)] for g in range(3)]
+    texts = [base[0][:40] + [f"x{k}"] + base[0][40:] for k in range(25)]  # one inner word differs
+    texts += [base[1] + [f"y{k}"] * (k % 7) for k in range(25)]  # tails of other lengths
+    texts += [base[2][k:] for k in range(0, 30, 3)]  # a chain: only neighbours link
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in enumerate(texts)}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    want = {(i, len(sets[i]), least[i]) for i in sets}
+    table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, jaccard_join.ROUNDS):
+        assert {tuple(r) for r in jaccard_join.join(table, rounds=rounds).collect()} == want
+
+
+def test_toxicity_fit(docs):
+    """The sample's terms come from the executors; the model is that of the plain function. Null and repeated rows are rows."""
+    rows = [(i, None if i % 10 == 3 else f"you {'awful' if i % 3 == 0 else 'pleasant'} neighbour {i}", int(i % 3 == 0)) for i in range(150)]
+    rows += rows[:5]
+    table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, toxic int")
+    rows.sort(key=lambda r: (r[0], r[2]))
+    a, b = toxicity.fit(table), toxicity.train([r[1] for r in rows], [r[2] for r in rows])
+    assert (a.weight == b.weight).all() and (a.factor == b.factor).all() and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+    with pytest.raises(ValueError):
+        toxicity.fit(table.filter("false"))
+
+
 def test_simhash(docs, none):
     def plain(t):
         w = " ".join((t or "").split(" ")).split(" ")

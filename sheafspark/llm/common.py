@@ -77,6 +77,19 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = CHUNK_BYTES) ->
         yield batch.slice(a, b - a)
 
 
+def runs(texts: list[str], most_chars: int = CHUNK_BYTES >> 2) -> Iterator[list[str]]:
+    """texts in lists of about ``most_chars`` characters, in order; a longer text is a list of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most_chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column's bytes as one array, and the offsets of its rows in it (one more than rows). Null is empty."""
     texts = pc.fill_null(texts, "")

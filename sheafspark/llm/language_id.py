@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix_sums, utf8
+from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix_sums, runs, slice_hash, utf8
 
 #: Labelled rows that training takes at most (about; never twice as many), and bytes of a row that it takes at most.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 60_000
@@ -46,8 +46,6 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Buckets of all subwords, and how many each row has; subwords don't cross rows, nor are they only spaces."""
     folded = _FOLD[data]
     sums = prefix_sums(folded)
-    from sheafspark.llm.common import slice_hash
-
     ids, rows = [], []
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     blank = np.concatenate([[0], np.cumsum(folded == 32)])
@@ -108,12 +106,13 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
             rows.append(" ".join(words[at : at + n]))
             y.append(names.index(lang))
     y = np.array(y)
-    ids, counts = subwords(*utf8(pa.array(rows)))
-    ends = np.cumsum(counts)
     per_row = []
-    for i in range(len(rows)):
-        got, n = np.unique(ids[ends[i] - counts[i] : ends[i]], return_counts=True)
-        per_row.append((got, (n / max(1, counts[i])).astype(np.float32)))
+    for part in runs(rows):  # all subwords at once would take a hundred bytes for each byte of text
+        ids, counts = subwords(*utf8(pa.array(part)))
+        for own in np.split(ids, np.cumsum(counts)[:-1]):
+            got, n = np.unique(own, return_counts=True)
+            per_row.append((got, (n / max(1, len(own))).astype(np.float32)))
+    counts = np.array([len(got) for got, _ in per_row])
     held = (np.arange(len(rows)) // 2) % 6 == 0 if len(rows) > 60 else np.zeros(len(rows), bool)
     use = np.flatnonzero(~held & (counts > 0))
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -147,7 +146,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
     """Fits the temperature by likelihood and the least score by REJECT_SHARE."""
     if not len(texts):
         return
-    x, _ = logits(model, pa.array(texts))
+    x = np.concatenate([logits(model, pa.array(part))[0] for part in runs(texts)])
     best = min(np.geomspace(0.02, 5, 60), key=lambda t: -np.log(np.maximum(softmax(x / t)[np.arange(len(y)), y], 1e-12)).sum())
     model.temperature = float(best)
     p = softmax(x / best).max(axis=1)

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix_sums, slice_hash, spans_of, utf8
+from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix_sums, runs, slice_hash, spans_of, utf8
 from sheafspark.llm.language_id import segment_sums
 
 #: Labelled rows that training takes at most (about; never twice as many), and characters of a row that it takes at most.
@@ -86,25 +87,33 @@ def association(toxic: np.ndarray, seen: np.ndarray, n_toxic: float, n: float) -
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
-    return train_terms(*terms(pa.array(texts, pa.large_string())), np.asarray(labels, np.float64), seed)
+    own = []
+    for part in runs([t or "" for t in texts]):
+        ids, counts = terms(pa.array(part, pa.large_string()))
+        own += [x.astype(np.int32) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return train_terms(own, np.asarray(labels, np.float64), seed)
 
 
-def train_terms(ids: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 3) -> Model:
-    """Trains on rows that are given by their terms, as terms() returns them."""
+def tally(rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows have each bucket; a few hundred rows are counted together."""
+    out = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(rows), 256):
+        out += np.bincount(np.concatenate(rows[at : at + 256]), minlength=BUCKETS)
+    return out
+
+
+def train_terms(own: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Model:
+    """Trains on rows that are given by the buckets of their distinct terms. Empties ``own``: the terms that don't take part go early."""
     if not len(y):
         raise ValueError("no labelled rows to learn from")
     rng = np.random.default_rng(seed)
-    at = np.cumsum(counts) - counts
     held = np.arange(len(y)) % 5 == 0 if len(y) >= 100 else np.zeros(len(y), bool)
     use = np.flatnonzero(~held)
-    own = [ids[at[i] : at[i] + counts[i]] for i in use]
-    toxic = np.bincount(np.concatenate([ids[:0], *(x for x, i in zip(own, use, strict=True) if y[i])]), minlength=BUCKETS)
-    seen = np.bincount(np.concatenate([ids[:0], *own]), minlength=BUCKETS)
+    toxic, seen = tally([own[i] for i in use if y[i]]), tally([own[i] for i in use])
     trusted = (seen >= min(LEAST_ROWS, max(1, len(use) // 50))) & (np.abs(association(toxic, seen, y[use].sum(), len(use))) >= LEAST_Z)
-    keep = trusted[ids]
-    counts = np.add.reduceat(np.append(keep, 0), np.append(at, len(keep)))[:-1] * (counts > 0) if len(keep) else counts
-    ids = ids[keep]
-    at = np.cumsum(counts) - counts
+    kept = [x[trusted[x]] for x in own]
+    own.clear()
+    counts = np.array([len(x) for x in kept])
     share = float(np.clip(y[use].mean(), 1e-3, 1 - 1e-3))
     bias, weight = float(np.log(share / (1 - share))), np.zeros(BUCKETS)
     factor = rng.normal(0, 0.01, (BUCKETS, FACTORS))
@@ -112,7 +121,7 @@ def train_terms(ids: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int =
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(use), max(1, len(use) // 128)):
             n = counts[part]
-            idx = np.concatenate([ids[at[i] : at[i] + counts[i]] for i in part]) if n.sum() else ids[:0]
+            idx = np.concatenate([kept[i] for i in part])
             score, total = raw_scores(bias, weight, factor, idx, n)
             err = sigmoid(score) - y[part]
             gb += (g := err.mean()) ** 2
@@ -135,7 +144,7 @@ def train_terms(ids: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int =
     model = Model(bias, weight.astype(np.float32), factor.astype(np.float32))
     # the bias again, now that the small weights are gone, then slope and offset on the rows held back
     rest = np.flatnonzero(held) if held.any() else use
-    x = raw_scores(bias, model.weight, model.factor, np.concatenate([ids[at[i] : at[i] + counts[i]] for i in rest]) if counts[rest].sum() else ids[:0], counts[rest])[0]
+    x = raw_scores(bias, model.weight, model.factor, np.concatenate([kept[i] for i in rest]), counts[rest])[0]
     if 0 < y[rest].sum() < len(rest):
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps of a logistic regression on one input
@@ -163,9 +172,19 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
 
     # the terms are taken where the texts are; the driver gets their numbers alone
     kinds = dict(sample.dtypes)
-    got = map_arrow(sample.withColumnRenamed("t", "_text"), make, f"k {kinds['k']}, y {kinds['y']}, ids array<int>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
-    own = got.column("ids").combine_chunks()
-    return train_terms(own.flatten().to_numpy().astype(np.int64), own.value_lengths().to_numpy().astype(np.int64), got.column("y").to_numpy().astype(np.float64))
+    got = map_arrow(sample.withColumnRenamed("t", "_text"), make, f"k {kinds['k']}, y {kinds['y']}, ids array<int>")
+    return train_terms(*collected(got))
+
+
+def collected(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows' terms as views of the collected batches, so that they are in memory once, and their labels, by k and y."""
+    got = sample.toArrow()
+    order = pc.sort_indices(got.select(["k", "y"]), [("k", "ascending"), ("y", "ascending")]).to_numpy()
+    own = []
+    for part in got.column("ids").chunks:
+        at, ids = part.offsets.to_numpy().tolist(), part.values.to_numpy()
+        own += [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+    return [own[i] for i in order.tolist()], got.column("y").to_numpy().astype(np.float64)[order]
 
 
 def predict(model: Model, texts: pa.Array) -> np.ndarray:

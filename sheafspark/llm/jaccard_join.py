@@ -17,7 +17,7 @@ fewer words the whole sequence is one. Two documents link when
    components grow, buckets of a single component are done, and after ROUNDS
    pivots whatever cross-component pairs remain are all verified. So a group of
    copies costs its size, not its square, and no link between components is lost.
-5. Components of the verified links by alternating stars.
+5. Components grow by alternating stars over the links between those that there are.
 
 Null, empty and wordless texts have size 0 and are components of their own.
 Repeated rows are documents like others. Hashes of 64 bits stand for shingles; in a
@@ -26,8 +26,6 @@ set of m distinct ones two meet with probability m^2 / 2^65.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -144,8 +142,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return of_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFrame | None:
-    """node and component of the nodes that link with another; None where none does."""
+def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFrame:
+    """node and component of the nodes that may link with another."""
     rows = sets.select("node", "n", F.explode("shingles").alias("h"))
     counted = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = rows.join(counted, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
@@ -161,13 +159,10 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
     tokens = groups.select(F.col("head").alias("grp"), n.alias("gn"), "lone", band.alias("b"), F.posexplode("prefix").alias("at", "h"))
     rest = (F.col("gn") - F.col("lone") - F.col("at")).alias("rest")  # shingles from this one on
     buckets = tables.cut(tokens.select("grp", "gn", rest, F.explode(F.array(F.xxhash64("h", "b"), F.xxhash64("h", F.col("b") + 1))).alias("bucket")))
-    verified = _verify(members.filter("node <> grp").select(F.col("grp").alias("a"), F.col("node").alias("b")), sets, percent)
-    edges = [tables.cut(verified)]
-    comp = None
+    # a group's verified members have its head's component: stars already
+    near = _verify(members.filter("node <> grp").select(F.col("grp").alias("a"), F.col("node").alias("b")), sets, percent)
+    now = tables.cut(members.join(near.select(F.col("b").alias("node"), F.col("a").alias("c")), "node", "left").select("node", "n", "lone", "grp", F.coalesce("c", "node").alias("c")))
     for r in range(rounds + 1):
-        comp = _components(edges, tables)
-        now = members if comp is None else members.join(comp, "node", "left")
-        now = tables.cut(now.select("node", "n", "lone", "grp", (F.col("node") if comp is None else F.coalesce("component", "node")).alias("c")))
         state = now.groupBy("grp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(pivot_order(r).alias("o"), F.xxhash64("c", F.lit(r)).alias("x"), "node", "n", "c")).alias("p"))
         open_ = tables.cut(buckets.join(state, "grp").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("p").alias("p")).filter("lo < hi").select("bucket", "p"))
         if open_.isEmpty():
@@ -175,7 +170,7 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
         inside = buckets.join(open_, "bucket")
         if r < rounds:
             met = inside.select("grp", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac")).distinct()
-            pairs = met.join(now, "grp").filter("c <> ac").select("a", "an", F.col("node").alias("b"), F.col("n").alias("bn"))
+            pairs = met.join(now, "grp").filter("c <> ac").select("a", "an", "ac", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
         else:  # the remainder: every pair of members of different components
             # components are told apart before members are listed, so that a group's size isn't squared
             kept = inside.join(state.select("grp", "lo", "hi"), "grp")
@@ -189,12 +184,15 @@ def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFr
             crossing = pair.join(k1, "g1").join(k2, "g2").filter("c1 <> c2 and (g1 < g2 or c1 < c2)")
             x = now.select(F.col("grp").alias("g1"), F.col("c").alias("c1"), F.col("node").alias("a"), F.col("n").alias("an"))
             y = now.select(F.col("grp").alias("g2"), F.col("c").alias("c2"), F.col("node").alias("b"), F.col("n").alias("bn"))
-            pairs = crossing.join(x, ["g1", "c1"]).join(y, ["g2", "c2"]).select("a", "an", "b", "bn")
-        fit = pairs.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges.append(tables.cut(_verify(fit, sets, percent)))
-        if r == rounds:
-            comp = _components(edges, tables)
-    return comp
+            pairs = crossing.join(x, ["g1", "c1"]).join(y, ["g2", "c2"]).select("a", "an", F.col("c1").alias("ac"), "b", "bn", F.col("c2").alias("bc"))
+        fit = pairs.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ac", "bc").alias("ac"), F.greatest("ac", "bc").alias("bc")).distinct()
+        # links between the components so far; what is inside one is settled
+        links = tables.cut(_verify(fit, sets, percent, "ac", "bc").select(F.col("ac").alias("a"), F.col("bc").alias("b")).distinct())
+        if not links.isEmpty():
+            found = components(links, tables).withColumnRenamed("node", "c")
+            last, now = now, tables.cut(now.join(found, "c", "left").select("node", "n", "lone", "grp", F.coalesce("component", "c").alias("c")))
+            tables.drop(last)
+    return now.select("node", F.col("c").alias("component"))
 
 
 def pivot_order(r: int):
@@ -202,14 +200,9 @@ def pivot_order(r: int):
     return F.col("lone") / F.col("n") if r == 0 else F.lit(0.0)
 
 
-def _components(edges: list[DataFrame], tables: Tables) -> DataFrame | None:
-    every = reduce(DataFrame.union, edges)
-    return None if every.isEmpty() else components(every, tables)
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link."""
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, *keep: str) -> DataFrame:
+    """Those of pairs (a, b) whose sets link, with the columns to keep."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("i", both).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").withColumn("i", both).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b", *keep)

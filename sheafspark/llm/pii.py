@@ -7,10 +7,11 @@ adds spans that the patterns miss, such as addresses written with "(at)" or
 numbers without a plus sign. It is trained in numpy on labelled spans that
 ``labelled_lines`` writes. It reads windows of WINDOW characters, half
 overlapping, around the characters that any span of its kinds must have (digits
-or an at sign); elsewhere no span can be, so nothing is skipped. Windows are
-decoded by Viterbi and reconciled over the whole text: a span cut by its
-window's edge yields to the neighbour that sees it whole, of overlapping spans
-the surest stays, base spans stay always, and what a kind's digits rule out goes.
+or an at sign). Connected windows are one stretch, with the mean of the windows'
+scores where they overlap, and it is decoded by Viterbi as one sequence; a
+stretch with a span at its edge grows until the span ends inside it or the text
+does, so no span depends on its place on the grid. Of overlapping spans the
+surest stays, base spans stay always, and what a kind's digits rule out goes.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
 """
@@ -219,26 +220,51 @@ def gradient(net: Network, ids: np.ndarray, tags: np.ndarray) -> dict[str, np.nd
     return g
 
 
-def decode(net: Network, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best tags [B, T] and each tag's probability (1 in windows without a span)."""
-    em, _ = emissions(net, ids)
+def live_rows(sizes: np.ndarray, t: int) -> np.ndarray:
+    """How many of the rows, longest first, have a character at each of t places."""
+    return np.searchsorted(-sizes, -np.arange(t), "left")
+
+
+def marginals(em, trans, first, sizes):
+    """Each tag's probability [T, B, TAGS]. Sums are brought to a maximum of 0 at each step, so that a long row's stay exact."""
+    t = len(em)
+    live = live_rows(sizes, t)
+    a, b = np.empty_like(em), np.zeros_like(em)
+    a[0] = em[0] + first
+    for i in range(1, t):
+        k = live[i]
+        x = em[i, :k] + _lse(a[i - 1, :k, :, None] + trans[None], 1)
+        a[i, :k] = x - x.max(1, keepdims=True)
+        a[i, k:] = 0
+    for i in range(t - 2, -1, -1):
+        k = live[i + 1]
+        x = _lse(trans[None] + (em[i + 1, :k] + b[i + 1, :k])[:, None, :], 2)
+        b[i, :k] = x - x.max(1, keepdims=True)
+    a += b
+    return np.exp(a - _lse(a, 2)[:, :, None])
+
+
+def decode(net: Network, em: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best tags [B, T] for scores em [T, B, TAGS], and each tag's probability (1 in rows without a span). sizes: the rows' lengths, longest first; beyond them tags are 0."""
     trans, first = net.p["trans"], net.p["first"]
     t, n = em.shape[:2]
-    score, back = em[0] + first, np.empty((t, n, TAGS), np.int8)
+    live = live_rows(sizes, t)
+    score, back = em[0] + first, np.zeros((t, n, TAGS), np.int8)
     for i in range(1, t):
-        s = score[:, :, None] + trans[None]
-        back[i] = s.argmax(1)
-        score = em[i] + s.max(1)
-    tags = np.empty((n, t), np.int64)
-    tags[:, -1] = score.argmax(1)
+        k = live[i]
+        s = score[:k, :, None] + trans[None]
+        back[i, :k] = s.argmax(1)
+        s = em[i, :k] + s.max(1)
+        score[:k] = s - s.max(1, keepdims=True)
+    tags = np.zeros((n, t), np.int64)
+    tags[np.arange(n), sizes - 1] = score.argmax(1)
     for i in range(t - 1, 0, -1):
-        tags[:, i - 1] = back[i][np.arange(n), tags[:, i]]
+        k = live[i]
+        tags[:k, i - 1] = back[i, np.arange(k), tags[:k, i]]
     sure = np.ones((n, t), np.float32)
     some = np.flatnonzero((tags > 0).any(1))  # only these are asked for
     if len(some):
-        em = np.ascontiguousarray(em[:, some])
-        a, b, z = crf_tables(em, trans, first)
-        prob = np.exp(a + b - z[None, :, None]).transpose(1, 0, 2)
+        prob = marginals(np.ascontiguousarray(em[:, some]), trans, first, sizes[some]).transpose(1, 0, 2)
         sure[some] = np.take_along_axis(prob, tags[some][:, :, None], 2)[:, :, 0]
     return tags, sure
 
@@ -319,6 +345,74 @@ def windows(text: str) -> list[int]:
     return sorted(found)
 
 
+def joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Starts and ends of the connected stretches of parts."""
+    out: list[tuple[int, int]] = []
+    for a, e in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
+
+
+def scores(net: Network, texts: list[str], jobs: list[tuple[int, int, int]], batch: int) -> list[np.ndarray]:
+    """Scores [characters, TAGS] of each (text, start, end), whose windows' scores are averaged where they overlap."""
+    out, total, coded = [], [], {}
+    places = [(j, a) for j, (_, start, end) in enumerate(jobs) for a in range(start, max(start + 1, end - WINDOW + 1), STRIDE)]
+    for i, start, end in jobs:
+        size = min(end, len(texts[i])) - start
+        out.append(np.zeros((size, TAGS), np.float32))
+        total.append(np.zeros((size, 1), np.float32))
+    for at in range(0, len(places), batch):
+        own = places[at : at + batch]
+        ids = np.full((len(own), WINDOW), PAD, np.int64)
+        for r, (j, a) in enumerate(own):
+            if j not in coded:
+                coded = {j: codes(texts[jobs[j][0]][jobs[j][1] : jobs[j][2]])}
+            c = coded[j][a - jobs[j][1] :][:WINDOW]
+            ids[r, : len(c)] = c
+        em, _ = emissions(net, ids)
+        for r, (j, a) in enumerate(own):
+            k = a - jobs[j][1]
+            n = len(out[j][k : k + WINDOW])
+            out[j][k : k + WINDOW] += em[:n, r]
+            total[j][k : k + WINDOW] += 1
+    return [x / n for x, n in zip(out, total, strict=True)]
+
+
+def stretch_spans(net: Network, texts: list[str], jobs: list[tuple[int, int, int]], batch: int) -> list[tuple[list[tuple[float, int, int, int]], bool, bool]]:
+    """Of each (text, start, end) the (sureness, kind, start, end) of all spans, and whether one stands at its start or at its end where the text goes on."""
+    out: list = [None] * len(jobs)
+    order = sorted(range(len(jobs)), key=lambda j: (jobs[j][1] - jobs[j][2], j))
+    while order:
+        part = order[: max(1, batch * WINDOW // (jobs[order[0]][2] - jobs[order[0]][1]))]
+        order = order[len(part) :]
+        got = scores(net, texts, [jobs[j] for j in part], batch)
+        rank = sorted(range(len(part)), key=lambda r: (-len(got[r]), r))
+        part, got = [part[r] for r in rank], [got[r] for r in rank]
+        sizes = np.array([len(x) for x in got])
+        em = np.zeros((sizes[0], len(part), TAGS), np.float32)
+        for r, x in enumerate(got):
+            em[: len(x), r] = x
+        tags, prob = decode(net, em, sizes)
+        some = (tags > 0).any(1)
+        for r, j in enumerate(part):
+            i, start, _ = jobs[j]
+            n, row, spans, k = int(sizes[r]), tags[r].tolist() if some[r] else [], [], 0
+            while k < len(row):
+                if row[k] == 0:
+                    k += 1
+                    continue
+                kind, e = (row[k] - 1) // 2, k + 1
+                while e < n and row[e] == 2 + 2 * kind:
+                    e += 1
+                spans.append((float(prob[r, k:e].min()), kind, start + k, start + e))
+                k = e
+            out[j] = spans, bool(row) and row[0] > 0 and start > 0, bool(row) and row[n - 1] > 0 and start + n < len(texts[i])
+    return out
+
+
 def plausible(kind: int, own: str) -> bool:
     """What a span of the kind must have, whatever the network says."""
     n = sum(c.isdigit() and c.isascii() for c in own)
@@ -351,35 +445,21 @@ def find_all(net: Network, texts: list[str | None], batch: int = 1024) -> list[t
     """Base spans and all spans of each text."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
-    jobs = [(i, a) for i, t in enumerate(texts) for a in windows(t)]
-    found: dict[int, list] = {}
-    coded: dict[int, np.ndarray] = {}
-    for at in range(0, len(jobs), batch):
-        own = jobs[at : at + batch]
-        ids = np.full((len(own), WINDOW), PAD, np.int64)
-        for r, (i, a) in enumerate(own):
-            if i not in coded:
-                coded = {i: codes(texts[i])}
-            c = coded[i][a : a + WINDOW]
-            ids[r, : len(c)] = c
-        tags, prob = decode(net, ids)
-        for r in np.flatnonzero((tags > 0).any(1)).tolist():
-            i, a = own[r]
-            size, k = len(texts[i]), 0
-            row = tags[r]
-            while k < WINDOW:
-                if row[k] == 0:
-                    k += 1
-                    continue
-                kind, e = (int(row[k]) - 1) // 2, k + 1
-                while e < WINDOW and row[e] == 2 + 2 * kind:
-                    e += 1
-                whole = (k > 0 or a == 0) and (e < WINDOW or a + WINDOW >= size) and a + e <= size
-                sure = float(prob[r, k:e].min())
-                if whole and sure >= LEAST_SURE and plausible(kind, texts[i][a + k : a + e]):
-                    found.setdefault(i, []).append((sure, kind, a + k, a + e))
-                k = e
-    return [(b, reconcile(t, b, found.get(i, []))) for i, (t, b) in enumerate(zip(texts, base, strict=True))]
+    done: list[dict] = [{} for _ in texts]
+    jobs = [(i, a, e) for i, t in enumerate(texts) for a, e in joined([(a, a + WINDOW) for a in windows(t)])]
+    while jobs:
+        wide: dict[int, list[tuple[int, int]]] = {}
+        for (i, a, e), (spans, at_start, at_end) in zip(jobs, stretch_spans(net, texts, jobs, batch), strict=True):
+            done[i][a, e] = spans
+            if at_start or at_end:  # twice as wide, so that a long span takes few rounds
+                wide.setdefault(i, []).append((max(0, a - (e - a) * at_start), e + (e - a) * at_end))
+        jobs = []
+        for i, own in wide.items():
+            now = joined([*done[i], *own])
+            jobs += [(i, a, e) for a, e in now if (a, e) not in done[i]]
+            done[i] = {x: done[i][x] for x in now if x in done[i]}
+    found = [[s for spans in own.values() for s in spans if s[0] >= LEAST_SURE and plausible(s[1], t[s[2] : s[3]])] for t, own in zip(texts, done, strict=True)]
+    return [(b, reconcile(t, b, f)) for t, b, f in zip(texts, base, found, strict=True)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

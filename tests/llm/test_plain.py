@@ -58,6 +58,24 @@ def test_base_spans():
     assert pii.mask("a 10.0.0.1 b", [(1, 2, 10)]) == "a <ip> b"
 
 
+def test_obfuscated_addresses_anywhere():
+    """Addresses of 20 to 120 characters are found at every place of the windows' grid, in one text or in many."""
+    net = pii.train()
+    texts, want = [], []
+    for user, host in (("ann.lee", "mail.org"), ("firstname.lastname", "mail.company.com"), ("given.second-third.family", "post.department.company.com"), ("a.long-given.name.and.a.long.family-name.of.one", "the.mail.server.of.some.large.department.in.a.company.org")):
+        for at in range(pii.STRIDE):
+            lead = ("the river and the old house " * 5)[: 63 + at] + " "
+            own = f"{user}(at){host}"
+            texts.append(f"{lead}{own} said the letter, and the garden was quiet all the morning")
+            want.append((0, len(lead), len(lead) + len(own)))
+    found = pii.find_all(net, texts)
+    assert [w for w, (_, spans) in zip(want, found, strict=True) if w not in spans] == []
+    assert pii.find_all(net, texts, batch=3) == found
+    whole = "\n".join(texts)
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    assert set(pii.find_all(net, [whole])[0][1]) >= {(k, a + s, b + s) for (k, a, b), s in zip(want, starts.tolist(), strict=False)}
+
+
 def test_packer_is_whole_and_tight():
     r = random.Random(5)
     sizes = [r.randint(1, 4096) for _ in range(4000)]

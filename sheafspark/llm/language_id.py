@@ -5,11 +5,14 @@ every character that isn't a letter is a space. A text's vector is the mean of
 its subwords' embeddings; a softmax over it names the language. Embeddings and
 weights are trained together by stochastic gradient descent in numpy, on whole
 texts and on short excerpts of them (so that short texts are known as well).
-Then one temperature is fitted on texts held back from training, and the score
-under which a text is rejected is set where at most REJECT_SHARE of those held
-back would go.
-
-Null, empty and letterless texts are "und" with score 0 and are rejected.
+Then one temperature is fitted on texts held back from training. A text is
+rejected whose score is under that of all but REJECT_SHARE of those held back, or
+of whose subwords too large a share was in no training text. That share is set
+between the held-back texts' and the one that they would have if their language
+had been left out of training, for the language that then stands out least.
+
+Null, empty and letterless texts are "und" with score 0 and are rejected, and so
+are texts without subwords, for which nothing speaks.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix
 TRAIN_ROWS, TRAIN_BYTES = 2000, 60_000
 BUCKETS, WIDTH, SUBWORDS = 1 << 15, 16, (3, 4)
 EPOCHS, RATE, REJECT_SHARE = 4, 4.0, 0.001
+#: Subwords that each text has besides its own when the unseen ones' share is taken (so that one new word doesn't speak against a short text), subwords from which on a text tells what a left-out language looks like, and the share of such texts under what their language counts with.
+EVEN, LONG, OUTSIDE_SHARE = 30, 60, 0.25
 UNKNOWN = "und"
 
 _FOLD = ASCII_LOWER.copy()
@@ -40,6 +45,8 @@ class Model:
     scores: np.ndarray  # of each bucket for each language: embeddings times weights
     temperature: float = 1.0
     least: float = 0.0
+    seen: np.ndarray | None = None  # of each bucket, whether a training text has it
+    most_unseen: float = 1.0
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +87,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def logits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of each language before the temperature, and whether a text has a letter."""
+    return evidence(model, texts)[:2]
+
+
+def evidence(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of each language before the temperature, whether a text has a letter, how many subwords it has and the share of them that is in no training text."""
     data, offsets = utf8(texts)
     ids, counts = subwords(data, offsets)
     out = segment_sums(model.scores[ids], counts) / np.maximum(counts, 1)[:, None]
@@ -87,7 +99,13 @@ def logits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     letter = (low[offsets[1:]] - low[offsets[:-1]]) > 0
     for i in np.flatnonzero(~letter):
         letter[i] = any(c.isalpha() for c in texts[i].as_py() or "")
-    return out, letter
+    unseen = segment_sums(~model.seen[ids], counts) / (counts + EVEN) if model.seen is not None else np.zeros(len(counts))
+    return out, letter, counts, unseen
+
+
+def unknown(model: Model, score: np.ndarray, letter: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """Whether a text is rejected."""
+    return ~letter | (counts == 0) | (score < model.least) | (unseen > model.most_unseen)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
@@ -137,20 +155,41 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
             weight -= rate * mean.T @ p
             bias -= rate * p.sum(axis=0)
             np.add.at(embed, idx, -rate * 20 * np.repeat(back, n, axis=0) * w[:, None])
-    model = Model(names, (embed @ weight + bias).astype(np.float32))
-    calibrate(model, [rows[i] for i in np.flatnonzero(held)], y[held])
+    by_lang = np.zeros((len(names), BUCKETS), bool)
+    for i in use:
+        by_lang[y[i], per_row[i][0]] = True
+    model = Model(names, (embed @ weight + bias).astype(np.float32), seen=by_lang.any(axis=0))
+    known = np.flatnonzero(held & (counts > 0))
+    calibrate(model, [rows[i] for i in known], y[known], by_lang)
     return model
 
 
-def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
-    """Fits the temperature by likelihood and the least score by REJECT_SHARE."""
+def calibrate(model: Model, texts: list[str], y: np.ndarray, by_lang: np.ndarray) -> None:
+    """Fits the temperature by likelihood, the least score by REJECT_SHARE and the most unseen subwords by it and by what texts of a language that is left out have."""
     if not len(texts):
         return
-    x = np.concatenate([logits(model, pa.array(part))[0] for part in runs(texts)])
+    got = [evidence(model, pa.array(part)) for part in runs(texts)]
+    x, counts, unseen = (np.concatenate([g[k] for g in got]) for k in (0, 2, 3))
     best = min(np.geomspace(0.02, 5, 60), key=lambda t: -np.log(np.maximum(softmax(x / t)[np.arange(len(y)), y], 1e-12)).sum())
     model.temperature = float(best)
     p = softmax(x / best).max(axis=1)
-    model.least = float(min(np.quantile(p, REJECT_SHARE), 1.5 / len(model.langs)))
+    model.least = float(np.quantile(p, REJECT_SHARE))
+    inside, outside, long = float(np.quantile(unseen, 1 - REJECT_SHARE)), left_out(texts, y, by_lang), counts >= LONG
+    least = min((float(np.quantile(outside[long & (y == k)], OUTSIDE_SHARE)) for k in np.unique(y[long])), default=0.0)
+    model.most_unseen = max(inside, (3 * inside + least) / 4)  # nearer to what must stay
+
+
+def left_out(texts: list[str], y: np.ndarray, by_lang: np.ndarray) -> np.ndarray:
+    """The share of each text's subwords that only training texts of its own language have, or none."""
+    out = np.zeros(len(texts))
+    for k in np.unique(y):
+        seen = np.delete(by_lang, k, axis=0).any(axis=0)
+        own, at = np.flatnonzero(y == k), 0
+        for part in runs([texts[i] for i in own]):
+            ids, counts = subwords(*utf8(pa.array(part)))
+            out[own[at : at + len(part)]] = segment_sums(~seen[ids], counts) / (counts + EVEN)
+            at += len(part)
+    return out
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -168,13 +207,13 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         m = shared.value
 
         def step(part):
-            x, letter = logits(m, part.column("_text"))
+            x, letter, counts, unseen = evidence(m, part.column("_text"))
             p = softmax(x / m.temperature)
             best, score = p.argmax(axis=1), np.where(letter, p.max(axis=1), 0.0)
             return {c: part.column(c) for c in keep} | {
                 "lang_pred": [m.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letter.tolist(), strict=True)],
                 "score": score,
-                "rejected": ~letter | (score < m.least),
+                "rejected": unknown(m, score, letter, counts, unseen),
             }
 
         return step

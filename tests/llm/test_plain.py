@@ -133,3 +133,22 @@ def test_language_and_toxicity():
     tox = toxicity.train([make(a) + (" idiot scum" if t else "") for t in y], list(map(int, y)))
     s = toxicity.predict(tox, pa.array(["the idiot thing scum", "the whole", "", None]))
     assert s[0] >= 0.3 > s[1] and s[2] == s[3] < 0.3
+
+
+def test_language_rejection():
+    """Texts of no language of the training are rejected, those of its languages stay, and held-out rows without subwords don't lower the threshold."""
+    r = random.Random(9)
+    parts = {"en": "the and ing wh ou st er ly tion are".split(), "de": "sch ung der ein ich ver keit lich au zu".split(), "fr": "eau les tre ment oui que elle ais ou la".split(), "es": "cion los ado que ar mente la os ie al".split()}
+    word = lambda lang: "".join(r.choice(parts[lang]) for _ in range(r.randint(1, 3)))
+    make = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    langs = [lang for lang in parts for _ in range(90 + 90 * (lang == "en"))]
+    texts = [make(lang, 60) if r.random() < 0.9 else "1 2 3." for lang in langs]
+    m = language_id.train(texts, langs)
+
+    def rejected(own):
+        x, letter, counts, unseen = language_id.evidence(m, pa.array(own))
+        return language_id.unknown(m, language_id.softmax(x / m.temperature).max(axis=1), letter, counts, unseen)
+
+    other = ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", "все люди рождаются свободными и равными в своем достоинстве", "人人生而自由在尊严和权利上一律平等", "xkq zvbt wrrgh plmk qqtz vbnm xcvz kjhg", "A.", "", "12"]
+    assert rejected(other).all()
+    assert rejected([make(lang, 60) for lang in parts for _ in range(100)]).mean() <= 0.01

@@ -30,6 +30,14 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(read_table(spark, sf_dir, "pages"), labeller())
 
 
+def near_queries(groups: DataFrame, corpus: DataFrame) -> DataFrame:
+    """fingerprint and near of corpus: the (query_id, distance) of all query fingerprints (columns fingerprint and query_group) within the radius, nearest first."""
+    found = simhash.near(groups, corpus).join(groups.withColumnRenamed("fingerprint", "query_fp"), "query_fp")
+    each = F.struct(F.col("distance").cast("int").alias("distance"), F.col("query_group").alias("query_id"))
+    near = found.groupBy(F.col("fp").alias("fingerprint")).agg(F.array_sort(F.collect_list(each)).alias("near"))
+    return near.select("fingerprint", F.transform("near", lambda x: F.struct(x["query_id"].alias("query_id"), x["distance"].alias("distance"))).alias("near"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = simhash.with_next(docs).withColumn("edited", simhash.edited(F.col("text"), F.col("next_text")))
@@ -38,13 +46,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prints.filter("v = 0").select("doc_id", "next_key", F.col("n").alias("n_chars"), "fingerprint")
     edit = prints.filter("v = 1").select("doc_id", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fp"))
     following = own.select(F.col("doc_id").alias("next_key"), F.col("fingerprint").alias("next_fp"))
-    found = simhash.near(own.filter("doc_id % 100 = 0"), own)
-    nearest = found.join(own.filter("doc_id % 100 = 0").groupBy(F.col("fingerprint").alias("query_fp")).agg(F.min("doc_id").alias("q")), "query_fp").groupBy(F.col("fp").alias("fingerprint")).agg(F.min(F.struct("distance", "q")).alias("hit"))
-    joined = own.join(edit, "doc_id").join(following, "next_key").join(nearest, "fingerprint", "left")
+    groups = own.filter("doc_id % 100 = 0").groupBy("fingerprint").agg(F.min("doc_id").alias("query_group"))
+    near = near_queries(groups, own)
+    joined = own.join(edit, "doc_id").join(following, "next_key").join(near, "fingerprint", "left")
+    others = F.filter("near", lambda x: x["query_id"] != F.col("doc_id"))  # nothing is near itself
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), simhash.hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fingerprint"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
-        F.col("hit.q").alias("near_query_id"), F.col("hit.distance").cast("int").alias("near_query_distance"),
+        F.when(F.expr("doc_id % 100 = 0"), F.filter("near", lambda x: x["distance"] == 0)[0]["query_id"]).alias("query_group"), F.coalesce(others, F.array().cast("array<struct<query_id:bigint,distance:int>>")).alias("near_queries"),
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sheafspark.llm import components, flac, jaccard_join, packing, sharding, simhash, toxicity
+from sheafspark.llm import components, flac, jaccard_join, packing, queries, sharding, simhash, toxicity
 from sheafspark.llm.common import Tables
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim".split()
@@ -91,6 +91,19 @@ def test_simhash(docs, none):
     assert near == {(a, b, d) for a in values for b in values if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3}
 
 
+def test_simhash_near_is_whole(spark, tmp_path):
+    """A query row names the other queries near it, copies share a group."""
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    texts = {0: words, 100: words[:9] + ["other"] + words[10:], 200: words, 300: words[::-1], 7: words, 8: words[:-1]}
+    spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {x.doc_id: x for x in queries.op2_simhash(spark, str(tmp_path)).collect()}
+    near = {i: {q.query_id: q.distance for q in x.near_queries} for i, x in rows.items()}
+    prints = {i: int(x.fingerprint, 16) for i, x in rows.items()}
+    assert {i: x.query_group for i, x in rows.items()} == {0: 0, 100: 100, 200: 0, 300: 300, 7: None, 8: None} and prints[0] != prints[100]
+    assert near == {i: {q: d for q in (0, 100, 300) if q != i and (d := (prints[i] ^ prints[q]).bit_count()) <= simhash.RADIUS} for i in texts}
+    assert near[200][0] == near[7][0] == 0
+
+
 def test_sharding(docs, none):
     rows = sharding.assign(docs).collect()
     assert len(rows) == len(ROWS)

@@ -31,8 +31,8 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_queries(groups: DataFrame, corpus: DataFrame) -> DataFrame:
-    """fingerprint and near of corpus: the (query_id, distance) of all query fingerprints (columns fingerprint and query_group) within the radius, nearest first."""
-    found = simhash.near(groups, corpus).join(groups.withColumnRenamed("fingerprint", "query_fp"), "query_fp")
+    """fingerprint and near of corpus: the (query_id, distance) of all query fingerprints (columns fingerprint and query_group) within NEAR_RADIUS, nearest first."""
+    found = simhash.near(groups, corpus, simhash.NEAR_RADIUS).join(groups.withColumnRenamed("fingerprint", "query_fp"), "query_fp")
     each = F.struct(F.col("distance").cast("int").alias("distance"), F.col("query_group").alias("query_id"))
     near = found.groupBy(F.col("fp").alias("fingerprint")).agg(F.array_sort(F.collect_list(each)).alias("near"))
     return near.select("fingerprint", F.transform("near", lambda x: F.struct(x["query_id"].alias("query_id"), x["distance"].alias("distance"))).alias("near"))

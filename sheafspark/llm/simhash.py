@@ -7,10 +7,13 @@ set where more than half of all weight voted for it. Votes are counted two bits
 to a long, so a row of the aggregation has 32 sums, and partial sums are made
 before anything is shuffled.
 
-near finds, for the fingerprints of a query set, all within RADIUS bits: the
-fingerprint is cut into BLOCKS blocks, of which a near one must share
-BLOCKS - RADIUS unchanged, so for each choice of so many blocks a permuted table
-holds those blocks as the key of an equi-join. Equal fingerprints are one row there.
+near finds, for the fingerprints of a query set, all within a radius: the
+fingerprint is cut into blocks, and a table for each holds that block as the key
+of an equi-join, which a query meets with its own block and with all that differ
+in a few bits. A pair that differs in more bits than that in every block differs
+in more than the radius, so none is lost. Equal fingerprints are one row there.
+The query takes NEAR_RADIUS, which holds 97 % of pairs of texts that share 0.80
+to 0.85 of their five-word shingles, and more of the closer ones.
 
 Null and empty texts have fingerprint 0. Words are runs without white space.
 """
@@ -22,7 +25,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RADIUS, BLOCKS, MOST_WEIGHT = 3, 5, 12
+RADIUS, BLOCKS, MOST_WEIGHT = 3, 4, 12
+NEAR_RADIUS = 10
 #: A long with its lowest bit and bit 32 set.
 LANES = (1 << 32) | 1
 WHITE = r"[\x20\x09-\x0D]+"
@@ -57,25 +61,41 @@ def likeness(a: Column, b: Column) -> Column:
     return (F.lit(64) - F.bit_count(a.bitwiseXOR(b))) / F.lit(64.0)
 
 
-def _blocks(fp: Column, blocks: int) -> list[Column]:
+def _blocks(blocks: int) -> list[tuple[int, int]]:
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _block(fp: Column, at: int, end: int) -> Column:
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << (end - at)) - 1))
 
 
 def near(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """query_fp, fp, distance: every pair of a query's and a corpus fingerprint (column fingerprint) at most radius bits apart, once."""
-    choices = list(combinations(range(blocks), blocks - radius))
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        fp = F.col(name)
-        cut = _blocks(fp, blocks)
-        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64(*[cut[j] for j in c]).alias("k")) for i, c in enumerate(choices)])
-        return df.select(name, F.explode(keys).alias("e")).select(name, F.col("e.t").alias("t"), F.col("e.k").alias("k"))
-
-    q = tables(queries.select(F.col("fingerprint").alias("query_fp")).distinct(), "query_fp")
-    c = tables(corpus.select(F.col("fingerprint").alias("fp")).distinct(), "fp")
-    distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp")))
-    return q.join(c, ["t", "k"]).filter(distance <= radius).select("query_fp", "fp", distance.alias("distance")).distinct()
+    # bits that may differ in each block: were there one more in each, the sum would be over the radius
+    cuts = [(at, end, (radius + 1) // blocks - 1 + (i < (radius + 1) % blocks)) for i, (at, end) in enumerate(_blocks(blocks))]
+    cuts = [(at, end, n) for at, end, n in cuts if n >= 0]
+
+    def keyed(df: DataFrame, name: str, keys: list[Column]) -> DataFrame:
+        """A row for each table and key: (table << 32) | block."""
+        own = df.select(F.col("fingerprint").alias(name)).distinct()
+        return own.select(name, F.posexplode(F.array(*keys)).alias("t", "k")).select(name, "t", F.explode("k").alias("k"))
+
+    def masks(at: int, end: int, n: int) -> Column:
+        return F.lit([sum(1 << b for b in c) for m in range(n + 1) for c in combinations(range(end - at), m)]).cast("array<long>")
+
+    def probes(i: int, at: int, end: int, n: int) -> Column:
+        own = _block(F.col("query_fp"), at, end)
+        return F.transform(masks(at, end, n), lambda m: own.bitwiseXOR(m) + F.lit(i << 32))
+
+    q = keyed(queries, "query_fp", [probes(i, *c) for i, c in enumerate(cuts)])
+    c = keyed(corpus, "fp", [F.array(_block(F.col("fp"), at, end) + F.lit(i << 32)) for i, (at, end, _) in enumerate(cuts)]).drop("t")
+    differ = F.col("query_fp").bitwiseXOR(F.col("fp"))
+    first = F.lit(True)  # a pair comes from the first table in which it meets
+    for i, (at, end, n) in enumerate(cuts[:-1]):
+        first &= (F.col("t") <= i) | (F.bit_count(_block(differ, at, end)) > n)
+    q, c = q.hint("merge").alias("q"), c.alias("c")  # a table is many times its fingerprints, by whose size a broadcast would be chosen
+    return q.join(c, (F.col("q.k") == F.col("c.k")) & (F.bit_count(differ) <= radius) & first).select("query_fp", "fp", F.bit_count(differ).alias("distance"))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = 2000, most_buckets: int = 20_000) -> DataFrame:

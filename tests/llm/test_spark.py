@@ -1,6 +1,7 @@
 """The operators on small tables: nulls, empty and repeated rows, clashing names, empty tables."""
 
 import hashlib
+import random
 import zlib
 
 import public_tokenizers
@@ -92,7 +93,14 @@ def test_simhash(docs, none):
 
 
 def test_simhash_near_is_whole(spark, tmp_path):
-    """A query row names the other queries near it, copies share a group."""
+    """All near pairs of a wide radius; a query row names the other queries near it, copies share a group."""
+    r = random.Random(6)
+    values = [r.getrandbits(64) for _ in range(30)]
+    values += [v ^ sum(1 << b for b in r.sample(range(64), n)) for v in values for n in range(1, 13)]
+    table = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fingerprint long")
+    for radius, blocks in ((10, 4), (10, 3), (3, 4), (3, 5), (0, 4)):
+        got = [(a % (1 << 64), b % (1 << 64), d) for a, b, d in simhash.near(table, table, radius, blocks).collect()]
+        assert sorted(got) == sorted((a, b, d) for a in set(values) for b in set(values) if (d := (a ^ b).bit_count()) <= radius)
     words = [f"{a}{b}" for a in WORDS for b in WORDS]
     texts = {0: words, 100: words[:9] + ["other"] + words[10:], 200: words, 300: words[::-1], 7: words, 8: words[:-1]}
     spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -100,8 +108,8 @@ def test_simhash_near_is_whole(spark, tmp_path):
     near = {i: {q.query_id: q.distance for q in x.near_queries} for i, x in rows.items()}
     prints = {i: int(x.fingerprint, 16) for i, x in rows.items()}
     assert {i: x.query_group for i, x in rows.items()} == {0: 0, 100: 100, 200: 0, 300: 300, 7: None, 8: None} and prints[0] != prints[100]
-    assert near == {i: {q: d for q in (0, 100, 300) if q != i and (d := (prints[i] ^ prints[q]).bit_count()) <= simhash.RADIUS} for i in texts}
-    assert near[200][0] == near[7][0] == 0
+    assert near == {i: {q: d for q in (0, 100, 300) if q != i and (d := (prints[i] ^ prints[q]).bit_count()) <= simhash.NEAR_RADIUS} for i in texts}
+    assert 100 in near[0] and near[200][0] == near[7][0] == 0
 
 
 def test_sharding(docs, none):

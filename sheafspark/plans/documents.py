@@ -189,8 +189,9 @@ def repeat_truncate(spark, d) -> DataFrame:
 def otsl_html(spark, d) -> DataFrame:
     from sheafspark.operators import texts
 
-    words = F.slice(F.split("text", " "), 1, 6)
-    source = F.concat(F.array_join(F.transform(words, lambda w, i: F.concat(F.when(i % 4 == 3, F.lit("<lcel>")).otherwise(F.concat(F.lit("<fcel>"), w)), F.when(i % 2 == 1, F.lit("<nl>")).otherwise(F.lit("")))), ""), F.lit("<nl>"))
+    # every third word has a row of its own, as wide as the two before it
+    cells = F.transform(F.split("text", " "), lambda w, i: F.concat(F.lit("<fcel>"), w, F.when(i % 3 == 2, F.lit("<lcel><nl>")).when(i % 3 == 1, F.lit("<nl>")).otherwise(F.lit(""))))
+    source = F.concat(F.array_join(cells, ""), F.lit("<nl>"))
     return texts.otsl_tables(table(spark, d, "conversations").select("conv_id", "turn", source.alias("otsl")), ["conv_id", "turn"], "otsl")
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Bytes from which on word_hash leaves a slice to a C function.
+LONG_SLICE = 256
 #: Bytes of text that one step of a vectorised operator looks at together.
 CHUNK_BYTES = 1 << 20
 
@@ -23,16 +30,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    """A folder of this process's own, for sessions whose driver and executors are one process; it goes with it."""
+    folder = tempfile.mkdtemp(prefix="sheafspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that all executors see: spark.checkpoint.dir; where that is unset, a folder in the warehouse, which is shared as well.
+
+    Only a session in a single process (master local) has a folder of the machine's own, made when it is first asked for.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.environ.setdefault("SHEAFSPARK_LOCAL_SHARED", tempfile.mkdtemp(prefix="sheafspark-"))
-    return found.rstrip("/")
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
+        found = _local_folder()
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sheafspark").rstrip("/")
 
 
 class Tables:
-    """Named tables in the shared folder; they cut lineage and outlive an executor."""
+    """Named tables in the shared folder; they cut lineage and outlive an executor.
+
+    A result may be read long after its operator returned, so what it reads stays; ``drop`` deletes what nothing reads
+    any more, ``close`` everything of this object.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/sheafspark-{uuid.uuid4().hex}"
@@ -49,19 +71,68 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._sheaf_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(t._sheaf_path)
+
+    def close(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one key from which on join_counted treats it apart.
+HOT_ROWS = 1 << 20
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined to small, which has one row a key and in ``count`` how many rows of big have it.
+
+    A key with more than hot_rows rows isn't dealt to a single task: the rows of such keys meet theirs by broadcast. There
+    are at most (rows of big) / hot_rows such keys, which is the size bound of what is broadcast. ``count`` is dropped.
+    """
+    hot = F.broadcast(small.filter(F.col(count) > hot_rows).drop(count))
+    rest = big.join(hot.select(key), key, "left_anti").join(small.filter(F.coalesce(F.col(count), F.lit(0)) <= hot_rows).drop(count), key, how)
+    return big.join(hot, key).unionByName(rest)
+
 
+#: Values of a sample's strata that get a share of their own at most.
+STRATA = 1000
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
-    """About ``rows`` rows of df, drawn by a hash of ``key``: the same rows each time, at most twice ``rows``."""
-    n = df.count()
-    if n <= rows:
+
+def sampled(df: DataFrame, key: list[str], rows: int, by: str | None = None, least: int = 0, seed: int = 11) -> DataFrame:
+    """About ``rows`` rows of df, drawn by a hash of ``key``: the same rows each time, however df is partitioned.
+
+    With ``by`` a value too rare to have about ``least`` rows in the sample is drawn with a greater share (the STRATA most
+    frequent of such values). Who collects the sample puts a limit after the step that makes rows small.
+    """
+    if by is None:
+        rare, n = [], df.count()
+        base = min(1.0, rows / max(1, n))
+    else:
+        counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+        n = counts.agg(F.sum("_n")).first()[0] or 0
+        base = min(1.0, rows / max(1, n))
+        rare = counts.filter(F.col("_n") * base < least).orderBy(F.desc("_n"), by).limit(STRATA).collect() if base < 1 else []
+    share = F.lit(base)
+    for r in rare:
+        share = F.when(F.col(by).eqNullSafe(F.lit(r[0])), F.lit(min(1.0, least / r[1]))).otherwise(share)
+    if base >= 1:
         return df
-    cut = int(rows / n * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < cut).limit(2 * rows)
+    draw = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.filter(draw < share)
+
+
+def fitted(rows: DataFrame, most: int, train: Callable[[list[pa.RecordBatch]], object]) -> object:
+    """What ``train`` makes of rows, a bounded sample of which at most ``most`` are taken: it runs in one task of an
+    executor, so the driver has the model alone and a lost executor's work is done again elsewhere."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(list(batches)))]}, schema=pa.schema([("model", pa.binary())]))
+
+    got = rows.limit(most).mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else train([])
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -159,6 +230,30 @@ def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int =
     return mix((sums[end] - sums[start]) * inverse[start] + np.uint64(salt * 2 + 1) * (end - start).astype(np.uint64))
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0x2545F4914F6CDD1D) -> np.ndarray:
+    """64-bit hashes of the slices start:end, eight bytes a step, each mixed with what came before under a key, so that no
+    arithmetic relation between two slices makes their hashes meet. Long slices are hashed in C, one by one."""
+    out = np.full(len(start), key, np.uint64) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if not len(start):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    long = size > LONG_SLICE
+    for i in np.flatnonzero(long).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "<u8")[0]
+    live = np.flatnonzero(~long)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        chunk = wide[start[live] + at]
+        cut = left < 8
+        chunk[cut] &= (np.uint64(1) << (left[cut] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] ^ chunk) + np.uint64(at + 1)
+        live, at = live[left > 8], at + 8
+    return mix(out)
+
+
 def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the maximal runs of True that don't cross a row's end."""
     n = len(member)

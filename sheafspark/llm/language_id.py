@@ -12,7 +12,12 @@ between the held-back texts' and the one that they would have if their language
 had been left out of training, for the language that then stands out least.
 
 Null, empty and letterless texts are "und" with score 0 and are rejected, and so
-are texts without subwords, for which nothing speaks.
+are texts without subwords, for which nothing speaks. Of languages with equal
+scores the first in alphabetical order is named. Without a labelled row there is
+no language: every text is "und" with score 0, and only those that would be
+rejected under any model are. An empty table gives an empty result, repeated rows
+are rows, whole texts count at any length, and columns beyond those named in
+``keep`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix_sums, runs, slice_hash, utf8
+from sheafspark.llm.common import ASCII_LOWER, CHUNK_BYTES, fitted, map_arrow, prefix_sums, runs, sampled, slice_hash, utf8
 
-#: Labelled rows that training takes at most (about; never twice as many), and bytes of a row that it takes at most.
-TRAIN_ROWS, TRAIN_BYTES = 2000, 60_000
+#: The bound of what training takes: labelled rows (about; never twice as many), rows of a rare language, and characters of a row.
+TRAIN_ROWS, RARE_ROWS, TRAIN_CHARS = 2000, 100, 60_000
 BUCKETS, WIDTH, SUBWORDS = 1 << 15, 16, (3, 4)
 EPOCHS, RATE, REJECT_SHARE = 4, 4.0, 0.001
 #: Subwords that each text has besides its own when the unseen ones' share is taken (so that one new word doesn't speak against a short text), subwords from which on a text tells what a left-out language looks like, and the share of such texts under what their language counts with.
@@ -49,8 +54,8 @@ class Model:
     most_unseen: float = 1.0
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords, and how many each row has; subwords don't cross rows, nor are they only spaces."""
+def subwords(data: np.ndarray, offsets: np.ndarray, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords (that begin before ``stop``), and how many each row has; subwords don't cross rows, nor are they only spaces."""
     folded = _FOLD[data]
     sums = prefix_sums(folded)
     ids, rows = [], []
@@ -59,8 +64,8 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for n in SUBWORDS:
         if len(folded) < n:
             continue
-        at = np.arange(len(folded) - n + 1)
-        ok = (row[: len(at)] == row[n - 1 :]) & (blank[n:] - blank[:-n] < n - 1)
+        at = np.arange(min(len(folded) - n + 1, len(folded) if stop is None else stop))
+        ok = (row[: len(at)] == row[n - 1 : n - 1 + len(at)]) & (blank[n : n + len(at)] - blank[: len(at)] < n - 1)
         at = at[ok]
         ids.append((slice_hash(sums, at, at + n, n) % np.uint64(BUCKETS)).astype(np.int32))
         rows.append(row[at])
@@ -81,6 +86,8 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
+    if not x.shape[1]:
+        return x
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
@@ -93,25 +100,31 @@ def logits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def evidence(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Log-odds of each language before the temperature, whether a text has a letter, how many subwords it has and the share of them that is in no training text."""
     data, offsets = utf8(texts)
-    ids, counts = subwords(data, offsets)
-    out = segment_sums(model.scores[ids], counts) / np.maximum(counts, 1)[:, None]
+    total, new, counts = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    whole = len(texts) > 1 or len(data) <= 2 * CHUNK_BYTES
+    for a in range(0, 1 if whole else len(data), CHUNK_BYTES):  # a text that is very long is read in parts, a subword in that where it begins
+        own = data if whole else data[a : a + CHUNK_BYTES + max(SUBWORDS) - 1]
+        ids, n = subwords(own, offsets if whole else np.array([0, len(own)]), None if whole else CHUNK_BYTES)
+        total += segment_sums(model.scores[ids], n)
+        new += segment_sums(~model.seen[ids], n) if model.seen is not None else 0
+        counts += n
+    out = total / np.maximum(counts, 1)[:, None]
     low = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 128))])
     letter = (low[offsets[1:]] - low[offsets[:-1]]) > 0
     for i in np.flatnonzero(~letter):
         letter[i] = any(c.isalpha() for c in texts[i].as_py() or "")
-    unseen = segment_sums(~model.seen[ids], counts) / (counts + EVEN) if model.seen is not None else np.zeros(len(counts))
-    return out, letter, counts, unseen
+    return out, letter, counts, new / (counts + EVEN)
 
 
 def unknown(model: Model, score: np.ndarray, letter: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> np.ndarray:
     """Whether a text is rejected."""
-    return ~letter | (counts == 0) | (score < model.least) | (unseen > model.most_unseen)
+    return ~letter | (counts == 0) | ((score < model.least) | (unseen > model.most_unseen) if model.langs else False)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
     names = sorted(set(langs))
     if not names:
-        raise ValueError("no labelled rows to learn from")
+        return Model([], np.zeros((BUCKETS, 0), np.float32))
     rng = np.random.default_rng(seed)
     rows, y = [], []
     for t, lang in zip(texts, langs, strict=True):
@@ -193,10 +206,14 @@ def left_out(texts: list[str], y: np.ndarray, by_lang: np.ndarray) -> np.ndarray
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Trains on a bounded sample of docs' rows that have a language and a text of TRAIN_BYTES at most."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= TRAIN_BYTES))
-    got = bounded_sample(rows, "k", TRAIN_ROWS).toPandas().sort_values(["k", "t"])
-    return train(got["t"].tolist(), got["l"].tolist())
+    """Trains on a bounded sample (TRAIN_ROWS, RARE_ROWS, TRAIN_CHARS) of docs' rows that have a language and a text."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= TRAIN_CHARS))
+
+    def learn(batches):
+        got = pa.Table.from_batches(batches).sort_by([("k", "ascending"), ("t", "ascending"), ("l", "ascending")]) if batches else None
+        return train(got["t"].to_pylist(), got["l"].to_pylist()) if got else train([], [])
+
+    return fitted(sampled(rows, ["k", "t"], TRAIN_ROWS, "l", RARE_ROWS), 2 * TRAIN_ROWS, learn)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -209,9 +226,10 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         def step(part):
             x, letter, counts, unseen = evidence(m, part.column("_text"))
             p = softmax(x / m.temperature)
-            best, score = p.argmax(axis=1), np.where(letter, p.max(axis=1), 0.0)
+            named = letter & bool(m.langs)
+            best, score = p.argmax(axis=1) if m.langs else np.zeros(len(p), int), np.where(named, p.max(axis=1, initial=0), 0.0)
             return {c: part.column(c) for c in keep} | {
-                "lang_pred": [m.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letter.tolist(), strict=True)],
+                "lang_pred": [m.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), named.tolist(), strict=True)],
                 "score": score,
                 "rejected": unknown(m, score, letter, counts, unseen),
             }

@@ -4,14 +4,18 @@ A text's terms are its distinct words and the beginnings of four to six bytes of
 longer words, hashed into buckets; the score is the sigmoid of a bias, a weight for each
 term and the product of two terms' factors for each pair, which sees that an
 insult stands with the mention of a group where neither says enough alone.
-Bias, weights and factors are trained in numpy by AdaGrad. Only terms whose rows
-differ in toxicity from the rest by more than chance take part, and weights
-with hardly any say are dropped, so that a long text's many neutral terms don't
-add up, and a slope and an offset are fitted on rows
-held back from training, so that scores are probabilities.
+Bias, weights and factors are trained in numpy by AdaGrad. Only terms take part
+whose rows differ in toxicity from the rest by more than chance, or that stand in
+a pair whose rows do, more than either term's alone (``pair_terms``). Weights with
+hardly any say are dropped, and by their own length factors with hardly any, so
+that a long text's many neutral terms don't add up. A slope and an offset are
+fitted on rows held back from training, so that scores are probabilities.
 
 Null and empty texts have no terms: their score is what the bias says, below the
-threshold unless most of the labelled texts are toxic.
+threshold unless most of the labelled texts are toxic. Without a labelled row
+every score is 0. An empty table gives an empty result, repeated rows are rows,
+whole texts count at any length, equal texts have equal scores, and columns beyond
+those named in ``keep`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,18 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.llm.common import ASCII_LOWER, bounded_sample, map_arrow, prefix_sums, runs, slice_hash, spans_of, utf8
+from sheafspark.llm.common import ASCII_LOWER, CHUNK_BYTES, fitted, map_arrow, prefix_sums, runs, sampled, slice_hash, spans_of, utf8
 from sheafspark.llm.language_id import segment_sums
 
-#: Labelled rows that training takes at most (about; never twice as many), and characters of a row that it takes at most.
+#: The bound of what training takes: labelled rows (about; never twice as many) and characters of a row.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000
 BUCKETS, FACTORS, EPOCHS, RATE, DECAY = 1 << 18, 4, 6, 0.3, 0.02
-#: Training rows a term needs, how far its share of toxic rows must lie from the others' (standard deviations), and the least weight that stays.
-LEAST_ROWS, LEAST_Z, LEAST_WEIGHT = 4, 4.0, 0.1
+#: Training rows a term needs, how far its share of toxic rows must lie from the others' (standard deviations), and the least weight and length of factors that stay.
+LEAST_ROWS, LEAST_Z, LEAST_WEIGHT, LEAST_FACTOR = 4, 4.0, 0.1, 0.1
+#: Of pairs: the terms that are looked at (the most frequent that stand alone for nothing), the rows a pair needs, and how far its share of toxic rows must lie from the others' and from what the two terms' shares say.
+PAIR_TERMS, PAIR_ROWS, PAIR_Z = 2048, 20, 8.0
 BEGINNINGS, THRESHOLD = (4, 5, 6), 0.3
 
 _WORD = np.zeros(256, bool)
@@ -54,15 +59,37 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(rows, np.int64)
     data = ASCII_LOWER[data]
+    member = _WORD[data]
+    if rows == 1:  # a very long text is read in parts that end between words
+        both = np.unique(np.concatenate([_codes(data[a:b], member[a:b], np.array([0, b - a])) for a, b in _parts(member)]))
+    else:
+        both = np.unique(_codes(data, member, offsets))
+    return both % BUCKETS, np.bincount(both // BUCKETS, minlength=rows)
+
+
+def _parts(member: np.ndarray, size: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """Stretches of about ``size`` bytes that don't end in a word."""
+    cuts, at = [0], size
+    while at < len(member):
+        step = np.flatnonzero(~member[at : at + size])
+        if len(step):
+            cuts.append(at + int(step[0]))
+            at = cuts[-1] + size
+        else:
+            at += size
+    return list(zip(cuts, [*cuts[1:], len(member)], strict=True))
+
+
+def _codes(data: np.ndarray, member: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """row * BUCKETS + bucket of each term."""
     sums = prefix_sums(data)
-    start, end, row = spans_of(_WORD[data], offsets)
+    start, end, row = spans_of(member, offsets)
     code, of = [slice_hash(sums, start, end, 1)], [row]
     for n in BEGINNINGS:
         long = end - start > n
         code.append(slice_hash(sums, start[long], start[long] + n, n))
         of.append(row[long])
-    both = np.unique(np.concatenate(of) * BUCKETS + (np.concatenate(code) % np.uint64(BUCKETS)).astype(np.int64))
-    return both % BUCKETS, np.bincount(both // BUCKETS, minlength=rows)
+    return np.concatenate(of) * BUCKETS + (np.concatenate(code) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def raw_scores(bias, weight, factor, ids, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +129,57 @@ def tally(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def pair_terms(own: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Buckets of terms that stand in a pair whose rows' share of toxic ones is not what the terms' own shares and chance explain.
+
+    The PAIR_TERMS most frequent buckets of fewer than 19 in 20 rows are looked at; their pairs are counted by products of
+    0/1 matrices, a thousand rows at a time. A pair is taken whose toxic rows differ by PAIR_Z standard deviations from the
+    number that every row's expectation gives: the rest's share, moved by what each of the two terms moves it alone.
+    """
+    n, t = len(own), float(y.sum())
+    found = np.zeros(BUCKETS, bool)
+    if not t or t == n:
+        return found
+    able = (seen >= PAIR_ROWS) & (seen < 0.95 * n)
+    top = np.argsort(np.where(able, -seen, 1), kind="stable")[:PAIR_TERMS]
+    top = top[able[top]]
+    if len(top) < 2:
+        return found
+    place = np.full(BUCKETS, -1, np.int32)
+    place[top] = np.arange(len(top))
+    both, bad = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
+    for at in range(0, n, 1000):
+        x = np.zeros((min(1000, n - at), len(top)), np.float32)
+        for r, ids in enumerate(own[at : at + 1000]):
+            k = place[ids]
+            x[r, k[k >= 0]] = 1
+        both += x.T @ x
+        marked = x[y[at : at + 1000] > 0]
+        bad += marked.T @ marked
+    base = t / n
+    logit = lambda p: np.log(p / (1 - p))
+    alone = logit((toxic[top] + base) / (seen[top] + 1)) - logit(base)
+    expect = sigmoid(logit(base) + alone[:, None] + alone[None, :])
+    z = (bad - both * expect) / np.sqrt(np.maximum(both * expect * (1 - expect), 0.5))
+    plain = (bad - both * base) / np.sqrt(np.maximum(both * base * (1 - base), 0.5))
+    odd = (np.abs(z) >= PAIR_Z) & (np.abs(plain) >= PAIR_Z) & (both >= PAIR_ROWS)
+    # a term that always stands with another says nothing that the other doesn't
+    odd &= both < 0.9 * np.minimum(seen[top][:, None], seen[top][None, :])
+    np.fill_diagonal(odd, False)
+    found[top[odd.any(1)]] = True
+    return found
+
+
 def train_terms(own: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Model:
     """Trains on rows that are given by the buckets of their distinct terms. Empties ``own``: the terms that don't take part go early."""
     if not len(y):
-        raise ValueError("no labelled rows to learn from")
+        return Model(-np.inf, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 0 if len(y) >= 100 else np.zeros(len(y), bool)
     use = np.flatnonzero(~held)
     toxic, seen = tally([own[i] for i in use if y[i]]), tally([own[i] for i in use])
     trusted = (seen >= min(LEAST_ROWS, max(1, len(use) // 50))) & (np.abs(association(toxic, seen, y[use].sum(), len(use))) >= LEAST_Z)
+    trusted |= pair_terms([own[i] for i in use], y[use], seen, toxic)
     kept = [x[trusted[x]] for x in own]
     own.clear()
     counts = np.array([len(x) for x in kept])
@@ -138,9 +207,8 @@ def train_terms(own: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Model:
             gv[term] += v * v
             weight[term] -= RATE * w / np.sqrt(gw[term])
             factor[term] -= 0.3 * RATE * v / np.sqrt(gv[term])
-    say = np.abs(weight)
-    weight[(say < LEAST_WEIGHT) | ~trusted] = 0
-    factor[(say < LEAST_WEIGHT) | ~trusted] = 0
+    weight[(np.abs(weight) < LEAST_WEIGHT) | ~trusted] = 0
+    factor[(np.sqrt((factor * factor).sum(1)) < LEAST_FACTOR) | ~trusted] = 0
     model = Model(bias, weight.astype(np.float32), factor.astype(np.float32))
     # the bias again, now that the small weights are gone, then slope and offset on the rows held back
     rest = np.flatnonzero(held) if held.any() else use
@@ -159,9 +227,9 @@ def train_terms(own: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Model:
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
-    """Trains on a bounded sample of rows' labelled texts of TRAIN_CHARS at most."""
+    """Trains on a bounded sample (TRAIN_ROWS, TRAIN_CHARS) of rows' labelled texts."""
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & (F.coalesce(F.length("t"), F.lit(0)) <= TRAIN_CHARS))
-    sample = bounded_sample(rows, "k", TRAIN_ROWS)
+    sample = sampled(rows, ["k", "t"], TRAIN_ROWS)
 
     def make():
         def step(part):
@@ -170,24 +238,29 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
 
         return step
 
-    # the terms are taken where the texts are; the driver gets their numbers alone
+    # terms are taken where the texts are; what one task gathers are their numbers
     kinds = dict(sample.dtypes)
     got = map_arrow(sample.withColumnRenamed("t", "_text"), make, f"k {kinds['k']}, y {kinds['y']}, ids array<int>")
-    return train_terms(*collected(got))
+    return fitted(got, 2 * TRAIN_ROWS, lambda batches: train_terms(*gathered(batches)))
 
 
-def collected(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """The rows' terms as views of the collected batches, so that they are in memory once, and their labels, by k and y."""
-    got = sample.toArrow()
-    order = pc.sort_indices(got.select(["k", "y"]), [("k", "ascending"), ("y", "ascending")]).to_numpy()
+def gathered(batches: list[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows' terms, as views of the batches, and their labels, by k, y and terms."""
+    if not batches:
+        return [], np.zeros(0)
+    got = pa.Table.from_batches(batches)
     own = []
     for part in got.column("ids").chunks:
         at, ids = part.offsets.to_numpy().tolist(), part.values.to_numpy()
         own += [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-    return [own[i] for i in order.tolist()], got.column("y").to_numpy().astype(np.float64)[order]
+    k, y = got.column("k").to_pylist(), got.column("y").to_numpy().astype(np.float64)
+    order = sorted(range(len(own)), key=lambda i: (k[i] is None, k[i], y[i], len(own[i])))
+    return [own[i] for i in order], y[order]
 
 
 def predict(model: Model, texts: pa.Array) -> np.ndarray:
+    if model.bias == -np.inf:  # nothing was learnt
+        return np.zeros(len(texts))
     x, _ = raw_scores(model.bias, model.weight, model.factor, *terms(texts))
     return sigmoid(model.slope * x + model.offset)
 

@@ -20,8 +20,19 @@ fewer words the whole sequence is one. Two documents link when
 5. Components grow by alternating stars over the links between those that there are.
 
 Null, empty and wordless texts have size 0 and are components of their own.
-Repeated rows are documents like others. Hashes of 64 bits stand for shingles; in a
-set of m distinct ones two meet with probability m^2 / 2^65.
+Repeated rows are documents like others. A row without a key links like others and is
+never the smallest of its component: alone, or among such rows only, its component is
+null. An empty table gives an empty result; columns beyond key and text are not read,
+whatever their names; whole texts count at any length. There are no ties: a component
+is named by its smallest key. Hashes of 64 bits stand for shingles; words are hashed
+eight bytes a step under a key, and in a set of m distinct shingles two meet with
+probability about m^2 / 2^65.
+
+Keys that hold very many rows (a text of which a third of all rows are copies, a
+component of as many nodes, a shingle that most nodes have) are joined by
+``join_counted``, which doesn't deal them to one task. In the remainder (step 4) a bucket
+of k groups can ask for k^2 / 2 pairs of groups, less those that sizes, places and
+settled components rule out; that is what prefix filtering itself can't decide.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.llm.common import ASCII_LOWER, Tables, map_arrow, mix, prefix_sums, slice_hash, spans_of, utf8
+from sheafspark.llm.common import ASCII_LOWER, Tables, join_counted, map_arrow, mix, spans_of, utf8, word_hash
 from sheafspark.llm.components import components
 
 WORDS, PERCENT, ROUNDS = 5, 80, 4
@@ -51,7 +62,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
         return [np.zeros(0, np.int64)] * rows
     data = ASCII_LOWER[data]
     start, end, row = spans_of(_WORD[data], offsets)
-    h = slice_hash(prefix_sums(data), start, end)
+    h = word_hash(data, start, end)
     counts = np.bincount(row, minlength=rows)
     first = np.cumsum(counts) - counts
     full = np.zeros(max(0, len(h) - words + 1), np.uint64)
@@ -99,6 +110,7 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
             cut = [s if whole else s[: lowest(len(s), percent)] for s in own]
             return {
                 "doc_id": part.column("doc_id"),
+                "text_hash": part.column("text_hash"),
                 "n": [len(s) for s in own],
                 "node": [signature(s) if len(s) else None for s in own],
                 "shingles": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cut)]), pa.int32()), pa.array(np.concatenate(cut))),
@@ -106,15 +118,15 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
 
         return step
 
-    return map_arrow(docs, make, "doc_id long, n long, node long, shingles array<long>")
+    return map_arrow(docs, make, "doc_id long, text_hash long, n long, node long, shingles array<long>")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS, detail: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs; with ``detail`` also text_hash (xxhash64 of its text) and component, which names its component even where keys are null or repeated (null where it has no words)."""
     tables = Tables(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     low = tables.cut(_sets(docs, words, percent, False))
-    of_doc = low.select("doc_id", "n", "node")
+    of_doc = low.select("doc_id", "text_hash", "n", "node")
     # 2. nodes with enough shared shingles
     seen = low.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     alone = seen.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("alone"))
@@ -128,25 +140,45 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     count = alive.count()
     if count:
         small = count * 8 <= BROADCAST_BYTES
-        chosen = docs.join(F.broadcast(alive) if small else alive, "doc_id", "left_semi")
+        alive = alive.withColumnRenamed("doc_id", "_alive")
+        chosen = docs.join(F.broadcast(alive) if small else alive, F.col("doc_id").eqNullSafe(F.col("_alive")), "left_semi")
         sets = tables.cut(_sets(chosen, words, percent, True).filter("n > 0").dropDuplicates(["node"]).select("node", "n", "shingles"))
         links = _links(sets, tables, percent, rounds)
     # 5. each document's component
-    least = of_doc.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("m"))
+    least = of_doc.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("m"), F.count("*").alias("docs"))
     if links is None:
-        named = least.select("node", F.col("m").alias("component_id"))
+        named = least.select("node", F.col("node").alias("component"), F.col("m").alias("component_id"), "docs")
     else:
-        comp = least.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = comp.groupBy("component").agg(F.min("m").alias("component_id"))
-        named = comp.join(first, "component").select("node", "component_id")
-    return of_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        comp = tables.cut(least.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        first = comp.groupBy("component").agg(F.min("m").alias("component_id"), F.count("*").alias("nodes"))
+        named = tables.cut(join_counted(comp.select("node", "component", "docs"), first, "component", "nodes"))
+    # a document without words has no node
+    found = join_counted(of_doc, named, "node", "docs", "left")
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
+    return out if detail else out.drop("text_hash", "component")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay where one of each component does: the one with the smallest key (no key comes last, of equal keys the smaller hash of the text); a row that is repeated stays once. Rows without words are all kept."""
+    found = join(docs, key, text, detail=True, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.filter("component is not null").groupBy("component").agg(F.min(order).alias("b")).select("component", "b.doc_id", "b.text_hash")
+    copies = found.filter("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("component", "doc_id", "text_hash")]
+    kept = best.alias("b").join(copies.alias("c"), same).select(F.col("b.doc_id").alias("_k"), F.col("b.text_hash").alias("_h"), "copies")
+    bare = found.filter("component is null").select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"), F.lit(0).cast("long").alias("copies")).distinct()
+    kept = Tables(docs.sparkSession).cut(kept.union(bare))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"))
+    rows = whole.join(kept, F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")))
+    once, more = rows.filter("copies < 2"), rows.filter("copies > 1").dropDuplicates(["k", "h"])
+    return once.union(more).select("row.*")
 
 
 def _links(sets: DataFrame, tables: Tables, percent: int, rounds: int) -> DataFrame:
     """node and component of the nodes that may link with another."""
     rows = sets.select("node", "n", F.explode("shingles").alias("h"))
     counted = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(counted, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    shared = join_counted(rows, counted.withColumn("rows", F.col("df")), "h", "rows").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     n = F.col("n")
     length = n - F.floor((n * percent + 99) / 100) + 1 - (n - F.size("s"))  # the prefix less those that nobody shares
     prefixes = tables.cut(shared.withColumn("k", length.cast("int")).filter("k > 0").select("node", "n", F.transform(F.slice("s", F.lit(1), F.col("k")), lambda x: x["h"]).alias("prefix")))

@@ -10,7 +10,12 @@ PACKER_PIECES pieces each, so packers grow in number, not in size, and a result
 doesn't depend on how the input is split.
 
 Null text is empty: one piece that holds the end id. Repeated rows are packed
-each. Columns beyond the two used are ignored.
+each, and a row without a key like others. Pieces that tie go by key, place and
+checksum; of several bins with the same free space the one put there last is taken.
+An empty table gives an empty result. Columns beyond the two used are ignored.
+
+A tokenizer file that doesn't allow words to be encoded apart is noticed while it is
+read (``Encoder.check``) or used, and whole texts are encoded by the library then.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +55,20 @@ class Encoder:
         ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.is_end = ends
         self.mark = self.tokenizer.token_to_id(MARK)
+        self.plain = not self.check()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def check(self) -> bool:
+        """Whether this file's tokenizer drops white space, ends words and keeps its end mark apart."""
+        if self.mark is None or not self.is_end.any():
+            return False
+        try:
+            whole, words = self._ids("a b  word.\nWord 12"), self.encode_words(["a", "b", "word.", "Word", "12"])
+        except ValueError:
+            return False
+        return whole.tobytes() == b"".join(words.values())
+
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word. A run of plain letters is one match, so many go through the library as one text of blanks
         between and end where a token ends a word; marks after it are a match of their own. Other words are encoded apart."""
@@ -100,6 +116,14 @@ class Encoder:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            try:
+                return self._encode_apart(texts)
+            except ValueError:
+                self.plain, self.young, self.old = True, {}, {}
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_apart(self, texts: list[str]) -> list[bytes]:
         words: list[str] = []
         ends = []
         for t in texts:
@@ -193,13 +217,15 @@ def pack(cut: DataFrame, length: int = LENGTH, packer_pieces: int = PACKER_PIECE
     """sequence_id and offset for each piece of ``pieces``; sequence ids are unique over all packers."""
     packers = max(1, -(-cut.count() // packer_pieces))
 
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
     def run(key, table):
-        rows = table.to_pandas().sort_values(["row_key", "doc_id", "start", "ids_crc32", "length"], kind="stable")
+        order = pc.sort_indices(table, [(c, "ascending") for c in ("row_key", "doc_id", "start", "ids_crc32", "length")])
+        table = table.take(order)
         packer, base = Packer(length, most), int(key[0].as_py()) << 40
-        put = [packer.put(n) for n in rows["length"].tolist()]
-        rows["sequence_id"] = pd.Series([base + b for b, _ in put], index=rows.index, dtype="int64")
-        rows["offset"] = pd.Series([o for _, o in put], index=rows.index, dtype="int64")
-        return pa.Table.from_pandas(rows[[c.split()[0] for c in PACKED.split(", ")]], preserve_index=False)
+        put = [packer.put(n) for n in table["length"].to_pylist()]
+        table = table.append_column("sequence_id", pa.array([base + b for b, _ in put], pa.int64())).append_column("offset", pa.array([o for _, o in put], pa.int64()))
+        return table.select(names)
 
     dealt = cut.withColumn("packer", F.pmod(F.xxhash64("row_key", "start"), F.lit(packers)))
     return dealt.groupBy("packer").applyInArrow(run, PACKED)

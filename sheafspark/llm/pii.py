@@ -13,7 +13,10 @@ stretch with a span at its edge grows until the span ends inside it or the text
 does, so no span depends on its place on the grid. Of overlapping spans the
 surest stays, base spans stay always, and what a kind's digits rule out goes.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive.
+Null and empty texts have no spans. Offsets are code points, ends exclusive. Of
+spans equally sure the first in the text stays. Texts of any length are read whole;
+repeated rows are rows, an empty table gives an empty result, and columns beyond
+those named in ``keep`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ _EMAIL = re.compile(r"([A-Za-z0-9._%+-]++)(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?+
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@(\[{]")
+_AT = re.compile(r"(?<=[(\[{])at(?=[)\]}])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -338,7 +342,7 @@ def windows(text: str) -> list[int]:
     """Starts of the windows that hold a trigger, on a grid of STRIDE from the text's start."""
     found: set[int] = set()
     for m in _TRIGGER.finditer(text):
-        if m[0] in "([{" and text[m.end() : m.end() + 3] not in ("at)", "at]", "at}"):
+        if m[0] in "([{" and text[m.end() : m.end() + 3].lower() not in ("at)", "at]", "at}"):
             continue
         g = m.start() // STRIDE
         found.update((g * STRIDE, max(0, g - 1) * STRIDE))
@@ -417,7 +421,7 @@ def plausible(kind: int, own: str) -> bool:
     """What a span of the kind must have, whatever the network says."""
     n = sum(c.isdigit() and c.isascii() for c in own)
     if kind == 0:
-        return re.search(r"[A-Za-z0-9].*(@|[(\[{]at[)\]}]).*[A-Za-z0-9]\.[A-Za-z]", own, re.DOTALL) is not None
+        return re.search(r"[A-Za-z0-9].*(@|[(\[{]at[)\]}]).*[A-Za-z0-9]\.[A-Za-z]", own, re.DOTALL | re.IGNORECASE) is not None
     if kind == 1:
         parts = re.findall("[0-9]+", own)
         return len(parts) == 4 and all(int(p) <= 255 for p in parts if len(p) < 9) and all(len(p) <= 3 for p in parts)
@@ -446,10 +450,11 @@ def find_all(net: Network, texts: list[str | None], batch: int = 1024) -> list[t
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
     done: list[dict] = [{} for _ in texts]
+    read = [_AT.sub("at", t) for t in texts]  # in capitals too
     jobs = [(i, a, e) for i, t in enumerate(texts) for a, e in joined([(a, a + WINDOW) for a in windows(t)])]
     while jobs:
         wide: dict[int, list[tuple[int, int]]] = {}
-        for (i, a, e), (spans, at_start, at_end) in zip(jobs, stretch_spans(net, texts, jobs, batch), strict=True):
+        for (i, a, e), (spans, at_start, at_end) in zip(jobs, stretch_spans(net, read, jobs, batch), strict=True):
             done[i][a, e] = spans
             if at_start or at_end:  # twice as wide, so that a long span takes few rounds
                 wide.setdefault(i, []).append((max(0, a - (e - a) * at_start), e + (e - a) * at_end))

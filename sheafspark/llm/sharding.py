@@ -12,7 +12,10 @@ Everything is DataFrame expressions. Slots number a shard's rows without gaps:
 rows are dealt to buckets by a hash, numbered in a bucket, and the buckets'
 counts, summed up, give each bucket its first slot; no task sees a whole shard.
 
-A null key is a key like others. Null text has no bytes. Repeated rows have a slot each.
+A null key is a key like others. Null text has no bytes. Repeated rows have a slot each,
+rows of one shard and bucket are numbered by key and hash. Of equal draws the first
+shard's counts. An empty table gives an empty result; columns beyond key and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,29 +3,45 @@
 Samples have eight bits (bytes 0 to 255 stand for -128 to 127) and frames 192
 samples. The encoder takes, frame by frame, the best of the fixed predictors of
 order 0 to 2 and a quantised linear predictor of order 2, and writes the
-residuals as Rice codes. The decoder finds frames by their sync code and header
-checksum, walks the Rice codes of all frames together, one sample a step, undoes
-the predictors and verifies each frame's CRC-16 and the stream's MD5. Frames are
-numbered, so the block of PCM bytes that holds a sample is found by its offset.
+residuals as Rice codes; a stream's seek table says where every SEEK_FRAMES-th
+frame begins. The decoder goes by the seek table in runs of frames: in a run it
+finds frames by their sync code and header checksum, walks the Rice codes of all
+frames together, one sample a step, undoes the predictors and verifies each
+frame's CRC-16, and over the whole stream its MD5. Runs of many streams are decoded
+together, and a long stream run after run, so memory doesn't grow with its length.
+
+``store`` writes streams; ``pcm_blocks`` gives a stream's samples as blocks with the
+offset of their first sample, all of them or only those that hold given samples;
+``digest`` reads stored streams and takes checksums and features from the same
+blocks. The decoder reads what ``encode`` writes and streams like it: one channel of
+eight bits, frames of 192 samples, fixed and linear predictors, one Rice partition.
 
 A damaged stream raises ValueError; nothing is returned in part. An empty or
-null text is stored as one block of 192 blanks.
+null text is stored as one block of 192 blanks, equal texts as equal streams.
+Repeated rows and rows without a key are rows; an empty table gives an empty result;
+columns beyond key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sheafspark.llm.common import map_arrow
+from sheafspark.llm.common import map_arrow, slices
 
 BLOCK, RATE_CODE, RATE = 192, 4, 8000
 PAD, TAIL = 32, 16
 LPC_BITS, LPC_SHIFT, MOST_RICE = 6, 4, 14
+#: Frames between seek points, and frames that are encoded or decoded together (runs of several streams, or part of one).
+SEEK_FRAMES, RUN_FRAMES = 256, 4096
 HEAD = bytes([0xFF, 0xF8, (1 << 4) | RATE_CODE, (0 << 4) | (1 << 1)])
 
 
@@ -91,14 +107,16 @@ def residuals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, best, coef
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload; a payload's length is a multiple of BLOCK and not 0."""
-    if not payloads:
-        return []
-    whole = np.frombuffer(b"".join(payloads), np.uint8)
-    x = (whole.astype(np.int16) - 128).reshape(-1, BLOCK)
-    frames = np.array([len(p) // BLOCK for p in payloads])
-    number = np.arange(len(x)) - np.repeat(np.cumsum(frames) - frames, frames)
+@lru_cache(1 << 16)
+def frame_head(n: int) -> bytes:
+    """The header of frame n, with its checksum."""
+    h = HEAD + _coded(n)
+    return h + bytes([int(crcs(np.frombuffer(h, np.uint8), np.array([0]), np.array([len(h)]), CRC8, 8)[0])])
+
+
+def encode_frames(pcm: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The frames of pcm, whose numbers in their streams are given, one after another, and their sizes."""
+    x = (pcm.astype(np.int16) - 128).reshape(-1, BLOCK)
     res, kind, coef = residuals(x)
     warm = np.array([0, 1, 2, 2])[kind]
     zig = np.where(res >= 0, 2 * res, -2 * res - 1)
@@ -107,9 +125,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     k = np.clip(np.floor(np.log2(np.maximum(mean, 1))), 0, MOST_RICE).astype(np.int64)
     q = zig >> k[:, None]
     bits = np.where(coded, q + 1 + k[:, None], 8)  # a warm-up sample is written as it is
-    names = {n: HEAD + _coded(n) for n in range(int(frames.max()))}
-    head = {n: h + bytes([int(crcs(np.frombuffer(h, np.uint8), np.array([0]), np.array([len(h)]), CRC8, 8)[0])]) for n, h in names.items()} if frames.max() < 4096 else None
-    heads = [head[n] if head else names[n] + bytes([int(crcs(np.frombuffer(names[n], np.uint8), np.array([0]), np.array([len(names[n])]), CRC8, 8)[0])]) for n in number.tolist()]
+    heads = [frame_head(n) for n in number.tolist()]
     size = np.array([len(h) for h in heads])
     linear = kind == 3
     extra = np.where(linear, 4 + 5 + 2 * LPC_BITS, 0)
@@ -148,21 +164,55 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     data[np.arange(len(lead)) + np.repeat(first - (np.cumsum(size) - size), size)] = lead
     check = crcs(data, first, total - 2, CRC16, 16)
     data[first + total - 2], data[first + total - 1] = check >> 8, check & 255
-    raw, ends = data.tobytes(), np.append(first, len(data))
-    out_streams, at = [], 0
-    signed = (whole ^ 128).tobytes()
-    done = 0
-    for n, p in zip(frames.tolist(), payloads, strict=True):
-        body = raw[ends[at] : ends[at + n]]
-        own = total[at : at + n]
-        out_streams.append(stream_info(len(p), int(own.min()), int(own.max()), hashlib.md5(signed[done : done + len(p)]).digest()) + body)
-        at, done = at + n, done + len(p)
-    return out_streams
+    return data.tobytes(), total
+
+
+def parts(sizes: list[int], most: int = RUN_FRAMES, step: int = SEEK_FRAMES) -> Iterator[list[tuple[int, int, int]]]:
+    """(stream, first frame, end frame) in lists of at most about ``most`` frames; only multiples of step cut a stream."""
+    own, n = [], 0
+    for i, size in enumerate(sizes):
+        at = 0
+        while at < size:
+            end = min(size, at + max(step, (most - n) // step * step))
+            own.append((i, at, end))
+            n, at = n + end - at, end
+            if n >= most:
+                yield own
+                own, n = [], 0
+    if own:
+        yield own
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream of each payload; a payload's length is a multiple of BLOCK and not 0."""
+    bodies, sizes = [[] for _ in payloads], [[] for _ in payloads]
+    for run in parts([len(p) // BLOCK for p in payloads]):
+        pcm = np.frombuffer(b"".join([payloads[i][a * BLOCK : e * BLOCK] for i, a, e in run]), np.uint8)
+        body, size = encode_frames(pcm, np.concatenate([np.arange(a, e) for _, a, e in run]))
+        at = f = 0
+        for i, a, e in run:
+            own = size[f : f + e - a]
+            bodies[i].append(body[at : at + int(own.sum())])
+            sizes[i].append(own)
+            at, f = at + int(own.sum()), f + e - a
+    out = []
+    for p, body, size in zip(payloads, bodies, sizes, strict=True):
+        own, md5 = np.concatenate(size), hashlib.md5()
+        for a in range(0, len(p), 1 << 20):
+            md5.update((np.frombuffer(p, np.uint8, min(1 << 20, len(p) - a), a) ^ 128).tobytes())
+        out.append(b"".join([stream_info(len(p), int(own.min()), int(own.max()), md5.digest()), seek_table(own), *body]))
+    return out
+
+
+def seek_table(sizes: np.ndarray) -> bytes:
+    """The metadata block that says where every SEEK_FRAMES-th frame begins."""
+    first = (np.cumsum(sizes) - sizes)[::SEEK_FRAMES].tolist()
+    return bytes([0x83]) + (18 * len(first)).to_bytes(3, "big") + b"".join((k * SEEK_FRAMES * BLOCK).to_bytes(8, "big") + at.to_bytes(8, "big") + BLOCK.to_bytes(2, "big") for k, at in enumerate(first))
 
 
 def stream_info(samples: int, least: int, most: int, md5: bytes) -> bytes:
     packed = RATE << 44 | 0 << 41 | 7 << 36 | samples
-    return b"fLaC" + bytes([0x80, 0, 0, 34]) + BLOCK.to_bytes(2, "big") * 2 + least.to_bytes(3, "big") + most.to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
+    return b"fLaC" + bytes([0x00, 0, 0, 34]) + BLOCK.to_bytes(2, "big") * 2 + least.to_bytes(3, "big") + most.to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
 
 
 def _number(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,27 +255,68 @@ class Bits:
         return np.where(n > 0, got, 0).astype(np.int64)
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams that ``encode`` wrote, all of them decoded together; raises where a checksum fails."""
-    if not streams:
-        return []
-    info = []
-    for s in streams:
-        if s[:4] != b"fLaC" or s[4] != 0x80 or len(s) < 42:
+class Stream:
+    """A stored stream: its length in samples, MD5, and where its frames and seek points are."""
+
+    def __init__(self, raw: bytes):
+        if raw[:4] != b"fLaC" or raw[4] & 0x7F or len(raw) < 42:
             raise ValueError("not a stream that this decoder reads")
-        info.append((int.from_bytes(s[18:26], "big") & ((1 << 36) - 1), s[26:42]))
-    bodies = [s[42:] for s in streams]
+        self.raw, self.samples, self.md5 = raw, int.from_bytes(raw[18:26], "big") & ((1 << 36) - 1), raw[26:42]
+        self.frames, at, last, points = self.samples // BLOCK, 42, raw[4] & 0x80, []
+        while not last:
+            if at + 4 > len(raw):
+                raise ValueError("the metadata is cut off")
+            last, kind, size = raw[at] & 0x80, raw[at] & 0x7F, int.from_bytes(raw[at + 1 : at + 4], "big")
+            if kind == 3:
+                points = [(int.from_bytes(raw[p : p + 8], "big") // BLOCK, int.from_bytes(raw[p + 8 : p + 16], "big")) for p in range(at + 4, at + 4 + size, 18)]
+            at += 4 + size
+        if [k for k, _ in points] != list(range(0, self.frames, SEEK_FRAMES)):
+            points = [(0, 0)]
+        self.points = {k: at + p for k, p in points}
+
+    def body(self, first: int, end: int) -> bytes:
+        """The bytes of the frames from a seek point to the one at or after ``end``."""
+        stop = -(-end // SEEK_FRAMES) * SEEK_FRAMES
+        return self.raw[self.points[first] : self.points.get(stop, len(self.raw))]
+
+
+def read_runs(streams: list[Stream], wanted: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(stream, first sample, PCM bytes) of runs of frames, in order; of the whole streams, or of the frames from wanted's first to its end, widened to seek points. Frame checksums are verified."""
+    spans = wanted or [(0, s.frames) for s in streams]
+    spans = [(a // SEEK_FRAMES * SEEK_FRAMES if len(s.points) > 1 else 0, min(s.frames, -(-e // SEEK_FRAMES) * SEEK_FRAMES) if len(s.points) > 1 else s.frames) for s, (a, e) in zip(streams, spans, strict=True)]
+    for run in parts([e - a for a, e in spans], step=SEEK_FRAMES if all(len(s.points) > 1 or s.frames <= SEEK_FRAMES for s in streams) else 1 << 40):
+        own = [(i, spans[i][0] + a, spans[i][0] + e) for i, a, e in run]
+        pcm = decode_frames([streams[i].body(a, e) for i, a, e in own], [(a, e - a) for _, a, e in own])
+        for (i, a, _), p in zip(own, pcm, strict=True):
+            yield i, a * BLOCK, p
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payloads of streams that ``encode`` wrote; raises where a checksum fails."""
+    own = [Stream(s) for s in streams]
+    out: list[list[bytes]] = [[] for _ in streams]
+    for i, _, pcm in read_runs(own):
+        out[i].append(pcm)
+    whole = [b"".join(x) for x in out]
+    for s, p in zip(own, whole, strict=True):
+        if len(p) != s.samples or hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest() != s.md5:
+            raise ValueError("the stream's MD5 is wrong")
+    return whole
+
+
+def decode_frames(bodies: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
+    """The PCM bytes of stretches of frames, all decoded together; spans has each stretch's first number and how many frames it has."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    frames = np.array([n // BLOCK for n, _ in info])
+    frames, begin = np.array([n for _, n in spans]), np.array([a for a, _ in spans])
     base = np.cumsum([0, *map(len, bodies)])
     start, number, lead = find_frames(data)
     owner = np.searchsorted(base, start, "right") - 1
-    expect = np.arange(int(frames.sum())) - np.repeat(np.cumsum(frames) - frames, frames)
+    expect = np.arange(int(frames.sum())) - np.repeat(np.cumsum(frames) - frames - begin, frames)
     if len(start) != len(expect):  # a code that looks like a header: keep the ones that count up
-        keep, want, who = [], 0, 0
+        keep, want, who = [], int(begin[0]), 0
         for i, (o, n) in enumerate(zip(owner.tolist(), number.tolist(), strict=True)):
             if o != who:
-                want, who = 0, o
+                want, who = int(begin[o]), o
             if n == want:
                 keep.append(i)
                 want += 1
@@ -291,14 +382,8 @@ def decode(streams: list[bytes]) -> list[bytes]:
             y[i] += sum(c[j] * y[i - 1 - j] for j in range(o)) >> s
         x[:, own] = y
     pcm = (x.T + 128).astype(np.uint8).tobytes()
-    out, done = [], 0
-    for (n, md5), m in zip(info, frames.tolist(), strict=True):
-        own = pcm[done * BLOCK : (done + m) * BLOCK]
-        if hashlib.md5((np.frombuffer(own, np.uint8) ^ 128).tobytes()).digest() != md5:
-            raise ValueError("the stream's MD5 is wrong")
-        out.append(own)
-        done += m
-    return out
+    at = np.cumsum([0, *frames.tolist()]) * BLOCK
+    return [pcm[a:e] for a, e in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -306,65 +391,110 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return raw + bytes([PAD]) * (-len(raw) % BLOCK or (0 if raw else BLOCK)), len(raw)
 
 
+class Summary:
+    """Checksums and features of samples that come in order, block by block.
+
+    The feature is the number of samples, their energy, their peak and their zero crossings: whole numbers, so that equal
+    samples have equal features.
+    """
+
+    def __init__(self):
+        self.sha, self.md5, self.n, self.energy, self.peak, self.crossings, self.tail, self.below = hashlib.sha256(), hashlib.md5(), 0, 0, 0, 0, b"", None
+
+    def add(self, pcm: bytes) -> None:
+        raw = np.frombuffer(pcm, np.uint8)
+        self.sha.update(pcm)
+        self.md5.update((raw ^ 128).tobytes())
+        s = raw.astype(np.int32) - 128
+        below = s < 0
+        self.n += len(s)
+        self.energy += int((s * s).sum(dtype=np.int64))
+        self.peak = max(self.peak, int(np.abs(s).max(initial=0)))
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.below is not None and len(s) > 0 and bool(below[0]) != self.below)
+        self.below = bool(below[-1]) if len(s) else self.below
+        self.tail = (self.tail + pcm)[-TAIL:]
+
+    def feature(self) -> str:
+        return f"{self.n}:{self.energy}:{self.peak}:{self.crossings}"
+
+
 def feature(pcm: bytes) -> str:
-    """Level, peak and zero crossings of the samples: whole numbers, so that equal samples have equal features."""
-    s = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    crossings = int(((s[1:] < 0) != (s[:-1] < 0)).sum())
-    return f"{len(s)}:{int((s * s).sum())}:{int(np.abs(s).max(initial=0))}:{crossings}"
+    own = Summary()
+    own.add(pcm)
+    return own.feature()
 
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", frames_a_block: int = 16) -> DataFrame:
-    """key, first_sample, n_samples, pcm: the decoded samples in blocks; the block of sample s has first_sample = s - s % (192 * frames_a_block)."""
+def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", frames_a_block: int = 16, samples: tuple[int, int] | None = None) -> DataFrame:
+    """key, first_sample, n_samples, pcm: the decoded samples in blocks; the block of sample s has first_sample = s - s % (192 * frames_a_block).
+
+    With ``samples`` (first, end) only the blocks that hold some of them, found by the seek table; the rest isn't decoded. Null media have no blocks.
+    """
     kinds, size = dict(media.dtypes), BLOCK * frames_a_block
+    schema = pa.schema([(key, to_arrow_type(media.schema[key].dataType)), ("first_sample", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())])
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
-            rows = []
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if m is None:
-                    continue
-                own = decode([m])[0]
-                rows += [(k, at, len(own[at : at + size]), own[at : at + size]) for at in range(0, len(own), size)]
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip((key, "first_sample", "n_samples", "pcm"), map(list, zip(*rows, strict=True)), strict=True)), schema=pa.schema([(key, b.schema[0].type), ("first_sample", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
+            for part in slices(b, column):
+                keys = [k for k, m in zip(part.column(0).to_pylist(), part.column(1), strict=True) if m.is_valid]
+                streams = [Stream(m) for m in part.column(1).to_pylist() if m is not None]
+                wanted, left = None, [(0, b"")] * len(streams)
+                if samples:
+                    cut = [(min(s.frames, samples[0] // size * frames_a_block), min(s.frames, -(-samples[1] // size) * frames_a_block)) for s in streams]
+                    live = [i for i, (a, e) in enumerate(cut) if a < e]
+                    keys, streams, wanted = [keys[i] for i in live], [streams[i] for i in live], [cut[i] for i in live]
+                for i, first, pcm in read_runs(streams, wanted):
+                    at, rest = left[i]
+                    at, pcm = (at, rest + pcm) if rest else (first, pcm)
+                    if wanted:
+                        a, e = wanted[i][0] * BLOCK, min(wanted[i][1] * BLOCK, at + len(pcm))
+                        at, pcm = max(at, a), pcm[max(at, a) - at : e - at]
+                    ends = first + len(pcm) >= streams[i].samples or wanted and at + len(pcm) >= wanted[i][1] * BLOCK
+                    full = len(pcm) if ends else len(pcm) // size * size
+                    left[i] = (at + full, pcm[full:])
+                    rows = [(keys[i], at + k, len(pcm[k : k + size]), pcm[k : k + size]) for k in range(0, full, size)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return media.select(key, column).mapInArrow(run, f"`{key}` {kinds[key]}, first_sample long, n_samples long, pcm binary")
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the FLAC stream (media) of each row's text."""
+    """key, n_bytes (of the text) and the FLAC stream (media) of each row's text."""
     kinds = dict(docs.dtypes)
 
     def make():
         def step(part):
-            return {key: part.column(key), "media": encode([payload(t)[0] for t in part.column("_text").to_pylist()])}
+            made = [payload(t) for t in part.column("_text").to_pylist()]
+            return {key: part.column(key), "n_bytes": [n for _, n in made], "media": encode([p for p, _ in made])}
 
         return step
 
-    return map_arrow(docs.select(key, F.col(text).alias("_text")), make, f"`{key}` {kinds[key]}, media binary")
+    return map_arrow(docs.select(key, F.col(text).alias("_text")), make, f"`{key}` {kinds[key]}, n_bytes long, media binary")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """The stored form of every text, read back: sizes, checksums and features."""
+def digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sizes, checksums and features of stored streams (as ``store`` gives them), read back block by block and verified."""
+    kinds = dict(media.dtypes)
 
     def make():
         def step(part):
-            made = [payload(t) for t in part.column("_text").to_pylist()]
-            media = encode([p for p, _ in made])
-            back = decode(media)
+            raw = part.column("media").to_pylist()
+            streams, own = [Stream(m) for m in raw], [Summary() for _ in raw]
+            for i, _, pcm in read_runs(streams):
+                own[i].add(pcm)
+            if any(x.md5.digest() != s.md5 or x.n != s.samples for x, s in zip(own, streams, strict=True)):
+                raise ValueError("a stream's MD5 is wrong")
             return {
-                "doc_id": part.column("doc_id"),
-                "n_bytes": [n for _, n in made],
-                "payload_bytes": [len(p) for p in back],
-                "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back],
-                "tail_crc32": [zlib.crc32(p[-TAIL:]) for p in back],
-                "media_bytes": [len(m) for m in media],
-                "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-                "feature": [feature(p) for p in back],
+                key: part.column(key),
+                "n_bytes": part.column("n_bytes"),
+                "payload_bytes": [x.n for x in own],
+                "payload_sha256": [x.sha.hexdigest() for x in own],
+                "tail_crc32": [zlib.crc32(x.tail) for x in own],
+                "media_bytes": [len(m) for m in raw],
+                "media_sha256": [hashlib.sha256(m).hexdigest() for m in raw],
+                "feature": [x.feature() for x in own],
             }
 
         return step
 
-    return map_arrow(docs.select("doc_id", F.col("text").alias("_text")), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media.select(key, "n_bytes", "media"), make, f"`{key}` {kinds[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", text="media")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafspark.llm import byte_bpe, flac, jaccard_join, language_id, main_text, packing, pii, sharding, simhash, toxicity
-from sheafspark.llm.common import Tables, read_table
+from sheafspark.llm.common import Tables, join_counted, read_table
 
 
 @lru_cache(1)
@@ -39,26 +39,38 @@ def near_queries(groups: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = simhash.with_next(docs).withColumn("edited", simhash.edited(F.col("text"), F.col("next_text")))
-    versions = rows.select("doc_id", "next_key", F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("text"), (F.sha2(F.encode(F.col(c), "UTF-8"), 256) if i else F.lit(None).cast("string")).alias("sha"), F.length("text").cast("long").alias("n")) for i, c in enumerate(("text", "edited"))])).alias("e")).select("doc_id", "next_key", "e.*")
-    prints = Tables(spark).cut(simhash.votes(versions, ["doc_id", "next_key", "v", "sha", "n"]))
-    own = prints.filter("v = 0").select("doc_id", "next_key", F.col("n").alias("n_chars"), "fingerprint")
-    edit = prints.filter("v = 1").select("doc_id", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fp"))
-    following = own.select(F.col("doc_id").alias("next_key"), F.col("fingerprint").alias("next_fp"))
-    groups = own.filter("doc_id % 100 = 0").groupBy("fingerprint").agg(F.min("doc_id").alias("query_group"))
-    near = near_queries(groups, own)
-    joined = own.join(edit, "doc_id").join(following, "next_key").join(near, "fingerprint", "left")
-    others = F.filter("near", lambda x: x["query_id"] != F.col("doc_id"))  # nothing is near itself
-    return joined.select(
+    """A row for each row of documents. A row is known by its key, its text and the next one's (two hashes each), null key or not; rows that are equal in all of them are computed once and given back as often as they were."""
+    tables, name = Tables(spark), lambda x: [F.xxhash64(x).alias(f"{x}_1"), F.xxhash64(F.lit(1), x).alias(f"{x}_2")]
+    own, nxt = ["text_1", "text_2"], ["next_text_1", "next_text_2"]
+    rows = simhash.with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.select("doc_id", *name("text"), *name("next_text"), "text", simhash.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    one = ["doc_id", *own, *nxt]
+    version = lambda i, c: F.struct(F.lit(i).alias("v"), F.col(c).alias("text"), (F.sha2(F.encode(F.col(c), "UTF-8"), 256) if i else F.lit(None).cast("string")).alias("sha"), F.length(c).cast("long").alias("n"))
+    versions = rows.select(*one, F.explode(F.array(version(0, "text"), version(1, "edited"))).alias("e")).select(*one, "e.*")
+    prints = simhash.votes(versions, [*one, "v", "sha", "n"])
+    when = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))
+    prints = tables.cut(prints.groupBy(*one).agg(F.max("copies").alias("copies"), when(0, "n").alias("n_chars"), when(0, "fingerprint").alias("fingerprint"), when(1, "sha").alias("edited_sha256"), when(1, "fingerprint").alias("edited_fp")))
+    # the next document's fingerprint, by its text; a text that many rows have is a hot key
+    following = prints.groupBy(*own).agg(F.max("fingerprint").alias("next_fp"))
+    asked = prints.groupBy(F.col("next_text_1").alias("text_1"), F.col("next_text_2").alias("text_2")).agg(F.count("*").alias("rows"))
+    key = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b")).alias("next")
+    following = asked.join(following, own).select(key(*own), "next_fp", "rows")
+    joined = join_counted(prints.select("doc_id", "copies", "n_chars", "fingerprint", "edited_sha256", "edited_fp", key(*nxt)), following, "next", "rows").drop("next")
+    # near queries, by distinct fingerprint
+    fps = prints.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.min(F.when(F.col("doc_id") % 100 == 0, F.col("doc_id"))).alias("query_group"))
+    near = near_queries(fps.filter("query_group is not null").select("fingerprint", "query_group"), fps.select("fingerprint"))
+    joined = join_counted(joined, fps.join(near, "fingerprint", "left").select("fingerprint", "query_group", "near", "rows"), "fingerprint", "rows")
+    others = F.coalesce(F.filter("near", lambda x: x["query_id"] != F.coalesce("doc_id", F.lit(-1))), F.array().cast("array<struct<query_id:bigint,distance:int>>"))  # nothing is near itself
+    out = joined.select(
         "doc_id", "n_chars", "edited_sha256", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), simhash.hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fingerprint"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
-        F.when(F.expr("doc_id % 100 = 0"), F.filter("near", lambda x: x["distance"] == 0)[0]["query_id"]).alias("query_group"), F.coalesce(others, F.array().cast("array<struct<query_id:bigint,distance:int>>")).alias("near_queries"),
+        F.when(F.col("doc_id") % 100 == 0, F.col("query_group")).alias("query_group"), F.size(others).alias("n_near_queries"), others.alias("near_queries"), "copies",
     )
+    return simhash.repeated(out, "copies")
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digest(read_table(spark, sf_dir, "documents"))
+    return flac.digest(Tables(spark).cut(flac.store(read_table(spark, sf_dir, "documents"))))
 
 
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,15 @@ in more than the radius, so none is lost. Equal fingerprints are one row there.
 The query takes NEAR_RADIUS, which holds 97 % of pairs of texts that share 0.80
 to 0.85 of their five-word shingles, and more of the closer ones.
 
-Null and empty texts have fingerprint 0. Words are runs without white space.
+Null and empty texts have fingerprint 0. Words are runs without white space. Equal
+texts have equal fingerprints, at any length; texts that no word pair tells apart (one
+word of two spaces) may have as well. A bit with exactly half of the weight is not set.
+Empty tables give empty results; columns beyond those asked for are not read.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,19 +41,19 @@ def words(text: Column) -> Column:
 
 
 def votes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and fingerprint (long) of each distinct combination of keys, from all its rows' terms."""
+    """keys, copies and fingerprint (long) of each distinct combination of keys, whose rows must have equal texts: rows that are the same are one, and copies says how many they were (their votes grow alike)."""
     w = F.col("_w")
-    pairs = texts.select(*keys, words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).select(*keys, F.inline(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(1))).alias("b"))).alias("a", "b"))
+    pairs = texts.select(*keys, words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).select(*keys, F.posexplode(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(1))).alias("b"))).alias("_at", "_p")).select(*keys, "_at", "_p.a", "_p.b")
     b = F.coalesce("b", F.lit(""))
     weight = F.least(F.length("a") + F.length(b), F.lit(MOST_WEIGHT)).cast("long")
-    rows = pairs.select(*keys, F.xxhash64("a", b).alias("_h"), weight.alias("_n"))
-    sums = rows.groupBy(*keys).agg(F.sum("_n").alias("_all"), *[F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(LANES)) * F.col("_n")).alias(f"_s{k}") for k in range(32)])
+    rows = pairs.select(*keys, "_at", F.xxhash64("a", b).alias("_h"), weight.alias("_n"))
+    sums = rows.groupBy(*keys).agg(F.sum((F.col("_at") == 0).cast("long")).alias("copies"), F.sum("_n").alias("_all"), *[F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(LANES)) * F.col("_n")).alias(f"_s{k}") for k in range(32)])
     out: Column = F.lit(0).cast("long")
     for k in range(32):
         low, high = F.col(f"_s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_s{k}", 32)
         for bit, n in ((k, low), (k + 32, high)):
             out = out.bitwiseOR(F.when(n * 2 > F.col("_all"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, out.alias("fingerprint"))
+    return sums.select(*keys, "copies", out.alias("fingerprint"))
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -98,26 +102,56 @@ def near(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks: in
     return q.join(c, (F.col("q.k") == F.col("c.k")) & (F.bit_count(differ) <= radius) & first).select("query_fp", "fp", F.bit_count(differ).alias("distance"))
 
 
+#: Parts that the rows of one key are dealt to where a key alone fills a range.
+PARTS = 64
+
+
+def ranges(keys: DataFrame, n: int, bucket_rows: int, most_buckets: int) -> list[tuple[int, bool]]:
+    """Starts of ranges of the long column _k with about bucket_rows rows each, from quantiles of a sample (20 keys a range, 400,000 at most), and whether a range holds one key alone, which filled a range of the sample."""
+    want = min(most_buckets, -(-n // bucket_rows))
+    if want < 2:
+        return []
+    got = keys.filter("_k is not null").sample(False, min(1.0, 20 * want / n), 3).limit(40 * want).toArrow()["_k"].to_pylist()
+    got.sort()
+    cuts = [got[len(got) * i // want] for i in range(1, want)] if got else []
+    starts = {c: False for c in cuts}
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a == b:
+            starts[a] = True
+            starts.setdefault(a + 1, False)
+    return sorted(starts.items())
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = 2000, most_buckets: int = 20_000) -> DataFrame:
-    """key, text (null: empty), next_key and next_text of each row: the next in ascending order of key and text; after the last the first.
+    """key, text (null: empty) and next_text of each row: the next in ascending order of key (a null key first), of equal keys by a hash of the text, then the text; after the last the first.
 
-    Rows are dealt to ranges of keys (most_buckets at most, so that their heads stay few), so no task sees all; the row after a range's last is the first of the next range that has rows.
+    Rows are dealt to ranges of the order by quantiles of their keys, so no task sees all, however the keys lie; a key that
+    fills a range alone is dealt to PARTS ranges by the hash. Only numbers of ranges meet in one task (most_buckets * PARTS at most);
+    the row after a range's last is the first of the next range that has rows. Rows that are equal throughout stay together.
     """
-    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    low, high, n = rows.agg(F.min("_k"), F.max("_k"), F.count("*")).first()
-    if not n:
-        return rows.select(F.col("_k").alias(key), F.col("_t").alias("text"), F.col("_k").alias("next_key"), F.col("_t").alias("next_text"))
-    low, high, bucket_rows = (low or 0), (high or 0), max(bucket_rows, n // most_buckets)
-    wide = max(1, -(-(high - low + 1) * bucket_rows // n))
-    rows = rows.withColumn("_b", F.coalesce(F.floor((F.col("_k") - F.lit(low)) / F.lit(wide)), F.lit(-1)))
-    order = Window.partitionBy("_b").orderBy("_k", "_t")
-    inner = rows.select("*", F.lead("_k").over(order).alias("_nk"), F.lead("_t").over(order).alias("_nt"), F.lead(F.lit(True)).over(order).isNull().alias("_last"))
-    heads = rows.groupBy("_b").agg(F.min(F.struct("_k", "_t")).alias("_first"))
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    n = rows.count()
+    starts = ranges(rows.select("_k"), n, bucket_rows, most_buckets)
+    part = F.pmod(F.xxhash64("_t"), F.lit(PARTS))
+    at = F.lit(-1).cast("long")
+    if starts:
+        # the number of starts that are not over the key, by halving: one literal holds them all
+        bounds = F.from_json(F.lit(json.dumps([s for s, _ in starts])), "array<long>")
+        steps = F.lit([1 << i for i in range(len(starts).bit_length() - 1, -1, -1)])
+        at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.get(bounds, i + s - 1) <= F.col("_k"), F.lit(False)), i + s).otherwise(i)).cast("long")
+    alone = [i + 1 for i, (_, one) in enumerate(starts) if one]
+    rows = rows.withColumn("_p", part).withColumn("_a", F.when(F.col("_k").isNull(), F.lit(-1)).otherwise(at))
+    deal = F.col("_p") if not alone else F.when(F.array_contains(F.from_json(F.lit(json.dumps(alone)), "array<long>"), F.col("_a")), F.col("_p")).otherwise(0)
+    rows = rows.withColumn("_b", F.col("_a") * PARTS + (deal if alone else F.lit(0)))
+    order = Window.partitionBy("_b").orderBy("_k", "_p", "_t")
+    inner = rows.select("_k", "_t", "_b", F.lead("_t").over(order).alias("_nt"))
+    heads = rows.groupBy("_b").agg(F.min(F.struct("_k", "_p", "_t")).alias("_first")).select("_b", F.col("_first._t").alias("_f"))
     ring = Window.orderBy("_b")
-    following = heads.select("_b", F.coalesce(F.lead("_first").over(ring), F.first("_first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_f"))
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = rows.select("_b").distinct().select("_b", F.coalesce(F.lead("_b").over(ring), F.first("_b").over(whole)).alias("_nb"))
+    following = after.join(heads.withColumnRenamed("_b", "_nb"), "_nb").select("_b", "_f")
     joined = inner.join(following, "_b")
-    last = F.col("_last")
-    return joined.select(F.col("_k").alias(key), F.col("_t").alias("text"), F.when(last, F.col("_f._k")).otherwise(F.col("_nk")).alias("next_key"), F.when(last, F.col("_f._t")).otherwise(F.col("_nt")).alias("next_text"))
+    return joined.select(F.col("_k").alias(key), F.col("_t").alias("text"), F.coalesce("_nt", "_f").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -125,3 +159,10 @@ def edited(text: Column, following: Column) -> Column:
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
+
+
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as its column copies says, without that column; no array is longer than the root of it, about."""
+    many = F.sequence(F.lit(1), F.floor((F.col(copies) + 4095) / 4096))
+    rows = rows.withColumn("_i", F.explode(many)).withColumn("_left", F.least(F.lit(4096), F.col(copies) - (F.col("_i") - 1) * 4096))
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_left")))).drop("_i", "_left", copies)

@@ -3,6 +3,8 @@
 import os
 import random
 import re
+import time
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -26,8 +28,32 @@ def test_byte_bpe():
         assert [m.start() for m in __import__("regex").finditer(public_tokenizers.PATTERN, t)] == p.tolist()
 
 
-def test_flac_round_trip_and_damage():
-    own = [os.urandom(192 * k) for k in (1, 3, 50)] + [b" " * 192, bytes(range(192)), bytes([0, 255] * 96), flac.payload(None)[0], flac.payload("ü" * 300)[0]]
+def test_byte_bpe_every_code_point():
+    """The classes are the library's: each code point between letters, digits, blanks and apostrophes."""
+    import regex
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for at in range(0, len(points), 1 << 16):
+        text = "".join(f"a{c}1 {c} 's{c}" for c in points[at : at + (1 << 16)] if unicodedata.category(c) != "Cn")
+        (places,) = codec.encode_all([text])[1] if len(text) < 100 else [byte_bpe.boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0]))]
+        assert [m.start() for m in regex.finditer(public_tokenizers.PATTERN, text)] == places.tolist()
+
+
+def test_byte_bpe_long_text(monkeypatch):
+    """A text that is cut has the ids and places of the whole."""
+    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab cd  's\n1.é ") for _ in range(3000)), "x" * 900, "", "a b"]
+    want = codec.encode_all(texts)
+    monkeypatch.setattr(byte_bpe, "PART_CHARS", 100)
+    got = codec.encode_all(texts)
+    assert got[0] == want[0] and all((a == b).all() for a, b in zip(got[1], want[1], strict=True))
+
+
+def test_flac_round_trip_and_damage(monkeypatch):
+    monkeypatch.setattr(flac, "RUN_FRAMES", 300)  # long streams are cut
+    own = [os.urandom(192 * k) for k in (1, 3, 50, 1100)] + [b" " * 192 * 700] + [b" " * 192, bytes(range(192)), bytes([0, 255] * 96), flac.payload(None)[0], flac.payload("ü" * 300)[0]]
     made = flac.encode(own)
     assert flac.decode(made) == own
     for at in (30, 60, len(made[2]) - 1):
@@ -71,6 +97,7 @@ def test_obfuscated_addresses_anywhere():
     found = pii.find_all(net, texts)
     assert [w for w, (_, spans) in zip(want, found, strict=True) if w not in spans] == []
     assert pii.find_all(net, texts, batch=3) == found
+    assert pii.find_all(net, [t.replace("(at)", "(AT)") for t in texts]) == found
     whole = "\n".join(texts)
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])
     assert set(pii.find_all(net, [whole])[0][1]) >= {(k, a + s, b + s) for (k, a, b), s in zip(want, starts.tolist(), strict=False)}
@@ -88,6 +115,40 @@ def test_packer_is_whole_and_tight():
     assert max(bins.values()) <= 4096 and len(bins) == packer.n_bins <= 1.08 * sum(sizes) / 4096 + 1
 
 
+def test_packer_is_best_fit():
+    """Against a plain list of open bins: least space left, of several the one put there last; the fullest closes when all are open."""
+    r = random.Random(8)
+    for length, most, largest in ((100, 5, 100), (64, 1, 64), (4096, 40, 900), (50, 1000, 30)):
+        packer, bins, free = packing.Packer(length, most), 0, []
+        for _ in range(1500):
+            n = r.randint(1, largest)
+            fit = min((f for f, _ in free if f >= n), default=None)
+            if fit is None:
+                at, left, bins = bins, length, bins + 1
+                if n < length and len(free) >= most:
+                    least = min(f for f, _ in free)
+                    free.pop(max(i for i, (f, _) in enumerate(free) if f == least))
+            else:
+                at, left = free[i := max(i for i, (f, _) in enumerate(free) if f == fit)][1], fit
+                free.pop(i)
+            assert packer.put(n) == (at, length - left)
+            if left > n:
+                free.append((left - n, at))
+
+
+def test_packing_without_word_ends(tmp_path):
+    """A file whose tokenizer keeps white space is read by the library alone."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate(pre_tokenizers.ByteLevel.alphabet())}
+    own = Tokenizer(models.BPE(vocab, []))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "t.json"))
+    encoder, texts = packing.Encoder(str(tmp_path / "t.json")), ["a b", "", " x\n y"]
+    assert encoder.plain
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_encoder():
     from tokenizers import Tokenizer
 
@@ -115,10 +176,31 @@ def test_main_text():
     net = main_text.train(pages=250, epochs=4)
     made = main_text.labelled_pages(np.random.default_rng(77), 80)
     pages = [main_text.blocks(s) for s, _ in made]
-    wanted = np.concatenate([[b[0] in w for b in p] for p, (_, w) in zip(pages, made, strict=True)])
+    wanted = np.concatenate([[b[0] in w for b in p.blocks] for p, (_, w) in zip(pages, made, strict=True)])
     assert (np.concatenate(main_text.label(net, pages)) == wanted).mean() > 0.95
     assert main_text.extract_all(net, [None, "", "<p>"]) == ["", "", ""]
-    assert [b[0] for b in main_text.blocks("<p>a &amp; b<p>c<br>d<script></p></script>")] == ["a & b", "c d"]
+    assert [b[0] for b in main_text.blocks("<p>a &amp; b<p>c<br>d<script></p></script>").blocks] == ["a & b", "c d"]
+    assert main_text.blocks("<p>Formula <math><mi>a</mi></math> here").blocks[0][0] == "Formula a here"
+    # a page's tree and the list of each block's path say the same; pages of all depths and lengths
+    deep = [main_text.blocks(s) for s in ("<div class='a b'>" * 90 + "x<p>y", "".join(f"<ul><li>{i}<b>z</b></ul>" for i in range(700)), "no tag")] + pages[:20]
+    tree, spread = main_text.features(deep), main_text.features(deep, spread=True)
+    assert np.allclose(main_text.inputs(net, tree), main_text.inputs(net, spread), atol=1e-4)
+    # labels don't depend on what else is labelled, and a long page is one sequence
+    long = main_text.blocks("<html><body>" + "".join(s for s, _ in made))
+    assert len(long.blocks) > 1000
+    x = main_text.inputs(net, main_text.features([long]))[:, None, :]
+    z, _ = main_text.forward(net, x, np.ones(x.shape[:2], bool))
+    assert (main_text.label(net, [*pages[:3], long])[3] == (z[:, 0] > 0)).all()
+
+
+def test_main_text_in_linear_time():
+    """Pages that nest, or leave open, a hundred thousand tags or quotes take seconds."""
+    n = 100_000
+    began = time.perf_counter()
+    for page, first in (("<div>" * n + "x", "x"), ("<b>" * n + "</i>" * n + "x", "x"), ("<p " * n + '"', "<p <p"), ('<p "a" ' * n + "'", "<p"), ("<i><div>" + "<b>" * n + "</i>" * n + "y", "y"), ("<div>t " * (n // 4), "t"), ("</div>" * n + "z", "z"), ("<ul><li>" * (n // 2) + "q", "q"), ("<!-- <p" * n, None)):
+        own = main_text.blocks(page).blocks
+        assert own[0][0].startswith(first) if first else not own
+    assert time.perf_counter() - began < 60
 
 
 def test_language_and_toxicity():

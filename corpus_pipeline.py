@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, all but the last
 with the columns of documents. run() writes each stage's rows to the shared folder
-and reads them again as the next one's.
+and reads them again as the next one's, and deletes those of the stage before.
+
+Null texts, keys, languages and sources pass every stage that doesn't reject them: a
+null or empty text isn't toxic but has no language, so it goes there. Repeated rows
+are rows until the third stage, where one stays. Ties are those of the operators.
+Empty tables give an empty result, and columns of documents beyond COLUMNS are left
+out at the start, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +36,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id."""
-    kept = jaccard_join.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each component of near copies the document with the smallest doc_id, once where its row is repeated; documents without words are all kept."""
+    return jaccard_join.representatives(docs).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables, docs = Tables(spark), read_table(spark, sf_dir, "documents").select(*COLUMNS)
+    tables, docs, last = Tables(spark), read_table(spark, sf_dir, "documents").select(*COLUMNS), None
     for _, stage in STAGES:
         docs = tables.cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            tables.drop(last)
+        last = docs
     return docs

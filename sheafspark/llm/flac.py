@@ -1,7 +1,8 @@
 """FLAC streams of one channel: encoded, decoded and verified many frames at a time.
 
-Samples have eight bits (bytes 0 to 255 stand for -128 to 127) and frames 192
-samples. The encoder takes, frame by frame, the best of the fixed predictors of
+Samples have eight bits and frames 192 samples. Bytes are companded: the n-th of
+COMMON stands for amplitude 0, -1, 1, -2 and so on, the rest for the larger ones, so
+that text has a small amplitude, which Rice codes are made for. The encoder takes, frame by frame, the best of the fixed predictors of
 order 0 to 2 and a quantised linear predictor of order 2, and writes the
 residuals as Rice codes; a stream's seek table says where every SEEK_FRAMES-th
 frame begins. The decoder goes by the seek table in runs of frames: in a run it
@@ -37,6 +38,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sheafspark.llm.common import map_arrow, slices
 
+#: Bytes in the order of their amplitudes, about as often as text has them; those not named follow in ascending order.
+COMMON = b" etaoinshrdlcumwfgypbvk.,xjqz\n" + bytes([0xC3]) + b"THISANDOERLCMBPWFGUYVKJQXZ0123456789-'\""
+_RANKED = np.array([*COMMON, *(b for b in range(256) if b not in COMMON)], np.int16)
+#: The sample of each byte, and the byte of each sample (by sample + 128).
+SAMPLE, BYTE = np.zeros(256, np.int16), np.zeros(256, np.uint8)
+SAMPLE[_RANKED] = [-(r + 1) // 2 if r % 2 else r // 2 for r in range(256)]
+BYTE[SAMPLE + 128] = np.arange(256)
+
 BLOCK, RATE_CODE, RATE = 192, 4, 8000
 PAD, TAIL = 32, 16
 LPC_BITS, LPC_SHIFT, MOST_RICE = 6, 4, 14
@@ -73,6 +82,11 @@ def crcs(data: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarra
     return back
 
 
+def signed(raw: np.ndarray) -> bytes:
+    """The samples of bytes, as a stream's MD5 takes them."""
+    return SAMPLE[raw].astype(np.int8).tobytes()
+
+
 def _coded(n: int) -> bytes:
     return chr(n).encode("utf-8", "surrogatepass") if n < 0x10000 else bytes([0xF0 | n >> 18, *(0x80 | n >> s & 63 for s in (12, 6, 0))]) if n < 1 << 21 else bytes([0xF8 | n >> 24, *(0x80 | n >> s & 63 for s in (18, 12, 6, 0))])
 
@@ -116,7 +130,7 @@ def frame_head(n: int) -> bytes:
 
 def encode_frames(pcm: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The frames of pcm, whose numbers in their streams are given, one after another, and their sizes."""
-    x = (pcm.astype(np.int16) - 128).reshape(-1, BLOCK)
+    x = SAMPLE[pcm].reshape(-1, BLOCK)
     res, kind, coef = residuals(x)
     warm = np.array([0, 1, 2, 2])[kind]
     zig = np.where(res >= 0, 2 * res, -2 * res - 1)
@@ -199,7 +213,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for p, body, size in zip(payloads, bodies, sizes, strict=True):
         own, md5 = np.concatenate(size), hashlib.md5()
         for a in range(0, len(p), 1 << 20):
-            md5.update((np.frombuffer(p, np.uint8, min(1 << 20, len(p) - a), a) ^ 128).tobytes())
+            md5.update(signed(np.frombuffer(p, np.uint8, min(1 << 20, len(p) - a), a)))
         out.append(b"".join([stream_info(len(p), int(own.min()), int(own.max()), md5.digest()), seek_table(own), *body]))
     return out
 
@@ -299,7 +313,7 @@ def decode(streams: list[bytes]) -> list[bytes]:
         out[i].append(pcm)
     whole = [b"".join(x) for x in out]
     for s, p in zip(own, whole, strict=True):
-        if len(p) != s.samples or hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest() != s.md5:
+        if len(p) != s.samples or hashlib.md5(signed(np.frombuffer(p, np.uint8))).digest() != s.md5:
             raise ValueError("the stream's MD5 is wrong")
     return whole
 
@@ -336,10 +350,10 @@ def decode_frames(bodies: list[bytes], spans: list[tuple[int, int]]) -> list[byt
     order = np.where(linear, (kind & 31) + 1, kind & 7)
     at = at + 8
     x = np.zeros((BLOCK, len(start)), np.int64)
-    signed = lambda v, n: v - ((v >> (n - 1)) << n)
+    wide = lambda v, n: v - ((v >> (n - 1)) << n)
     for i in range(int(order.max(initial=0))):
         rows = np.flatnonzero(order > i)
-        x[i, rows] = signed(bits.take(at[rows], 8), 8)
+        x[i, rows] = wide(bits.take(at[rows], 8), 8)
         at[rows] += 8
     coef, shift = np.zeros((32, len(start)), np.int64), np.zeros(len(start), np.int64)
     rows = np.flatnonzero(linear)
@@ -349,7 +363,7 @@ def decode_frames(bodies: list[bytes], spans: list[tuple[int, int]]) -> list[byt
         at[rows] += 9
         for i in range(int(order[rows].max())):
             own = order[rows] > i
-            coef[i, rows[own]] = signed(bits.take(at[rows[own]], n[own]), n[own])
+            coef[i, rows[own]] = wide(bits.take(at[rows[own]], n[own]), n[own])
             at[rows[own]] += n[own]
     if bits.take(at, 6).any():
         raise ValueError("Rice partitions are not read")
@@ -381,7 +395,9 @@ def decode_frames(bodies: list[bytes], spans: list[tuple[int, int]]) -> list[byt
         for i in range(o, BLOCK):
             y[i] += sum(c[j] * y[i - 1 - j] for j in range(o)) >> s
         x[:, own] = y
-    pcm = (x.T + 128).astype(np.uint8).tobytes()
+    if x.min(initial=0) < -128 or x.max(initial=0) > 127:
+        raise ValueError("a sample is out of range")
+    pcm = BYTE[x.T + 128].tobytes()
     at = np.cumsum([0, *frames.tolist()]) * BLOCK
     return [pcm[a:e] for a, e in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
@@ -404,8 +420,8 @@ class Summary:
     def add(self, pcm: bytes) -> None:
         raw = np.frombuffer(pcm, np.uint8)
         self.sha.update(pcm)
-        self.md5.update((raw ^ 128).tobytes())
-        s = raw.astype(np.int32) - 128
+        self.md5.update(signed(raw))
+        s = SAMPLE[raw].astype(np.int32)
         below = s < 0
         self.n += len(s)
         self.energy += int((s * s).sum(dtype=np.int64))

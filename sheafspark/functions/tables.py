@@ -71,9 +71,9 @@ def chart_html(headers: Column, columns: Column) -> Column:
 
 
 def dense(points: Column, most: int = 100_000) -> Column:
-    """An array from a map of index to text, gaps empty, at most ``most`` long."""
-    last = F.least(F.array_max(F.map_keys(points)), F.lit(most - 1))
-    return F.when(F.size(points) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(points, i), F.lit("")))).otherwise(F.array().cast("array<string>"))
+    """An array from a map of index to text, gaps empty; an empty one where it would be longer than ``most``, as indexes so far apart are no series."""
+    last = F.array_max(F.map_keys(points))
+    return F.when((F.size(points) > 0) & (last < most), F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(points, i), F.lit("")))).otherwise(F.array().cast("array<string>"))
 
 
 def trim_empty(values: Column) -> Column:

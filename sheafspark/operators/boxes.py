@@ -135,3 +135,182 @@ def profile(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """keys, at and n: how many intervals [low, high) cover each whole place."""
     at = F.explode(F.when(F.col(high) > F.col(low), F.sequence(F.col(low), F.col(high) - 1)))
     return df.select(*keys, at.alias("at")).groupBy(*keys, "at").agg(F.count("*").alias("n"))
+
+
+def without_large(df: DataFrame, sizes: DataFrame, page: list[str], wide: float = 0.82, tall: float = 0.93) -> DataFrame:
+    """Boxes without the pictures that fill their page (width and height in ``sizes``), where the page has other boxes that stay."""
+    from pyspark.sql import Window
+
+    over = Window.partitionBy(*page)
+    w, h = F.col("_w"), F.col("_h")
+    inside = (F.least(F.col("x2"), w) - F.greatest(F.col("x1"), F.lit(0))) * (F.least(F.col("y2"), h) - F.greatest(F.col("y1"), F.lit(0)))
+    large = (F.col("label") == "image") & (inside > w * h * F.when(w > h, wide).otherwise(tall))
+    rows = df.join(sizes.select(*page, F.col("width").alias("_w"), F.col("height").alias("_h")), page).withColumn("_large", large)
+    rows = rows.withColumn("_stay", F.sum(F.when(F.col("_large"), 0).otherwise(1)).over(over))
+    return rows.filter("not _large or _stay = 0").drop("_w", "_h", "_large", "_stay")
+
+
+def without_nested(df: DataFrame, page: list[str], key: str, merge: str, keep: tuple[str, ...] = (), least: float = 0.8) -> DataFrame:
+    """Of boxes that lie in others of their page: with "large" they go, with "small" those go that hold others and lie in none. Labels in ``keep`` don't count as lying in another."""
+    other = df.select(*page, F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in EDGES])
+    pairs = df.filter(~F.col("label").isin(list(keep))).join(other, page).filter((F.col(key) != F.col("_k")) & G.contained(G.box(), G.box("_"), least))
+    inner = pairs.select(*page, key).distinct()
+    if merge == "large":
+        return df.join(inner, [*page, key], "left_anti")
+    outer = pairs.select(*page, F.col("_k").alias(key)).distinct().join(inner, [*page, key], "left_anti")
+    return df.join(outer, [*page, key], "left_anti")
+
+
+def without_inside(df: DataFrame, page: list[str], key: str) -> DataFrame:
+    """Boxes that lie in no other of their page; two equal ones remove each other."""
+    other = df.select(*page, F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in EDGES])
+    inner = df.join(other, page).filter((F.col(key) != F.col("_k")) & F.expr("x1 >= _x1 and y1 >= _y1 and x2 <= _x2 and y2 <= _y2")).select(*page, key).distinct()
+    return df.join(inner, [*page, key], "left_anti")
+
+
+def matched(df: DataFrame, others: DataFrame, page: list[str], key: str, other: str, most: float = 1.0) -> DataFrame:
+    """page, key and other of each box: the first (by other) of others' boxes of its page whose edges all lie within ``most``; null for none."""
+    o = others.select(*page, F.col(other), *[F.col(c).alias(f"_{c}") for c in EDGES])
+    near = F.lit(True)
+    for c in EDGES:
+        near = near & (F.abs(F.col(c) - F.col(f"_{c}")) <= most)
+    # only boxes whose first edges share a cell of the grid, or stand in neighbouring ones, are compared
+    cell = F.floor(F.col("x1") / (2 * most))
+    a = df.withColumn("_g", F.explode(F.array(cell - 1, cell, cell + 1)))
+    b = o.withColumn("_g", F.floor(F.col("_x1") / (2 * most)))
+    hits = a.join(b, [*page, "_g"]).filter(near).groupBy(*page, key).agg(F.min(other).alias(other))
+    return df.select(*page, key).join(hits, [*page, key], "left")
+
+
+def profile_runs(df: DataFrame, keys: list[str], low: str, high: str, least: int = 0, gap: int = 1) -> DataFrame:
+    """keys, run_start and run_end (excluded): stretches of the coverage profile over ``least``, cut where more than ``gap`` lies between covered places."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("at")
+    rows = profile(df, keys, low, high).filter(F.col("n") > least)
+    rows = rows.withColumn("_new", F.when(F.col("at") - F.lag("at").over(w) > gap, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
+    return rows.groupBy(*keys, "_run").agg(F.min("at").alias("run_start"), (F.max("at") + 1).alias("run_end")).drop("_run")
+
+
+def projected_order(boxes: list[tuple[float, float, float, float]]) -> list[int]:
+    """Reading order by profiles of whole numbers: bands of rows from the top, in each the columns from the left, and again in each column while its bands come apart."""
+    b = np.asarray(boxes, float).reshape(-1, 4).astype(int)
+
+    def bands(own: np.ndarray, axis: int) -> list[np.ndarray]:
+        order = own[np.argsort(b[own, axis], kind="stable")]
+        reach = np.maximum.accumulate(b[order, axis + 2])
+        return np.split(order, np.flatnonzero(b[order[1:], axis] > reach[:-1]) + 1)
+
+    out, todo = [], [(np.arange(len(b)), 1, 0)] if len(b) else []
+    while todo:
+        own, axis, idle = todo.pop()
+        parts = bands(own, axis)
+        idle = 0 if len(parts) > 1 else idle + 1
+        if idle > 1 or len(own) == 1:  # neither rows nor columns come apart any more
+            out += own[np.lexsort((b[own, 0], b[own, 1]))].tolist()
+            continue
+        todo += [(p, 1 - axis, idle) for p in reversed(parts)]
+    return out
+
+
+#: Fixed value: texts that are page numbers, which never end the left column.
+PAGE_NUMBER = r"(?i)(\u7b2c\s*([ivxlcdm]+|\d+|[a-z])\s*\u9875|page[- ]*([ivxlcdm]+|\d+|[a-z])|\d+|[ivxlcdm]+)"
+
+
+def columns_order(rows: list[tuple[tuple[float, float, float, float], str]], width: float, columns: bool = False) -> list[int]:
+    """Order of (box, text): by top and left; on a page of two columns the left one's boxes before the right one's, between boxes that span both."""
+    import re
+
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0][1], rows[i][0][0]))
+    if not columns or len(rows) < 2:
+        return order
+    out, left, right = [], [], []
+    half = width / 2
+
+    def close() -> None:
+        out.extend([*left, *right])
+        left.clear()
+        right.clear()
+
+    for n, i in enumerate(order):
+        x0, y0, x1, _ = rows[i][0]
+        if n == len(order) - 1:
+            above = rows[order[n - 1]][0][3]
+            if y0 > above and x0 < half < x1:
+                close()
+                out.append(i)
+            elif x1 > half or re.fullmatch(PAGE_NUMBER, rows[i][1]):
+                right.append(i)
+            else:
+                left.append(i)
+        elif x0 < width / 4 and x1 < 3 * width / 4:
+            left.append(i)
+        elif x0 > width / 4 and x1 > half:
+            (left if x0 < half * 0.95 else right).append(i)
+        else:
+            close()
+            out.append(i)
+    close()
+    return out
+
+
+def quad_order(corners: list[tuple[float, float]], same: float = 10.0) -> list[int]:
+    """Order of quadrangles by their first corner (x, y): by height and then left, a later one going before those of about its height that lie right of it."""
+    out: list[int] = []
+    for i in sorted(range(len(corners)), key=lambda i: (corners[i][1], corners[i][0])):
+        at = len(out)
+        while at and abs(corners[i][1] - corners[out[at - 1]][1]) < same and corners[i][0] < corners[out[at - 1]][0]:
+            at -= 1
+        out.insert(at, i)
+    return out
+
+
+def ordered(df: DataFrame, page: list[str], key: str, how: str, **options) -> DataFrame:
+    """df with position, from 0 in a page; how: "columns", "profile" or "quad"."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(key).reset_index(drop=True)
+        b = [tuple(r) for r in own[EDGES].to_numpy(float).tolist()]
+        if how == "columns":
+            order = columns_order(list(zip(b, own["text"].tolist(), strict=True)), **options)
+        else:
+            order = quad_order([(x, y) for x, y, _, _ in b], **options) if how == "quad" else projected_order(b)
+        own = own.iloc[order]
+        return own.assign(position=range(len(own)))
+
+    return _per_page(df, page, run, "position int")
+
+
+def union_area(boxes: list[tuple[float, float, float, float]]) -> float:
+    """The area that boxes cover together: slab by slab between their left and right edges."""
+    edges, total = sorted({x for b in boxes for x in (b[0], b[2])}), 0.0
+    for a, e in zip(edges, edges[1:], strict=False):
+        end, high = -float("inf"), 0.0
+        for y0, y1 in sorted((b[1], b[3]) for b in boxes if b[0] <= a and b[2] >= e):
+            high += max(0.0, y1 - max(y0, end))
+            end = max(end, y1)
+        total += high * (e - a)
+    return total
+
+
+def union_areas(df: DataFrame, page: list[str]) -> DataFrame:
+    """page and area: what a page's boxes cover together, as a range join of boxes with the slabs between their edges."""
+    from pyspark.sql import Window
+
+    edges = df.select(*page, F.explode(F.array("x1", "x2")).alias("a")).distinct()
+    slabs = edges.withColumn("e", F.lead("a").over(Window.partitionBy(*page).orderBy("a"))).filter("e is not null")
+    inside = slabs.join(df, page).filter("x1 <= a and x2 >= e")
+    reach = F.max("y2").over(Window.partitionBy(*page, "a").orderBy("y1", "y2").rowsBetween(Window.unboundedPreceding, -1))
+    new = inside.withColumn("_r", reach).withColumn("_h", F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), F.coalesce("_r", F.col("y1")))))
+    return new.groupBy(*page).agg(F.sum(F.col("_h") * (F.col("e") - F.col("a"))).alias("area"))
+
+
+def background_pictures(shapes: DataFrame, page: list[str], order: str, least: float = 0.1) -> DataFrame:
+    """page and order of pictures of which later text shapes cover ``least`` or more, together."""
+    pics = shapes.filter("kind = 'picture'").select(*page, F.col(order), *[F.col(c).alias(f"p{c}") for c in EDGES])
+    texts = shapes.filter("kind = 'text'").select(*page, F.col(order).alias("_o"), *EDGES)
+    over = pics.join(texts, page).filter(F.col("_o") > F.col(order))
+    cut = over.select(*page, order, F.greatest("x1", "px1").alias("x1"), F.greatest("y1", "py1").alias("y1"), F.least("x2", "px2").alias("x2"), F.least("y2", "py2").alias("y2")).filter("x1 < x2 and y1 < y2")
+    areas = union_areas(cut, [*page, order])
+    whole = pics.select(*page, order, ((F.col("px2") - F.col("px1")) * (F.col("py2") - F.col("py1"))).alias("_all"))
+    return areas.join(whole, [*page, order]).filter(F.col("area") >= F.col("_all") * least).select(*page, order)

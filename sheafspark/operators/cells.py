@@ -14,11 +14,20 @@ def chunks(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
 
 
 def without_subsets(sets: DataFrame, group: str, key: str, column: str) -> DataFrame:
-    """sets without those that are a strict subset of another of their group. Equal sets of a group meet as one row."""
-    distinct = sets.select(group, F.array_sort(column).alias("_s")).distinct()
-    a, b = distinct.withColumnRenamed("_s", "_a"), distinct.withColumnRenamed("_s", "_b")
-    over = a.join(b, group).filter((F.size("_a") < F.size("_b")) & (F.size(F.array_except("_a", "_b")) == 0)).select(group, F.col("_a").alias("_s")).distinct()
-    return sets.withColumn("_s", F.array_sort(column)).join(over, [group, "_s"], "left_anti").drop("_s")
+    """sets without those that are a strict subset of another of their group; equal sets stay together.
+
+    Equal sets of a group meet as one row. A set meets only the larger ones that have its rarest element (of its group), not all of the group; the empty set is a subset wherever there is another.
+    """
+    rows = sets.withColumn("_s", F.array_sort(F.array_distinct(column)))
+    distinct = rows.select(group, "_s").distinct()
+    each = distinct.select(group, "_s", F.explode("_s").alias("_e"))
+    rarity = each.groupBy(group, "_e").agg(F.count("*").alias("_n"))
+    counted = each.join(rarity, [group, "_e"])
+    rarest = counted.groupBy(group, "_s").agg(F.min(F.struct("_n", "_e"))["_e"].alias("_e"))
+    a, b = rarest.withColumnRenamed("_s", "_a"), each.withColumnRenamed("_s", "_b")
+    over = a.join(b, [group, "_e"]).filter((F.size("_a") < F.size("_b")) & (F.size(F.array_except("_a", "_b")) == 0)).select(group, F.col("_a").alias("_s")).distinct()
+    full = distinct.filter(F.size("_s") > 0).select(group).distinct().select(group, F.array().cast(dict(distinct.dtypes)["_s"]).alias("_s"))
+    return rows.join(over.union(full), [group, "_s"], "left_anti").drop("_s")
 
 
 def table_bounds(cells: set[tuple[int, int]], gap: int = 0) -> list[tuple[int, int, int, int]]:
@@ -55,3 +64,76 @@ def detect_tables(cells: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", table_id int, top int, left int, bottom int, right int"
     return cells.groupBy(*keys).applyInPandas(run, schema)
+
+
+def content_mask(cells: DataFrame, table: list[str], rows: str, cols: str, semantic: str) -> DataFrame:
+    """table, row and col of each place that a cell with content covers, its spans cut at the table's size."""
+    own = cells.filter(F.col(semantic))
+    down = F.sequence(F.col("row"), F.least(F.col("row") + F.col("row_span"), F.col(rows)) - 1)
+    own = own.filter((F.col("row") < F.col(rows)) & (F.col("col") < F.col(cols))).select(*table, rows, cols, F.explode(down).alias("row"), "col", "col_span")
+    across = F.sequence(F.col("col"), F.least(F.col("col") + F.col("col_span"), F.col(cols)) - 1)
+    return own.select(*table, "row", F.explode(across).alias("col")).distinct()
+
+
+def table_summaries(tables: DataFrame, mask: DataFrame, table: list[str], rows: str = "num_rows", cols: str = "num_cols") -> DataFrame:
+    """tables with area, content_area, blank_ratio, blank_rows and blank_cols (inner ones without content) and longest_blank, the most of them in a row."""
+
+    def blanks(size: str, axis: str) -> DataFrame:
+        lines = tables.filter(F.col(size) > 2).select(*table, F.explode(F.sequence(F.lit(1), F.col(size) - 2)).alias(axis))
+        empty = lines.join(mask.select(*table, axis).distinct(), [*table, axis], "left_anti")
+        isle = empty.withColumn("_i", F.col(axis) - F.row_number().over(Window.partitionBy(*table).orderBy(axis)))
+        return isle.groupBy(*table, "_i").agg(F.count("*").alias("_n")).groupBy(*table).agg(F.sum("_n").alias(f"blank_{axis}s"), F.max("_n").alias(f"_longest_{axis}"))
+
+    out = tables.join(mask.groupBy(*table).agg(F.count("*").alias("content_area")), table, "left").join(blanks(rows, "row"), table, "left").join(blanks(cols, "col"), table, "left")
+    out = out.na.fill(0, ["content_area", "blank_rows", "blank_cols", "_longest_row", "_longest_col"]).withColumn("area", F.col(rows) * F.col(cols))
+    out = out.withColumn("blank_ratio", 1 - F.col("content_area") / F.greatest(F.col("area"), F.lit(1)))
+    return out.withColumn("longest_blank", F.greatest("_longest_row", "_longest_col")).drop("_longest_row", "_longest_col")
+
+
+def candidate_summaries(tables: DataFrame, keys: list[str], rows: str = "num_rows", cols: str = "num_cols") -> DataFrame:
+    """keys, severe and penalty of each candidate, a way to cut a sheet into tables (table_summaries' rows with top and is_single)."""
+    inner = F.greatest(F.col(rows) - 2, F.lit(0)) + F.greatest(F.col(cols) - 2, F.lit(0))
+    total = tables.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.col("is_single").cast("int")).alias("single"), F.sum((F.col("longest_blank") >= 2).cast("int")).alias("severe"),
+        F.sum(((F.col("area") >= 6) & (F.col("blank_ratio") > 0.35)).cast("int")).alias("sparse"), F.sum("area").alias("area"), F.sum(F.col("area") - F.col("content_area")).alias("blank"),
+        F.sum(F.col("blank_rows") + F.col("blank_cols")).alias("lines"), F.sum(inner).alias("inner"),
+    )
+    covered = tables.select(*keys, F.explode(F.sequence(F.col("top"), F.col("top") + F.col(rows) - 1)).alias("_r")).groupBy(*keys, "_r").agg(F.count("*").alias("_n"))
+    over = covered.groupBy(*keys).agg((F.sum(F.col("_n") - 1) / F.count("*")).alias("overlap"))
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    penalty = 6.0 * F.col("severe") + 2.5 * share("lines", "inner") + 1.5 * share("sparse", "n") + share("single", "n") + 0.5 * share("blank", "area") + F.col("overlap")
+    return total.join(over, keys).select(*keys, "severe", share("lines", "inner").alias("line_ratio"), penalty.alias("penalty"))
+
+
+def best_gaps(candidates: DataFrame, sheet: list[str], gap: str = "gap", margin: float = 0.15) -> DataFrame:
+    """sheet and the tolerance of its best candidate: of those within ``margin`` of the least penalty the one with the fewest severe gaps, then 1 before 0 before 2, then the fewest blank lines."""
+    near = candidates.withColumn("_least", F.min("penalty").over(Window.partitionBy(*sheet))).filter(F.col("penalty") <= F.col("_least") + margin)
+    prefer = F.when(F.col(gap) == 1, 0).when(F.col(gap) == 0, 1).otherwise(2)
+    return near.groupBy(*sheet).agg(F.min_by(gap, F.struct("severe", prefer.alias("_p"), "line_ratio", "penalty")).alias(gap))
+
+
+def best_gap(cells: set[tuple[int, int]], single_ok: bool = True) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """The best tolerance (0, 1 or 2) for a sheet's cells and its tables' boxes, as the DataFrame form chooses, without tables whose cells another has."""
+    made = []
+    for gap in (0, 1, 2):
+        boxes = table_bounds(cells, gap)
+        severe = lines = inner = sparse = single = area = blank = 0
+        rows: dict[int, int] = {}
+        for top, left, bottom, right in boxes:
+            own = {(r, c) for r, c in cells if top <= r <= bottom and left <= c <= right}
+            high, wide = bottom - top + 1, right - left + 1
+            empty = [[r not in {x for x, _ in own} for r in range(top + 1, bottom)], [c not in {x for _, x in own} for c in range(left + 1, right)]]
+            run = max((len(x) for e in empty for x in "".join("x" if b else " " for b in e).split()), default=0)
+            severe, lines, inner = severe + (run >= 2), lines + sum(map(sum, empty)), inner + max(high - 2, 0) + max(wide - 2, 0)
+            area, blank, single = area + high * wide, blank + high * wide - len(own), single + (high == wide == 1)
+            sparse += high * wide >= 6 and 1 - len(own) / (high * wide) > 0.35
+            for r in range(top, bottom + 1):
+                rows[r] = rows.get(r, 0) + 1
+        n = max(len(boxes), 1)
+        ratio = lines / max(inner, 1)
+        penalty = 6 * severe + 2.5 * ratio + 1.5 * sparse / n + single / n + 0.5 * blank / max(area, 1) + sum(k - 1 for k in rows.values()) / max(len(rows), 1)
+        sets = [{(r, c) for r, c in cells if b[0] <= r <= b[2] and b[1] <= c <= b[3]} for b in boxes]
+        made.append((penalty, severe, (1, 0, 2)[gap], ratio, gap, [b for b, x in zip(boxes, sets, strict=True) if not any(x < y for y in sets)]))
+    least = min(m[0] for m in made)
+    best = min((m for m in made if m[0] <= least + 0.15), key=lambda m: (m[1], m[2], m[3], m[0]))
+    return best[4], best[5]

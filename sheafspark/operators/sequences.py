@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def section_numbers(df: DataFrame, doc: list[str], order: list[str], level: str, deepest: int = 6) -> DataFrame:
+def section_numbers(df: DataFrame, doc: list[str], order: list[str], level: str, deepest: int | None = None) -> DataFrame:
     """df with number, dotted: a heading counts at its level and starts the deeper ones again; levels without a heading yet count as 1.
 
-    One window per level: a level's count is of its headings since the last shallower one.
+    One window per level down to the deepest (asked of df where it isn't given): a level's count is of its headings since the last shallower one.
     """
+    deepest = deepest or df.agg(F.max(level)).first()[0] or 1
     rows = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out, last = df, []
     for k in range(1, deepest + 1):
@@ -109,6 +110,114 @@ def nearest_body(df: DataFrame, page: list[str], idx: str, key: str, is_caption:
     return both.select(F.col(key).alias("caption"), F.when(take_f, F.col("_f.k")).otherwise(F.col("_first.k")).alias("body")).filter("body is not null")
 
 
+#: What a text that follows a table, image or chart begins with if it is its caption (in lower case).
+CAPTION_STARTS = {"table": ("\u8868", "table"), "image": ("\u56fe", "fig"), "chart": ("\u56fe", "fig", "chart")}
+
+
+def captions(df: DataFrame, page: list[str], order: str, kind: str = "type", content: str = "content") -> DataFrame:
+    """df whose captions have their type: a text right after a table, image or chart that begins like its caption is one; a caption goes with the nearest of these before it, captions between not counted, else with the one after; without either it is text."""
+    w = Window.partitionBy(*page).orderBy(order)
+    start, before = F.lower(F.trim(content)), F.lag(kind).over(w)
+    begins = F.lit(False)
+    for name, starts in CAPTION_STARTS.items():
+        for x in starts:
+            begins = begins | ((F.col("_before") == name) & F.col("_start").startswith(x))
+    rows = df.withColumn("_before", before).withColumn("_start", start)
+    rows = rows.withColumn("_kind", F.when((F.col(kind) == "text") & F.coalesce(begins, F.lit(False)), "caption").otherwise(F.col(kind)))
+    other = F.when(F.col("_kind") != "caption", F.col("_kind"))
+    last = F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.first(other, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("_last", last).withColumn("_next", following)
+    bodies = list(CAPTION_STARTS)
+    own = F.when(F.col("_last").isin(bodies), F.concat("_last", F.lit("_caption"))).when(F.col("_next").isin(bodies), F.concat("_next", F.lit("_caption"))).otherwise("text")
+    return rows.withColumn(kind, F.when(F.col("_kind") == "caption", own).otherwise(F.col("_kind"))).drop("_before", "_start", "_kind", "_last", "_next")
+
+
+def contiguous_captions(df: DataFrame, keys: list[str], body: str, caption: str) -> DataFrame:
+    """df (a row for each body and caption, with their places) with stays: counted back from a body's last caption, captions stay while each stands right before the next one kept, or only the body stands between."""
+    w = Window.partitionBy(*keys, body).orderBy(F.desc(caption))
+    step = F.lag(caption).over(w) - F.col(caption)
+    broken = ~((step == 1) | ((step == 2) & (F.col(body) == F.col(caption) + 1)))
+    return df.withColumn("_gap", F.when(broken, 1).otherwise(0)).withColumn("stays", F.sum("_gap").over(w) == 0).drop("_gap")
+
+
+def with_captions(bodies: DataFrame, ties: DataFrame, keys: list[str], body: str, caption: str, text: str) -> DataFrame:
+    """bodies with captions: the texts of those tied to each, in order; none is an empty list."""
+    own = ties.groupBy(*keys, body).agg(F.transform(F.array_sort(F.collect_list(F.struct(caption, text))), lambda x: x[text]).alias("captions"))
+    return bodies.join(own, [*keys, body], "left").withColumn("captions", F.coalesce("captions", F.array().cast("array<string>")))
+
+
+def numbered_titles(df: DataFrame, doc: list[str], order: str, level: str, is_numbered: str, text: str) -> DataFrame:
+    """df with section_number, as section_numbers counts, but a dotted number that a title without one begins with, of as many parts as its level, is taken over. A document's titles are one group, as each number can depend on all before it."""
+    import pandas as pd
+
+    from sheafspark.functions import blocks
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order)
+        titles = [{"type": "title", "level": int(n), "is_numbered": bool(k), "spans": [{"type": "text", "content": t or ""}]} for n, k, t in zip(own[level], own[is_numbered], own[text], strict=True)]
+        made = blocks.numbered([{"para_blocks": titles}])[0]["para_blocks"]
+        return own.assign(section_number=[b.get("section_number") for b in made])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", section_number string"
+    return df.groupBy(*doc).applyInPandas(run, schema)
+
+
+def list_levels(df: DataFrame, keys: list[str], order: str, is_item: str, level: str) -> DataFrame:
+    """df with depth: an item's level over the first one's of its run of items, 0 at least; null for others."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    run = F.sum(F.when(F.col(is_item), 0).otherwise(1)).over(w)
+    first = F.first(F.when(F.col(is_item), F.col(level)), ignorenulls=True).over(Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_run", run).withColumn("depth", F.when(F.col(is_item), F.greatest(F.col(level) - first, F.lit(0)))).drop("_run")
+
+
+def numbers(items: list[tuple[int, bool, int | None]]) -> list[tuple[int, int | None]]:
+    """(list, number) of (level, ordered, explicit start) items in a row: a deeper item opens a list in its parent's, a shallower one closes the deeper ones, and another kind or a start that isn't the next number opens a new list; numbers are null where unordered."""
+    out, stack, n = [], [], 0  # stack: [level, ordered, next, list]
+    for level, ordered, start in items:
+        while stack and stack[-1][0] > level:
+            stack.pop()
+        top = stack[-1] if stack and stack[-1][0] == level else None
+        if top and (top[1] != ordered or ordered and start is not None and start != top[2]):
+            stack.pop()
+            top = None
+        if top is None:
+            n += 1
+            top = [level, ordered, start if start is not None else 1, n]
+            stack.append(top)
+        out.append((top[3], top[2] if ordered else None))
+        top[2] += 1
+    return out
+
+
+def list_numbers(df: DataFrame, keys: list[str], order: str, level: str, ordered: str, start: str) -> DataFrame:
+    """df with list_no and number of each item, as ``numbers`` says; a shape's items are one group."""
+    import pandas as pd
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order)
+        got = numbers([(int(n), bool(o), None if pd.isna(s) else int(s)) for n, o, s in zip(own[level], own[ordered], own[start], strict=True)])
+        return own.assign(list_no=[a for a, _ in got], number=pd.array([b for _, b in got], dtype="Int32"))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", list_no int, number int"
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def heading_lists(df: DataFrame, doc: list[str], order: str, num: str, level: str, is_text: str) -> DataFrame:
+    """doc and num of lists that are headings: items of several levels, with body text between some of them."""
+    w = Window.partitionBy(*doc).orderBy(order)
+    texts = F.sum(F.when(F.col(is_text), 1).otherwise(0)).over(w)
+    items = df.withColumn("_t", texts).filter(F.col(num).isNotNull())
+    return items.groupBy(*doc, num).agg(F.countDistinct(level).alias("_levels"), F.min("_t").alias("_a"), F.max("_t").alias("_b")).filter("_levels > 1 and _b > _a").select(*doc, num)
+
+
+def grouped_parts(df: DataFrame, keys: list[str], order: str, kind: str, text: str) -> DataFrame:
+    """keys and content: parts of a kind in a row a line each, an empty line between groups."""
+    own = F.array_sort(F.collect_list(F.struct(order, text)))
+    groups = runs(df, keys, order, [kind]).groupBy(*keys, "run").agg(F.array_join(F.transform(own, lambda x: x[text]), "\n").alias("_g"))
+    return groups.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "_g"))), lambda x: x["_g"]), "\n\n").alias("content"))
+
+
 def following_captions(df: DataFrame, page: list[str], order: str) -> DataFrame:
     """df whose texts with a caption's beginning (column cap) right after a table, image or chart have its caption type."""
     before = F.lag("type").over(Window.partitionBy(*page).orderBy(order))
@@ -123,13 +232,29 @@ def keep_known_anchors(toc: DataFrame, body: DataFrame, anchor: str) -> DataFram
     return out.withColumn(anchor, F.when(~F.col("_any") | F.coalesce("_known", F.lit(False)), F.col(anchor))).drop("_known", "_any")
 
 
-def inherit(styles: DataFrame, key: str, parent: str, value: str, deepest: int = 12) -> DataFrame:
-    """key and value: the style's own, else the nearest of those that it is based on. A circle ends at ``deepest`` steps."""
-    base = styles.select(F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(value).alias("_v"))
-    out = styles.select(key, F.col(parent).alias("_at"), value)
-    for _ in range(deepest):
-        out = out.join(F.broadcast(base), F.col("_at") == F.col("_k"), "left").select(key, F.when(F.col(value).isNull(), F.col("_p")).alias("_at"), F.coalesce(value, "_v").alias(value))
-    return out.select(key, value)
+def inherit(styles: DataFrame, key: str, parent: str, value: str, doc: list[str] | None = None) -> DataFrame:
+    """doc, key and value: the style's own, else the nearest of those that it is based on, however far; of a circle without one null.
+
+    A recursive query goes up a step a round and carries only styles that still lack a value; it ends after as many steps as a document has styles.
+    """
+    doc, spark = doc or [], styles.sparkSession
+    own = styles.select(*doc, F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(value).alias("_v"))
+    most = own.groupBy(*doc).count().agg(F.max("count")).first()[0] or 1
+    same = " AND ".join([f"c.`{d}` <=> s.`{d}`" for d in doc] + ["c._p = s._k"])
+    names = "".join(f"c.`{d}`, " for d in doc)
+    chain = spark.sql(
+        f"WITH RECURSIVE c MAX RECURSION LEVEL {most + 1} AS (SELECT *, 0 AS _n FROM {{own}} AS s UNION ALL SELECT {names}c._k, s._p, s._v, c._n + 1 FROM c JOIN {{own}} AS s ON {same} WHERE c._v IS NULL AND c._n < {most}) SELECT * FROM c",
+        own=own,
+    )
+    return chain.groupBy(*doc, F.col("_k").alias(key)).agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_n"))).alias(value))
+
+
+def toggles(runs_: DataFrame, char_styles: DataFrame, para_styles: DataFrame, doc: list[str], direct: str, char: str, para: str, value: str, links: tuple[str, ...] = ("Hyperlink",)) -> DataFrame:
+    """runs_ with value: the run's own, else its character style's (links' aside), else its paragraph style's, else false. The styles' values are those that ``inherit`` gives."""
+    c = char_styles.select(*doc, F.col("style").alias(char), F.col(value).alias("_c"))
+    p = para_styles.select(*doc, F.col("style").alias(para), F.col(value).alias("_p"))
+    rows = runs_.join(c, [*doc, char], "left").join(p, [*doc, para], "left")
+    return rows.withColumn(value, F.coalesce(direct, F.when(~F.col(char).isin(list(links)), F.col("_c")), "_p", F.lit(False))).drop("_c", "_p")
 
 
 def ctc(symbols: Column, blank: int = 0) -> Column:

@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from sheafspark.functions import repetition, tables
 
 
-@F.pandas_udf("string")
-def truncate(x: pd.Series) -> pd.Series:
-    return x.map(repetition.truncate)
-
-
 @F.pandas_udf("string")
 def otsl(x: pd.Series) -> pd.Series:
     return x.map(tables.otsl_html)
@@ -26,7 +21,9 @@ def decode(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(bytes(v)) if v is not None else (None, None) for v in x], columns=["text", "encoding"])
 
 
-def truncated(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+def truncated(df: DataFrame, keys: list[str], column: str, least: int = 50) -> DataFrame:
+    """keys and content: texts of ``least`` characters or more without runaway repetition."""
+    truncate = F.pandas_udf(lambda x: x.map(lambda t: repetition.truncate(t, least)), "string")
     return df.select(*keys, truncate(F.col(column)).alias("content"))
 
 

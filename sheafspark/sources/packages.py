@@ -16,16 +16,17 @@ import json
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import UTC
 from urllib.parse import unquote
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.functions import latex, markup
+from sheafspark.functions import blocks, markup
+from sheafspark.functions.xml import attr, child, named, parse_xml
+from sheafspark.sources import office
 
 Page = dict[str, str]
 #: Encodings that are tried in order where bytes aren't UTF-8.
@@ -52,30 +53,6 @@ def tidy(text: str) -> str:
     return re.sub("\n{2,}", "\n", text.replace("\r\n", "\n")).strip()
 
 
-def parse_xml(raw: bytes) -> ElementTree.Element:
-    if b"<!DOCTYPE" in raw[:4096] or b"<!ENTITY" in raw:
-        raise ValueError("a document type is not allowed")
-    return ElementTree.fromstring(raw)
-
-
-def name_of(e) -> str:
-    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-
-
-def child(e, *names: str):
-    for n in names:
-        if e is None:
-            return None
-        e = next((c for c in e if name_of(c) == n), None)
-    return e
-
-
-def attr(e, name: str, default: str | None = None) -> str | None:
-    if e is None:
-        return default
-    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), default)
-
-
 def read_text(raw: bytes) -> list[Page]:
     return [{"content": tidy(decode(raw)[0])}]
 
@@ -191,15 +168,15 @@ def read_epub(raw: bytes) -> list[Page]:
     """A page for each spine item with text; items that the manifest lacks are left out."""
     z = zipfile.ZipFile(io.BytesIO(raw))
     container = parse_xml(z.read("META-INF/container.xml"))
-    opf = next(attr(e, "full-path") for e in container.iter() if name_of(e) == "rootfile")
+    opf = next(attr(e, "full-path") for e in container.iter() if named(e) == "rootfile")
     root, base = parse_xml(z.read(opf)), posixpath.dirname(opf)
     meta: dict[str, list[str]] = {}
     for e in child(root, "metadata") if child(root, "metadata") is not None else []:
         if e.text and e.text.strip():
-            meta.setdefault(name_of(e), []).append(e.text.strip())
-    manifest = {attr(e, "id"): attr(e, "href") for e in root.iter() if name_of(e) == "item"}
+            meta.setdefault(named(e), []).append(e.text.strip())
+    manifest = {attr(e, "id"): attr(e, "href") for e in root.iter() if named(e) == "item"}
     out, names = [], set(z.namelist())
-    for i, ref in enumerate(e for e in root.iter() if name_of(e) == "itemref"):
+    for i, ref in enumerate(e for e in root.iter() if named(e) == "itemref"):
         href = manifest.get(attr(ref, "idref"))
         path = posixpath.normpath(posixpath.join(base, unquote(href))) if href else None
         if path in names:
@@ -213,406 +190,32 @@ def read_epub(raw: bytes) -> list[Page]:
 # Office packages -----------------------------------------------------------------
 
 
-class Package:
-    """A zip of XML parts; unreadable members and relationships to missing parts are left out."""
-
-    def __init__(self, raw: bytes):
-        if raw[:8] == bytes.fromhex("d0cf11e0a1b11ae1"):
-            raise ValueError("a legacy binary file")
-        self.zip = zipfile.ZipFile(io.BytesIO(raw))
-        self.names = set(self.zip.namelist())
-
-    def xml(self, name: str) -> ElementTree.Element | None:
-        if name not in self.names:
-            return None
-        raw = self.zip.read(name)
-        # strict files name the same things by other addresses
-        return parse_xml(raw.replace(b"http://purl.oclc.org/ooxml/", b"http://schemas.openxmlformats.org/"))
-
-    def relations(self, part: str) -> dict[str, tuple[str, str]]:
-        """Target and type of each relationship id of a part."""
-        folder, _, name = part.rpartition("/")
-        root = self.xml(f"{folder}/_rels/{name}.rels" if folder else f"_rels/{name}.rels")
-        out = {}
-        for r in root if root is not None else []:
-            target, kind = attr(r, "Target", ""), attr(r, "Type", "").rpartition("/")[2]
-            if attr(r, "TargetMode") != "External":
-                target = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
-                if target not in self.names:
-                    continue
-            out[attr(r, "Id")] = (target, kind)
-        return out
-
-
-def style_wrap(text: str, bold: bool, italic: bool, strike: bool) -> str:
-    core = text.strip()
-    mark = ("**" if bold else "") + ("*" if italic else "")
-    if not core or not (mark or strike):
-        return text
-    a = len(text) - len(text.lstrip())
-    core = mark + core + mark[::-1]
-    return text[:a] + (f"~~{core}~~" if strike else core) + text[len(text.rstrip()) :]
-
-
-def on(props, name: str) -> bool | None:
-    e = child(props, name)
-    return None if e is None else attr(e, "val", "1") not in ("0", "false", "none")
-
-
-class Docx:
-    def __init__(self, raw: bytes):
-        self.p = Package(raw)
-        self.rels = self.p.relations("word/document.xml")
-        self.styles = {attr(s, "styleId"): s for s in (self.p.xml("word/styles.xml") if "word/styles.xml" in self.p.names else []) if name_of(s) == "style"}
-        self.numbering, self.counters = self.read_numbering(), {}
-
-    def read_numbering(self) -> dict[str, dict[int, tuple[str, int]]]:
-        """Format and start of each level of each list."""
-        root = self.p.xml("word/numbering.xml")
-        if root is None:
-            return {}
-        kinds = {}
-        for a in root:
-            if name_of(a) == "abstractNum":
-                kinds[attr(a, "abstractNumId")] = {int(attr(v, "ilvl", "0")): (attr(child(v, "numFmt"), "val", "bullet"), int(attr(child(v, "start"), "val", "1"))) for v in a if name_of(v) == "lvl"}
-        out = {}
-        for n in root:
-            if name_of(n) == "num":
-                levels = dict(kinds.get(attr(child(n, "abstractNumId"), "val"), {}))
-                for o in n:
-                    if name_of(o) == "lvlOverride" and child(o, "startOverride") is not None:
-                        k = int(attr(o, "ilvl", "0"))
-                        levels[k] = (levels.get(k, ("decimal", 1))[0], int(attr(child(o, "startOverride"), "val", "1")))
-                out[attr(n, "numId")] = levels
-        return out
-
-    def chain(self, style: str | None) -> Iterator[ElementTree.Element]:
-        seen: set[str] = set()
-        while style and style in self.styles and style not in seen:
-            seen.add(style)
-            yield self.styles[style]
-            style = attr(child(self.styles[style], "basedOn"), "val")
-
-    def runs(self, p) -> str:
-        out: list[tuple[str, tuple[bool, bool, bool]]] = []
-
-        def add(text: str, look: tuple[bool, bool, bool]) -> None:
-            if out and out[-1][1] == look:
-                out[-1] = (out[-1][0] + text, look)
-            elif text:
-                out.append((text, look))
-
-        def walk(e) -> None:
-            for c in e:
-                n = name_of(c)
-                if n == "r":
-                    props = child(c, "rPr")
-                    if on(props, "vanish"):
-                        continue
-                    look = tuple(bool(on(props, k)) for k in ("b", "i", "strike"))
-                    for x in c:
-                        k = name_of(x)
-                        add((x.text or "") if k == "t" else "\t" if k == "tab" else "\n" if k in ("br", "cr") else "", look)
-                elif n == "hyperlink":
-                    inner, target = self.runs(c), self.rels.get(attr(c, "id"), (None,))[0] or (f"#{attr(c, 'anchor')}" if attr(c, "anchor") else None)
-                    add(f"[{inner}]({target})" if target and inner.strip() else inner, (False, False, False))
-                elif n in ("oMath", "oMathPara"):
-                    add(f"${latex.omml_to_latex(c)}$", (False, False, False))
-                elif n in ("ins", "smartTag", "sdt", "sdtContent", "fldSimple"):
-                    walk(c)
-
-        walk(p)
-        return "".join(style_wrap(t, *look) for t, look in out)
-
-    def paragraph(self, p) -> str:
-        text = self.runs(p).strip()
-        props = child(p, "pPr")
-        style = attr(child(props, "pStyle"), "val")
-        chain = list(self.chain(style))
-        names = [attr(child(s, "name"), "val", "") for s in chain]
-        if not text:
-            return ""
-        level = next((int(m[1]) for n in names if (m := re.fullmatch(r"(?i)heading\s*(\d+)", n or ""))), 1 if any((n or "").lower() == "title" for n in names) else None)
-        outline = next((attr(child(x, "outlineLvl"), "val") for x in [props, *(child(s, "pPr") for s in chain)] if child(x, "outlineLvl") is not None), None)
-        if level is None and outline is not None and int(outline) < 9:
-            level = int(outline) + 1
-        if level:
-            return f"{'#' * min(level, 6)} {text}"
-        num = next((child(x, "numPr") for x in [props, *(child(s, "pPr") for s in chain)] if child(x, "numPr") is not None), None)
-        number = attr(child(num, "numId"), "val")
-        if number and number != "0":
-            lvl = int(attr(child(num, "ilvl"), "val", "0"))
-            kind, start = self.numbering.get(number, {}).get(lvl, ("bullet", 1))
-            for k in [k for k in self.counters if k[0] == number and k[1] > lvl]:
-                del self.counters[k]
-            at = self.counters.get((number, lvl), start - 1) + 1
-            self.counters[(number, lvl)] = at
-            return "    " * lvl + (f"- {text}" if kind in ("bullet", "none") else f"{at}. {text}")
-        if any(re.match(r"(?i)toc\s*\d+", n or "") for n in names):
-            depth = next(int(m[1]) for n in names if (m := re.match(r"(?i)toc\s*(\d+)", n or "")))
-            return "    " * (depth - 1) + "- " + re.sub(r"\t+(\d{1,12}|[ivxlcdm]{1,12})\s*\Z", "", text, flags=re.IGNORECASE).replace("\t", " ")
-        return text
-
-    def table(self, t) -> str:
-        grid: list[list[list]] = []  # text, span, rows
-        open_: dict[int, list] = {}
-        for r in (x for x in t if name_of(x) == "tr"):
-            row, col = [], 0
-            for c in (x for x in r if name_of(x) == "tc"):
-                props = child(c, "tcPr")
-                span = int(attr(child(props, "gridSpan"), "val", "1"))
-                merge = child(props, "vMerge")
-                if merge is not None and attr(merge, "val", "continue") == "continue" and col in open_:
-                    open_[col][2] += 1
-                else:
-                    text = "<br>".join(x for x in (self.table(p) if name_of(p) == "tbl" else self.runs(p).strip() for p in c if name_of(p) in ("p", "tbl")) if x)
-                    cell = [text, span, 1]
-                    row.append(cell)
-                    open_.pop(col, None)
-                    if merge is not None:
-                        open_[col] = cell
-                col += span
-            grid.append(row)
-        out = "<table>"
-        for r in grid:
-            out += "<tr>" + "".join(f"<td{f' colspan={chr(34)}{s}{chr(34)}' if s > 1 else ''}{f' rowspan={chr(34)}{n}{chr(34)}' if n > 1 else ''}>{x}</td>" for x, s, n in r) + "</tr>"
-        return out + "</table>"
-
-    def pages(self, headers: bool = False) -> list[Page]:
-        body = child(self.p.xml("word/document.xml"), "body")
-        pages: list[list[str]] = [[]]
-
-        def walk(e) -> None:
-            for c in e:
-                n = name_of(c)
-                if n == "p":
-                    text = self.paragraph(c)
-                    if text:
-                        pages[-1].append(text)
-                    brk = child(c, "pPr", "sectPr")
-                    if brk is not None and attr(child(brk, "type"), "val", "nextPage") != "continuous":
-                        pages.append([])
-                elif n == "tbl":
-                    pages[-1].append(self.table(c))
-                elif n in ("sdt", "sdtContent"):
-                    walk(c)
-
-        walk(body)
-        if headers:
-            parts = sorted(t for t, k in self.rels.values() if k in ("header", "footer"))
-            extra = sorted({x for t in parts for p in self.p.xml(t).iter() if name_of(p) == "p" and (x := self.runs(p).strip()) and not x.isdigit()})
-            pages[0] = extra + pages[0]
-        return [{"content": "\n\n".join(p)} for p in pages if p]
-
-
-def read_docx(raw: bytes, headers: bool = False) -> list[Page]:
-    return Docx(raw).pages(headers)
-
-
-class Xlsx:
-    EPOCH = 25569
-
-    def __init__(self, raw: bytes):
-        self.p = Package(raw)
-        strings = self.p.xml("xl/sharedStrings.xml")
-        self.strings = ["".join(t.text or "" for t in s.iter() if name_of(t) == "t") for s in strings if name_of(s) == "si"] if strings is not None else []
-        self.dates = self.date_formats()
-
-    def date_formats(self) -> list[bool]:
-        root = self.p.xml("xl/styles.xml")
-        if root is None:
-            return []
-        own = {attr(f, "numFmtId"): attr(f, "formatCode", "") for f in root.iter() if name_of(f) == "numFmt"}
-        dated = lambda i: 14 <= int(i) <= 22 or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(i, "")).lower()))
-        xfs = child(root, "cellXfs")
-        return [dated(attr(x, "numFmtId", "0")) for x in xfs] if xfs is not None else []
-
-    def value(self, c) -> str:
-        kind, v = attr(c, "t", "n"), child(c, "v")
-        if kind == "inlineStr":
-            return "".join(t.text or "" for t in c.iter() if name_of(t) == "t")
-        if v is None or v.text is None:
-            return ""
-        if kind == "s":
-            return self.strings[int(v.text)]
-        if kind == "b":
-            return "TRUE" if v.text == "1" else "FALSE"
-        if kind == "n":
-            x, style = float(v.text), int(attr(c, "s", "0"))
-            if style < len(self.dates) and self.dates[style]:
-                return serial_iso(x)
-            return str(int(x)) if x.is_integer() else repr(x)
-        return v.text
-
-    def sheets(self, max_rows: int | None = None) -> Iterator[tuple[str, dict[tuple[int, int], str], list[tuple[int, int, int, int]]]]:
-        """Name, cells and merged ranges of each visible sheet."""
-        rels = self.p.relations("xl/workbook.xml")
-        for s in child(self.p.xml("xl/workbook.xml"), "sheets"):
-            if attr(s, "state", "visible") != "visible" or attr(s, "id") not in rels:
-                continue
-            root = self.p.xml(rels[attr(s, "id")][0])
-            cells, merges = {}, []
-            for c in (x for x in root.iter() if name_of(x) == "c"):
-                row, col = position(attr(c, "r"))
-                text = self.value(c)
-                if text and (max_rows is None or row <= max_rows):
-                    cells[row, col] = text
-            for m in (x for x in root.iter() if name_of(x) == "mergeCell"):
-                a, _, b = attr(m, "ref").partition(":")
-                merges.append((*position(a), *position(b or a)))
-            yield attr(s, "name"), cells, merges
-
-
-def serial_iso(x: float, date_1904: bool = False) -> str:
-    from datetime import datetime, timedelta
-
-    day = x if date_1904 else x + 1 if x < 60 else x
-    at = datetime(1904, 1, 1) if date_1904 else datetime(1899, 12, 30)
-    t = at + timedelta(seconds=round(day * 86400))
-    return t.strftime("%Y-%m-%d") if (t.hour, t.minute, t.second) == (0, 0, 0) else t.strftime("%Y-%m-%dT%H:%M:%S")
-
-
-def position(ref: str) -> tuple[int, int]:
-    m = re.fullmatch(r"\$?([A-Za-z]+)\$?(\d+)", ref)
-    col = 0
-    for c in m[1].upper():
-        col = col * 26 + ord(c) - 64
-    return int(m[2]), col
-
-
-def letters(col: int) -> str:
-    out = ""
-    while col:
-        col, r = divmod(col - 1, 26)
-        out = chr(65 + r) + out
+def read_docx(raw: bytes, headers: bool = False, mode: str = "mm_markdown") -> list[Page]:
+    """A page for each section with content; headers and footers are in content lists and, asked for, before the first page."""
+    own = office.Docx(raw).pages(headers)
+    made = blocks.document(own)
+    lead = [blocks.paragraph(b) for p in made for b in p["discarded_blocks"]] if headers else []
+    out = []
+    for i, p in enumerate(made):
+        text = "\n\n".join(x for x in [*(lead if not i else []), blocks.page_markdown(p["para_blocks"], mode)] if x)
+        if text:
+            out.append({"content": text, "blocks": json.dumps(p, ensure_ascii=False)})
     return out
 
 
-def read_xlsx(raw: bytes, max_rows: int | None = None, gap: int = 0) -> list[Page]:
-    """A page for each visible sheet with cells: its name as a title and each table as HTML."""
-    from sheafspark.operators.cells import table_bounds
-
+def read_xlsx(raw: bytes, max_rows: int | None = None, gap: int | None = None, mode: str = "mm_markdown") -> list[Page]:
+    """A page for each visible sheet with content; without a gap the best tolerance is found for each sheet."""
     out = []
-    for i, (name, cells, merges) in enumerate(Xlsx(raw).sheets(max_rows)):
-        filled = set(cells) | {(r, c) for a, b, x, y in merges if (a, b) in cells for r in range(a, x + 1) for c in range(b, y + 1)}
-        parts = [f"## {name}"]
-        for top, left, bottom, right in table_bounds(filled, gap):
-            span = {(a, b): (x - a + 1, y - b + 1) for a, b, x, y in merges}
-            hidden = {(r, c) for a, b, x, y in merges for r in range(a, x + 1) for c in range(b, y + 1)} - set(span)
-            if (top, left) == (bottom, right):
-                parts.append(cells.get((top, left), ""))
-                continue
-            rows = ""
-            for r in range(top, bottom + 1):
-                tag = "th" if r == top else "td"
-                rows += "<tr>" + "".join(f"<{tag}{f' rowspan={chr(34)}{span[r, c][0]}{chr(34)}' if span.get((r, c), (1, 1))[0] > 1 else ''}{f' colspan={chr(34)}{span[r, c][1]}{chr(34)}' if span.get((r, c), (1, 1))[1] > 1 else ''}>{escaped(cells.get((r, c), ''))}</{tag}>" for c in range(left, right + 1) if (r, c) not in hidden) + "</tr>"
-            parts.append(f"<table>{rows}</table>")
-        if len(parts) > 1:
-            out.append({"content": "\n\n".join(parts), "title": name, "sheet_name": name, "sheet_idx": str(i)})
+    for name, i, own in office.Xlsx(raw).pages(max_rows, gap):
+        page = blocks.page_info(own, i)
+        out.append({"content": blocks.page_markdown(page["para_blocks"], mode), "title": name, "sheet_name": name, "sheet_idx": str(i), "blocks": json.dumps(page, ensure_ascii=False)})
     return out
 
 
-def escaped(x: str) -> str:
-    import html
-
-    return html.escape(x, quote=False).replace("\n", "<br>")
-
-
-class Pptx:
-    def __init__(self, raw: bytes):
-        self.p = Package(raw)
-
-    def slides(self) -> Iterator[tuple[str, ElementTree.Element]]:
-        rels = self.p.relations("ppt/presentation.xml")
-        listed = child(self.p.xml("ppt/presentation.xml"), "sldIdLst")
-        for s in listed if listed is not None else []:
-            # the id of the relationship, not that of the slide, has a namespace
-            rid = next((v for k, v in s.attrib.items() if k.endswith("}id")), None)
-            if rid in rels:
-                yield rels[rid][0], self.p.xml(rels[rid][0])
-
-    def shapes(self, tree, move=(1.0, 1.0, 0.0, 0.0)) -> Iterator[tuple[ElementTree.Element, tuple[float, float, float, float] | None]]:
-        """Shapes in order with their boxes on the slide, groups dissolved."""
-        for e in tree:
-            n = name_of(e)
-            xfrm = child(e, "spPr", "xfrm") if n != "graphicFrame" else child(e, "xfrm")
-            if n == "grpSp":
-                g = child(e, "grpSpPr", "xfrm")
-                own = move
-                if g is not None:
-                    num = lambda part, k: float(attr(child(g, part), k, "0"))  # noqa: B023, E731
-                    cw, ch = num("chExt", "cx"), num("chExt", "cy")
-                    if cw > 0 and ch > 0 and num("ext", "cx") > 0 and num("ext", "cy") > 0:
-                        sx, sy = num("ext", "cx") / cw, num("ext", "cy") / ch
-                        inner = (sx, sy, num("off", "x") - num("chOff", "x") * sx, num("off", "y") - num("chOff", "y") * sy)
-                        own = (move[0] * sx, move[1] * sy, move[0] * inner[2] + move[2], move[1] * inner[3] + move[3])
-                yield from self.shapes(e, own)
-            elif n in ("sp", "pic", "graphicFrame"):
-                box = None
-                if xfrm is not None and child(xfrm, "off") is not None and child(xfrm, "ext") is not None:
-                    x, y, w, h = (float(attr(child(xfrm, a), k, "0")) for a, k in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy")))
-                    if w > 0 and h > 0:
-                        box = (x * move[0] + move[2], y * move[1] + move[3], (x + w) * move[0] + move[2], (y + h) * move[1] + move[3])
-                yield e, box
-
-    def text(self, sp) -> list[str]:
-        kind = attr(child(sp, "nvSpPr", "nvPr", "ph"), "type")
-        out, counters = [], {}
-        for p in (x for x in (child(sp, "txBody") if child(sp, "txBody") is not None else []) if name_of(x) == "p"):
-            text = "".join(style_wrap((child(r, "t").text or "") if child(r, "t") is not None else "", attr(child(r, "rPr"), "b") in ("1", "true"), attr(child(r, "rPr"), "i") in ("1", "true"), False) if name_of(r) == "r" else "\n" if name_of(r) == "br" else "" for r in p).strip()
-            if not text:
-                continue
-            props = child(p, "pPr")
-            lvl, auto = int(attr(props, "lvl", "0")), child(props, "buAutoNum")
-            if kind in ("title", "ctrTitle"):
-                out.append(f"## {text}")
-            elif auto is not None:
-                for k in [k for k in counters if k > lvl]:
-                    del counters[k]
-                counters[lvl] = counters.get(lvl, int(attr(auto, "startAt", "1")) - 1) + 1
-                out.append("    " * lvl + f"{counters[lvl]}. {text}")
-            elif child(props, "buChar") is not None or lvl and child(props, "buNone") is None:
-                out.append("    " * lvl + f"- {text}")
-            else:
-                out.append(text)
-        return out
-
-    def table(self, frame) -> str:
-        tbl = next((x for x in frame.iter() if name_of(x) == "tbl"), None)
-        if tbl is None:
-            return ""
-        out = ""
-        for i, r in enumerate(x for x in tbl if name_of(x) == "tr"):
-            tag, row = "th" if i == 0 else "td", ""
-            for c in (x for x in r if name_of(x) == "tc"):
-                if attr(c, "hMerge") == "1" or attr(c, "vMerge") == "1":
-                    continue
-                wide, tall = attr(c, "gridSpan", "1"), attr(c, "rowSpan", "1")
-                text = "<br>".join("".join(t.text or "" for t in p.iter() if name_of(t) == "t") for p in c.iter() if name_of(p) == "p")
-                row += f"<{tag}{f' colspan={chr(34)}{wide}{chr(34)}' if wide != '1' else ''}{f' rowspan={chr(34)}{tall}{chr(34)}' if tall != '1' else ''}>{text}</{tag}>"
-            out += f"<tr>{row}</tr>"
-        return f"<table>{out}</table>"
-
-    def pages(self) -> list[Page]:
-        from sheafspark.operators.boxes import xy_cut
-
-        out = []
-        for i, (_, slide) in enumerate(self.slides()):
-            found = []
-            for e, box in self.shapes(child(slide, "cSld", "spTree")):
-                content = [self.table(e)] if name_of(e) == "graphicFrame" else self.text(e) if name_of(e) == "sp" else []
-                content = [c for c in content if c]
-                if content:
-                    found.append((box, content))
-            placed = [f for f in found if f[0]]
-            order = xy_cut([b for b, _ in placed])
-            parts = [x for k in order for x in placed[k][1]] + [x for b, c in found if not b for x in c]
-            out.append({"content": "\n\n".join(parts), "slide_idx": str(i)})
-        return out
-
-
-def read_pptx(raw: bytes) -> list[Page]:
-    return Pptx(raw).pages()
+def read_pptx(raw: bytes, mode: str = "mm_markdown") -> list[Page]:
+    """A page for each slide; notes are in content lists, not in Markdown."""
+    made = blocks.document(office.Pptx(raw).pages())
+    return [{"content": blocks.page_markdown(p["para_blocks"], mode), "slide_idx": str(i), "blocks": json.dumps(p, ensure_ascii=False)} for i, p in enumerate(made)]
 
 
 READERS: dict[str, Callable[[bytes], list[Page]]] = {

@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 
+from sheafspark.sources import office
 from sheafspark.sources import packages as P
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -56,7 +57,7 @@ def epub() -> bytes:
 
 
 def test_office():
-    assert P.read_docx(docx())[0]["content"] == "# Top\n\n1. one\n\n    1. sub\n\n2. two\n\n<table><tr><td colspan=\"2\">wide</td></tr></table>\n\n**bold**"
+    assert P.read_docx(docx())[0]["content"] == "# Top\n\n1. one\n    1. sub\n2. two\n\n<table><tr><td colspan=\"2\">wide</td></tr></table>\n\n**bold**"
     (sheet,) = P.read_xlsx(xlsx())
     assert sheet["content"] == "## S\n\n<table><tr><th>h</th><th>k</th></tr><tr><td>a</td><td>3</td></tr></table>\n\nalone"
     assert P.read_pptx(pptx())[0]["content"] == "## left\n\nright"
@@ -81,7 +82,7 @@ def test_refusals():
     with pytest.raises(ValueError):
         P.parse_xml(b"<!DOCTYPE x><x/>")
     with pytest.raises(ValueError):
-        P.Package(bytes.fromhex("d0cf11e0a1b11ae1"))
+        office.Package(bytes.fromhex("d0cf11e0a1b11ae1"))
 
 
 def test_batch_and_stream(spark, tmp_path):

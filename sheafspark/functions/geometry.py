@@ -116,3 +116,15 @@ def resized(w: Column, h: Column, factor: int = 28, least: int = 56 * 56, most:
 def small_picture(b: Box, width: Column, height: Column) -> Column:
     w, h = b[2] - b[0], b[3] - b[1]
     return (w < width * 0.1) | (h < height * 0.1) | (w * h < width * height * 0.01)
+
+
+def fitted(w: Column, h: Column, most: int = 1124) -> tuple[Column, Column]:
+    """Width and height brought to a longest side of ``most``, cut to whole numbers; smaller ones stay."""
+    side = F.greatest(w, h)
+    cut = lambda v: F.when(side > most, F.floor(v * most / side).cast("int")).otherwise(v.cast("int"))
+    return cut(w), cut(h)
+
+
+def region(w: Column, h: Column, box: tuple[int, int, int, int]) -> tuple[Column, ...]:
+    """A region given in thousandths of a picture, in its pixels."""
+    return tuple(F.floor(v * k / 1000).cast("int") for v, k in zip((w, h, w, h), box, strict=True))

@@ -6,7 +6,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafspark.functions import inline as inline_rules
 from sheafspark.functions import repetition, tables
+from sheafspark.functions import latex as latex_rules
+
+
+def mapped(rule):
+    """A rule on text as a function of columns, a batch at a time; null stays null."""
+    return F.pandas_udf(lambda x: x.map(rule, na_action="ignore"), "string")
+
+
+latex = mapped(latex_rules.omml_to_latex)
+clean_table = mapped(tables.clean_table)
+even_spans = mapped(tables.modal_colspans)
+
+
+@F.pandas_udf("struct<markdown string, n_spans int, syntax string>")
+def inline(x: pd.Series) -> pd.DataFrame:
+    spans = x.fillna("").map(inline_rules.parse_spans)
+    return pd.DataFrame({"markdown": spans.map(lambda s: inline_rules.paragraph({"type": "text", "spans": s})), "n_spans": spans.map(len), "syntax": spans.map(inline_rules.syntax_of)})
+
+
+@F.pandas_udf("string")
+def rich(x: pd.Series) -> pd.Series:
+    """Marked text of arrays of (text, style, url), blank ends trimmed."""
+    return x.map(lambda own: inline_rules.rich_text([(s["text"], s["style"], s["url"]) for s in own], True))
+
+
+def recognised(style: str):
+    from sheafspark.operators.ocr import formatted
+
+    return F.pandas_udf(lambda t, label: pd.Series([formatted(a, b, style) for a, b in zip(t, label, strict=True)]), "string")
+
+
+@F.pandas_udf("string")
+def prompts(x: pd.Series) -> pd.Series:
+    from sheafspark.operators.ocr import prompt
+
+    return x.map(prompt)
 
 
 @F.pandas_udf("string")

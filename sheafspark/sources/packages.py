@@ -95,12 +95,20 @@ def read_html(raw: bytes) -> list[Page]:
     return [{"content": markup.to_markdown(source), "title": markup.title_of(source) or ""}]
 
 
+_NUMBER = re.compile(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?")
+
+
 def pipe(rows: list[list[str]]) -> str:
+    """Rows as a pipe table, the first as its head: columns as wide as their widest cell (three at least), those of numbers to the right; bars are escaped and line ends become br."""
     if not rows:
         return ""
     n = max(map(len, rows))
-    line = lambda r: "| " + " | ".join([*r, *[""] * (n - len(r))]) + " |"
-    return "\n".join([line(rows[0]), "|" + " --- |" * n, *map(line, rows[1:])])
+    own = [[x.replace("|", "\\|").replace("\r\n", "<br>").replace("\n", "<br>") for x in r] + [""] * (n - len(r)) for r in rows]
+    wide = [max(3, *(len(r[i]) for r in own)) for i in range(n)]
+    right = [any(r[i] for r in own[1:]) and all(_NUMBER.fullmatch(r[i]) for r in own[1:] if r[i]) for i in range(n)]
+    line = lambda r: "| " + " | ".join(x.rjust(w) if k else x.ljust(w) for x, w, k in zip(r, wide, right, strict=True)) + " |"
+    rule = "|" + "|".join("-" * (w + 1) + ":" if k else ":" + "-" * (w + 1) for w, k in zip(wide, right, strict=True)) + "|"
+    return "\n".join([line(own[0]), rule, *map(line, own[1:])])
 
 
 def sniff(text: str, default: str) -> str:
@@ -111,7 +119,7 @@ def sniff(text: str, default: str) -> str:
         return default
 
 
-def read_csv(raw: bytes, separator: str = ",", chunk_size: int | None = None, sniffed: bool = False) -> list[Page]:
+def read_csv(raw: bytes, separator: str = ",", chunk_size: int | None = None, sniffed: bool = True) -> list[Page]:
     """Rows without the all-empty ones as a pipe table; with a chunk size a page for each so many source rows."""
     text = decode(raw)[0]
     rows = list(csv.reader(io.StringIO(text), delimiter=sniff(text, separator) if sniffed else separator))

@@ -68,7 +68,8 @@ def test_office():
 def test_plain_formats():
     assert P.read_text("﻿a\n\n\nb".encode("utf-16"))[0]["content"].endswith("a\nb")
     assert P.decode("中文内容".encode("gbk"))[1] == "gb18030"
-    assert P.read_csv(b"a,b\n1,\n,\n3,4\n")[0]["content"] == "| a | b |\n| --- | --- |\n| 1 |  |\n| 3 | 4 |"
+    assert P.read_csv(b"a,b\n1,\n,\n3,4\n")[0]["content"] == "|   a |   b |\n|----:|----:|\n|   1 |     |\n|   3 |   4 |"
+    assert P.read_csv(b'a;b\n"x|y";"1\n2"\n')[0]["content"] == "| a    | b      |\n|:-----|:-------|\n| x\\|y | 1<br>2 |"
     assert len(P.read_csv(b"a\n1\n2\n3\n", chunk_size=2)) == 2
     nb = json.dumps({"cells": [{"cell_type": "code", "source": ["x\n", "y"]}, {"cell_type": "markdown", "source": ""}, {"cell_type": "raw", "source": "r"}]}).encode()
     assert [c["content"] for c in P.read_notebook(nb)] == ["```python\nx\ny\n```", "```\nr\n```"]

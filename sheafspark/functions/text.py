@@ -150,6 +150,13 @@ def column_index(letters: Column) -> Column:
     return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 64))
 
 
+def column_letters(n: Column) -> Column:
+    """A spreadsheet column's letters from its number, from 1."""
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("x"))
+    step = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.char(F.lit(65) + (a["n"] - 1) % 26), a["x"]).alias("x"))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["x"])
+
+
 def excel_date(serial: Column, date_1904: bool = False) -> Column:
     """ISO text of a serial: the date alone at midnight. In the 1900 system days from 60 on count a day that never was."""
     day = F.floor(serial).cast("int")

@@ -13,6 +13,41 @@ def chunks(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
     return df.withColumn("chunk_id", (F.floor((n - 1) / size) + 1).cast("int"))
 
 
+def filled_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a value in one of columns at least, whose other nulls are empty."""
+    return df.na.drop("all", subset=columns).na.fill("", columns)
+
+
+def bounds(cells: DataFrame, keys: list[str], row: str, col: str) -> DataFrame:
+    """keys, top, bottom, left_edge and right_edge of the cells that have a value."""
+    return cells.groupBy(*keys).agg(F.min(row).alias("top"), F.max(row).alias("bottom"), F.min(col).alias("left_edge"), F.max(col).alias("right_edge"))
+
+
+def modal_width(rows: DataFrame, keys: list[str], width: str, order: str) -> DataFrame:
+    """keys and the width that most rows have; of several the one that comes first."""
+    seen = rows.groupBy(*keys, width).agg(F.count("*").alias("_n"), F.min(order).alias("_f"))
+    return seen.groupBy(*keys).agg(F.min_by(width, F.struct(-F.col("_n"), "_f")).alias("width"))
+
+
+def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str, name: str) -> DataFrame:
+    """points with whether one of their group's intervals [low, high] holds them. Intervals are merged first and each point looks only at the last that begins before it, so that no interval is listed place by place."""
+    same = Window.partitionBy(*keys).orderBy(low, high)
+    reach = intervals.select(*keys, F.col(low).alias("_l"), F.col(high).alias("_h")).withColumnsRenamed({"_l": low, "_h": high})
+    merged = reach.withColumn("_before", F.max(high).over(same.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_new", F.when(F.col("_before") >= F.col(low), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(same))
+    merged = merged.groupBy(*keys, "_g").agg(F.min(low).alias("_at"), F.max(high).alias("_end")).drop("_g")
+    both = points.withColumn("_at", F.col(at)).withColumn("_end", F.lit(None).cast(dict(merged.dtypes)["_end"])).withColumn("_point", F.lit(True)).unionByName(merged.withColumn("_point", F.lit(False)), allowMissingColumns=True)
+    last = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn(name, F.coalesce(last >= F.col("_at"), F.lit(False))).filter("_point").drop("_at", "_end", "_point")
+
+
+def blank_runs(rows: DataFrame, keys: list[str], at: str, blank: str) -> DataFrame:
+    """keys, longest_blank (the most blank rows in a row) and blank_ratio."""
+    isle = rows.withColumn("_i", F.col(at) - F.row_number().over(Window.partitionBy(*keys, blank).orderBy(at)))
+    runs = isle.groupBy(*keys, "_i", blank).agg(F.count("*").alias("_n"))
+    none = F.coalesce(F.sum(F.when(F.col(blank), F.col("_n"))), F.lit(0))
+    return runs.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(blank), F.col("_n"))), F.lit(0)).alias("longest_blank"), (none / F.sum("_n")).alias("blank_ratio"))
+
+
 def without_subsets(sets: DataFrame, group: str, key: str, column: str) -> DataFrame:
     """sets without those that are a strict subset of another of their group; equal sets stay together.
 

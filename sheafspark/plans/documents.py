@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.functions import text as T
-from sheafspark.plans.common import Register, sql_collapse, table
+from sheafspark.operators import documents as D
+from sheafspark.plans.common import SQL_WHITE, Register, sql_collapse, table
 from sheafspark.sources import formats
 
 register = Register()
@@ -19,15 +20,13 @@ def text_parse(spark, d) -> DataFrame:
 
 @register("SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents")
 def doc_lines(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("line_no"), "line")
+    return D.lines(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 @register("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, max(n) AS top_count, max(n) >= 10 AND max(n) * 10 >= sum(n) * 8 AS collapses FROM c GROUP BY doc_id""")
 def doc_line_repetition(spark, d) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    counts = lines.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.max("n").alias("top_count")).withColumn("collapses", (F.col("top_count") >= 10) & (F.col("top_count") * 10 >= F.col("n_lines") * 8))
+    return D.line_repetition(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 @register(r"""WITH s AS (SELECT doc_id, CAST(length(text) AS INT) AS n_all, CAST(length(regexp_replace(text, '[ \t\n\r]', '', 'g')) AS INT) AS n_visible, CAST(length(regexp_replace(text, '[^\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]', '', 'g')) AS INT) AS n_odd FROM documents)
@@ -40,8 +39,7 @@ def doc_text_quality(spark, d) -> DataFrame:
 
 @register("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
 def doc_digests(spark, d) -> DataFrame:
-    raw = F.encode("text", "UTF-8")
-    return table(spark, d, "documents").select("doc_id", F.md5(raw).alias("md5"), F.sha1(raw).alias("sha1"), F.sha2(raw, 256).alias("sha256"))
+    return D.digests(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 _LABEL = """WITH s AS (SELECT doc_id, strlen(text) * power AS size FROM documents, (SELECT unnest([1, 37, 5003]) AS power)),
@@ -82,12 +80,12 @@ def mime_resolve(spark, d) -> DataFrame:
 
 @register(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_title(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return table(spark, d, "pages").select("page_id", D.title(F.col("html")).alias("title"))
 
 
 @register("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h FROM pages) SELECT page_id, CAST(unnest(range(len(h))) AS INT) AS pos, unnest(h) AS href FROM l""")
 def page_links(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))).alias("pos", "href"))
+    return D.links(table(spark, d, "pages"), ["page_id"], "html")
 
 
 @register(r"""WITH u AS (SELECT page_id, ['javascript:x', 'mailto:a@b', '/rel', 'gopher://x', url][CAST(page_id % 5 AS INT) + 1] AS href FROM pages)
@@ -117,20 +115,17 @@ def notebook_cells(spark, d) -> DataFrame:
 
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return D.json_fields(table(spark, d, "events"), ["event_id"], "props", "k long")
 
 
 @register("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS content, count(*) AS n_pages FROM conversations GROUP BY conv_id")
 def doc_concat(spark, d) -> DataFrame:
-    pages = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(pages, lambda p: p["text"]), "\n").alias("content"), F.count("*").alias("n_pages"))
+    return D.concatenated(table(spark, d, "conversations"), ["conv_id"], "turn", "text")
 
 
 @register("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page_id FROM conversations")
 def page_ids(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page_id"))
+    return D.page_ids(table(spark, d, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", "page_id")
 
 
 @register("SELECT part.p_partkey, replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM part, LATERAL (SELECT p_name || ' <b> & \"' || p_brand || '\"' AS x)")
@@ -165,11 +160,12 @@ def excel_serial_iso(spark, d) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", T.excel_date(serial).alias("iso"))
 
 
-@register("SELECT p_partkey, CAST(p_size + 26 * (1 + p_partkey % 20) AS INT) AS n FROM part WHERE p_size BETWEEN 1 AND 26")
+@register("""WITH a AS (SELECT p_partkey, p_partkey + 1 AS n, p_partkey // 26 AS q1, (p_partkey // 26 - 1) // 26 AS q2, ((p_partkey // 26 - 1) // 26 - 1) // 26 AS q3 FROM part)
+SELECT p_partkey, CAST(n AS INT) AS n, CASE WHEN q3 > 0 AND q2 > 26 THEN chr(CAST(65 + (q3 - 1) % 26 AS INT)) ELSE '' END || CASE WHEN q2 > 0 AND q1 > 26 THEN chr(CAST(65 + (q2 - 1) % 26 AS INT)) ELSE '' END || CASE WHEN q1 > 0 THEN chr(CAST(65 + (q1 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) AS letters FROM a""")
 def column_letters(spark, d) -> DataFrame:
-    part = table(spark, d, "part").filter("p_size between 1 and 26")
-    letters = F.concat(F.char((F.lit(65) + F.col("p_partkey") % 20).cast("int")), F.char(F.lit(64) + F.col("p_size")))
-    return part.select("p_partkey", T.column_index(letters).alias("n"))
+    """Numbers of columns to letters and back."""
+    part = table(spark, d, "part").select("p_partkey", T.column_letters(F.col("p_partkey") + 1).alias("letters"))
+    return part.select("p_partkey", T.column_index(F.col("letters")).alias("n"), "letters")
 
 
 @register("SELECT p_partkey, '![' || p_name || '](a.png) x ![](b.png)' AS source, ['a.png', 'b.png'] AS images FROM part")
@@ -178,14 +174,22 @@ def markdown_images(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", source.alias("source"), T.markdown_images(source).alias("images"))
 
 
-@register()
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{SQL_WHITE}]+', ''), '[{SQL_WHITE}]+$', '')"
+
+
+@register(f"""WITH t AS (SELECT conv_id, turn, text, {_strip('text')} AS b, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM conversations),
+p AS (SELECT *, CASE WHEN length(text) >= 50 AND NOT contains(b, chr(10)) AND length(b) > 100 THEN list_max(list_filter(range(8, length(b) // 5 + 1), lambda p: right(b, 5 * p) = repeat(right(b, p), 5))) END AS p FROM t),
+c AS (SELECT *, CASE WHEN p IS NOT NULL THEN list_max(list_filter(range(5, length(b) // p + 1), lambda c: right(b, c * p) = repeat(right(b, p), c))) END AS c, CASE WHEN length(text) >= 50 AND NOT contains(b, chr(10)) AND length(b) > 10 THEN list_min(list_filter(range(1, length(b)), lambda k: length(b) % k = 0 AND repeat(left(b, k), length(b) // k) = b)) END AS u, list_sort(list_transform(list_distinct(l), lambda x: {{'n': len(list_filter(l, lambda y: y = x)), 'x': x}}), 'DESC')[1] AS top FROM p)
+SELECT conv_id, turn, CASE WHEN length(text) < 50 OR b = '' THEN text WHEN c * p > 0.5 * length(b) THEN left(b, length(b) - c * p) WHEN length(b) // u >= 10 THEN left(b, u) WHEN len(l) >= 10 AND top.n >= 10 AND top.n / len(l) >= 0.8 THEN top.x ELSE text END AS content FROM c""")
 def repeat_truncate(spark, d) -> DataFrame:
     from sheafspark.operators import texts
 
     return texts.truncated(table(spark, d, "conversations"), ["conv_id", "turn"], "text")
 
 
-@register()
+@register(f"""WITH w AS (SELECT conv_id, turn, text, list_transform(string_split(text, ' '), lambda x: replace(replace(replace(replace(replace({_strip('x')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS w FROM conversations)
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN '' ELSE '<table>' || array_to_string(list_transform(range(0, (len(w) + 2) // 3), lambda i: '<tr><td>' || w[3 * i + 1] || '</td>' || CASE WHEN 3 * i + 2 <= len(w) THEN '<td>' || w[3 * i + 2] || '</td>' WHEN len(w) > 1 THEN '<td></td>' ELSE '' END || '</tr>' || CASE WHEN 3 * i + 3 <= len(w) THEN '<tr><td colspan="2">' || w[3 * i + 3] || '</td></tr>' ELSE '' END), '') || '</table>' END AS html FROM w""")
 def otsl_html(spark, d) -> DataFrame:
     from sheafspark.operators import texts
 
@@ -195,7 +199,7 @@ def otsl_html(spark, d) -> DataFrame:
     return texts.otsl_tables(table(spark, d, "conversations").select("conv_id", "turn", source.alias("otsl")), ["conv_id", "turn"], "otsl")
 
 
-@register()
+@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'utf-16' END AS encoding, CAST(length(text) AS INT) AS n_chars FROM documents")
 def encoding_detect(spark, d) -> DataFrame:
     from sheafspark.operators import texts
 

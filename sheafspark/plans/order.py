@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafspark.operators import documents as D
 from sheafspark.operators import sequences as S
 from sheafspark.plans.common import Register, table
 
@@ -91,25 +92,24 @@ def toc_anchors(spark, d) -> DataFrame:
 @register("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def unused_parts(spark, d) -> DataFrame:
     used = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(used, "p_partkey", "left_anti").select("p_partkey")
+    return D.unused(table(spark, d, "part"), used, "p_partkey").select("p_partkey")
 
 
 @register("""SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS page_no, o_custkey, o_orderkey FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey""")
 def spine_manifest(spark, d) -> DataFrame:
-    manifest = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    kept = table(spark, d, "orders").join(manifest, "o_orderkey", "left_semi")
-    return kept.select(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page_no"), "o_custkey", "o_orderkey")
+    manifest = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return D.listed(table(spark, d, "orders"), manifest, ["o_custkey"], "o_orderkey", "o_orderkey").select("page_no", "o_custkey", "o_orderkey")
 
 
 @register("SELECT 'nation' AS kind, n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
 def block_union(spark, d) -> DataFrame:
-    parts = [table(spark, d, t).select(F.lit(t).alias("kind"), F.col(k).cast("long").alias("id"), F.col(n).alias("name")) for t, k, n in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("supplier", "s_suppkey", "s_name"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = {t: table(spark, d, t).select(F.col(k).alias("id"), F.col(n).alias("name")) for t, k, n in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("supplier", "s_suppkey", "s_name"))}
+    return D.one_kind_after_another(parts, {"id": "long", "name": "string"})
 
 
 @register("SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority))) AS headers FROM orders GROUP BY 1")
 def distinct_headers(spark, d) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("headers"))
+    return D.distinct_texts(table(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "headers")
 
 
 @register("""WITH RECURSIVE c AS (SELECT n_nationkey AS s, n_nationkey AS x, 0 AS depth FROM nation UNION ALL SELECT s, x // 2, depth + 1 FROM c WHERE x > 0), v AS (SELECT s, depth, CASE WHEN x % 3 = 1 THEN x % 2 = 0 END AS bold FROM c)
@@ -126,10 +126,10 @@ def ctc_decode(spark, d) -> DataFrame:
     return own.select("l_orderkey", S.ctc(F.col("x")).alias("symbols"))
 
 
-@register("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN '# ' || left(text, 20) WHEN role = 'user' THEN left(text, 20) ELSE '- ' || left(text, 20) END AS markdown FROM conversations WHERE length(text) > 0""")
+@register("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN '# ' || text WHEN role = 'user' THEN text ELSE '- ' || text END AS markdown FROM conversations WHERE length(text) > 0""")
 def block_markdown(spark, d) -> DataFrame:
     from sheafspark.plans import render
 
     kind = F.when(F.col("role") == "system", "title").when(F.col("role") == "user", "text").otherwise("list_item")
-    blocks = table(spark, d, "conversations").select("conv_id", "turn", kind.alias("type"), F.substring("text", 1, 20).alias("content"), F.when(F.col("role") == "system", 1).otherwise(0).alias("level"), F.lit(None).cast("string").alias("anchor"))
+    blocks = table(spark, d, "conversations").select("conv_id", "turn", kind.alias("type"), F.col("text").alias("content"), F.when(F.col("role") == "system", 1).otherwise(0).alias("level"), F.lit(None).cast("string").alias("anchor"))
     return render.markdown_blocks(blocks.filter(F.length("content") > 0)).select("conv_id", "turn", "markdown")

@@ -19,7 +19,7 @@ def row_null_drop_fill(spark, d) -> DataFrame:
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     rows = s.select(k, F.when(k % 3 != 0, F.col("s_name")).alias("name"), F.when((k % 3 != 0) & (k % 4 != 0), F.col("s_nationkey").cast("string")).alias("nation"))
-    return rows.na.drop("all", subset=["name", "nation"]).na.fill("", ["name", "nation"])
+    return cells.filled_rows(rows, ["name", "nation"])
 
 
 @register("SELECT c_nationkey, c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 7 + 1 AS INT) AS chunk_id FROM customer")
@@ -47,32 +47,32 @@ def chart_table(spark, d) -> DataFrame:
     return rows.select("o_custkey", TB.chart_html(F.array(F.lit("order"), F.lit("priority")), cols).alias("html"))
 
 
-@register("""WITH p AS (SELECT l_orderkey, max(l_linenumber) AS m, list(l_linenumber) AS have FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1)
+@register("""WITH p AS (SELECT l_orderkey, max(l_linenumber) AS m, list(l_linenumber) FILTER (WHERE l_linenumber % 2 = 1) AS have FROM lineitem GROUP BY 1)
 SELECT l_orderkey, list_transform(range(0, m + 1), lambda i: CASE WHEN list_contains(have, i::INT) THEN 'v' || i ELSE '' END) AS dense FROM p""")
 def cache_points(spark, d) -> DataFrame:
-    points = F.map_from_entries(F.collect_set(F.struct("l_linenumber", F.concat(F.lit("v"), "l_linenumber"))))
-    return table(spark, d, "lineitem").filter("l_linenumber % 2 = 1").groupBy("l_orderkey").agg(TB.dense(points).alias("dense"))
+    text = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("v"), "l_linenumber")).otherwise("")
+    points = F.map_from_entries(F.collect_set(F.struct("l_linenumber", text)))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(TB.dense(points).alias("dense"))
 
 
 @register("""WITH s AS (SELECT l_orderkey, count(*) AS w FROM lineitem GROUP BY 1), o AS (SELECT o_custkey, w, count(*) AS n, min(o_orderkey) AS f FROM orders JOIN s ON o_orderkey = l_orderkey GROUP BY ALL)
 SELECT o_custkey, arg_min(w, (-n, f)) AS width FROM o GROUP BY 1""")
 def modal_width(spark, d) -> DataFrame:
     sizes = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("w"))
-    seen = table(spark, d, "orders").join(sizes, "o_orderkey").groupBy("o_custkey", "w").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("f"))
-    return seen.groupBy("o_custkey").agg(F.min_by("w", F.struct(-F.col("n"), "f")).alias("width"))
+    return cells.modal_width(table(spark, d, "orders").join(sizes, "o_orderkey"), ["o_custkey"], "w", "o_orderkey")
 
 
 @register("""SELECT l_suppkey, min(l_linenumber) AS top, max(l_linenumber) AS bottom, min(l_quantity) AS left_edge, max(l_quantity) AS right_edge FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1""")
 def data_bounds(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_returnflag <> 'N'").groupBy("l_suppkey").agg(F.min("l_linenumber").alias("top"), F.max("l_linenumber").alias("bottom"), F.min("l_quantity").alias("left_edge"), F.max("l_quantity").alias("right_edge"))
+    return cells.bounds(table(spark, d, "lineitem").filter("l_returnflag <> 'N'"), ["l_suppkey"], "l_linenumber", "l_quantity")
 
 
 @register("""WITH m AS (SELECT l_orderkey AS sheet, l_linenumber AS r1, l_linenumber + 1 AS r2 FROM lineitem WHERE l_linenumber % 3 = 1)
 SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM m WHERE sheet = l_orderkey AND l_linenumber BETWEEN r1 AND r2) AS merged FROM lineitem""")
 def merged_cell_lookup(spark, d) -> DataFrame:
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    merges = line.filter("l_linenumber % 3 = 1").select("l_orderkey", F.explode(F.sequence("l_linenumber", F.col("l_linenumber") + 1)).alias("l_linenumber"), F.lit(True).alias("merged")).distinct()
-    return line.join(merges, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", F.coalesce("merged", F.lit(False)).alias("merged"))
+    merges = line.filter("l_linenumber % 3 = 1").select("l_orderkey", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + 1).alias("b"))
+    return cells.in_intervals(line, merges, ["l_orderkey"], "l_linenumber", "a", "b", "merged").select("l_orderkey", "l_linenumber", "merged")
 
 
 @register("""WITH t AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_linenumber % 4))) AS s, o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_custkey)
@@ -83,13 +83,11 @@ def subset_tables(spark, d) -> DataFrame:
     return cells.without_subsets(sets, "c", "k", "s").select("k")
 
 
-@register("""WITH g AS (SELECT p_brand, p_size % 3 AS tol, avg(p_retailprice) AS blank, count(*) AS seps FROM part GROUP BY ALL), b AS (SELECT *, min(blank) OVER (PARTITION BY p_brand) AS best FROM g)
-SELECT p_brand, arg_min(tol, (seps, CASE tol WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, blank)) AS tol FROM b WHERE blank <= best * 1.15 GROUP BY 1""")
+@register("""WITH c AS (SELECT p_brand, p_size % 3 AS tol, CAST(sum(p_size) % 3 AS BIGINT) AS severe, avg(p_size) / 100 AS line_ratio, avg(p_retailprice) / 1000 AS penalty FROM part GROUP BY ALL), b AS (SELECT *, min(penalty) OVER (PARTITION BY p_brand) AS least FROM c)
+SELECT p_brand, arg_min(tol, (severe, CASE tol WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, line_ratio, penalty)) AS tol FROM b WHERE penalty <= least + 0.15 GROUP BY 1""")
 def gap_top1(spark, d) -> DataFrame:
-    c = table(spark, d, "part").groupBy("p_brand", (F.col("p_size") % 3).alias("tol")).agg(F.avg("p_retailprice").alias("blank"), F.count("*").alias("seps"))
-    near = c.withColumn("best", F.min("blank").over(Window.partitionBy("p_brand"))).filter("blank <= best * 1.15")
-    first = F.when(F.col("tol") == 1, 0).when(F.col("tol") == 0, 1).otherwise(2)
-    return near.groupBy("p_brand").agg(F.min_by("tol", F.struct("seps", first, "blank")).alias("tol"))
+    c = table(spark, d, "part").groupBy("p_brand", (F.col("p_size") % 3).alias("tol")).agg((F.sum("p_size") % 3).alias("severe"), (F.avg("p_size") / 100).alias("line_ratio"), (F.avg("p_retailprice") / 1000).alias("penalty"))
+    return cells.best_gaps(c, ["p_brand"], "tol")
 
 
 @register("""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN u > 0 THEN i / u ELSE 0.0 END AS iou FROM
@@ -117,7 +115,15 @@ def box_containment(spark, d) -> DataFrame:
     return boxes.not_contained(embedded_boxes(spark, d), ["page"], "vec_id").select("vec_id")
 
 
-@register()
+_BOXES = """SELECT vec_id, vec_id // 8 AS page, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS y1, embedding[1]::DOUBLE + 0.1 + abs(embedding[3]::DOUBLE) AS x2, embedding[2]::DOUBLE + 0.1 + abs(embedding[4]::DOUBLE) AS y2 FROM embeddings"""
+_NMS = f"""WITH RECURSIVE e AS ({_BOXES}), b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY vec_id % 97 DESC, vec_id) AS rn FROM e),
+n AS (SELECT page, 0::BIGINT AS rn, []::STRUCT(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, l INT, id BIGINT)[] AS kept FROM (SELECT DISTINCT page FROM b)
+UNION ALL SELECT b.page, b.rn, CASE WHEN len(list_filter(n.kept, lambda k: greatest(0, least(b.x2, k.c) - greatest(b.x1, k.a) + 1) * greatest(0, least(b.y2, k.d) - greatest(b.y1, k.b) + 1) / ((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1) + (k.c - k.a + 1) * (k.d - k.b + 1) - greatest(0, least(b.x2, k.c) - greatest(b.x1, k.a) + 1) * greatest(0, least(b.y2, k.d) - greatest(b.y1, k.b) + 1)) >= CASE WHEN k.l = b.label THEN 0.6 ELSE 0.98 END)) > 0 THEN n.kept
+ELSE list_append(n.kept, {{'a': b.x1, 'b': b.y1, 'c': b.x2, 'd': b.y2, 'l': b.label, 'id': b.vec_id}}) END FROM n JOIN b ON b.page = n.page AND b.rn = n.rn + 1),
+s AS (SELECT page, unnest(kept, recursive := true) FROM n QUALIFY row_number() OVER (PARTITION BY page ORDER BY rn DESC) = 1), kept AS (SELECT e.* FROM e JOIN s ON s.id = e.vec_id)"""
+
+
+@register(_NMS + " SELECT page, vec_id FROM kept")
 def nms(spark, d) -> DataFrame:
     from sheafspark.operators import boxes
 
@@ -125,7 +131,8 @@ def nms(spark, d) -> DataFrame:
     return boxes.nms(own, ["page"], "vec_id").select("page", "vec_id")
 
 
-@register()
+@register(_NMS + """, l AS (SELECT *, (x2 - x1) * (y2 - y1) > 0.93 AS large, count(*) OVER (PARTITION BY page) AS n FROM kept), m AS (SELECT *, sum(CASE WHEN large THEN 0 ELSE 1 END) OVER (PARTITION BY page) AS rest FROM l), f AS (SELECT * FROM m WHERE NOT large OR n = 1 OR rest = 0)
+SELECT page, vec_id, CAST(row_number() OVER (PARTITION BY page ORDER BY y1, x1, vec_id) - 1 AS INT) AS order_id FROM f a WHERE NOT EXISTS (SELECT 1 FROM f c WHERE a.page = c.page AND a.vec_id <> c.vec_id AND greatest(0.0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0.0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) >= 0.8)""")
 def layout_post(spark, d) -> DataFrame:
     from sheafspark.operators import boxes
 
@@ -142,14 +149,17 @@ def xycut_order(spark, d) -> DataFrame:
     return boxes.reading_order(scaled, ["page"], "vec_id").select("page", "vec_id", "position")
 
 
-@register()
+@register(f"""WITH RECURSIVE e AS ({_BOXES}), b AS (SELECT page, vec_id, (y1 + y2) / 2 AS y, row_number() OVER (PARTITION BY page ORDER BY (y1 + y2) / 2, x1, vec_id) AS rn FROM e), n AS (SELECT page, vec_id, rn, 0 AS line_no, y AS first FROM b WHERE rn = 1
+UNION ALL SELECT b.page, b.vec_id, b.rn, CASE WHEN b.y - n.first >= 0.1 THEN n.line_no + 1 ELSE n.line_no END, CASE WHEN b.y - n.first >= 0.1 THEN b.y ELSE n.first END FROM n JOIN b ON b.page = n.page AND b.rn = n.rn + 1) SELECT page, vec_id, line_no FROM n""")
 def line_cluster(spark, d) -> DataFrame:
     from sheafspark.operators import boxes
 
     return boxes.lines(embedded_boxes(spark, d), ["page"], "vec_id", 0.1).select("page", "vec_id", "line_no")
 
 
-@register()
+@register("""WITH RECURSIVE c AS (SELECT DISTINCT user_id AS sheet, CAST(event_id % 37 AS INT) AS r, CAST(event_id % 11 AS INT) AS c FROM events), e AS (SELECT a.sheet, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2 FROM c a JOIN c b ON a.sheet = b.sheet AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+reach(sheet, r, c, rr, cc) AS (SELECT sheet, r, c, r, c FROM c UNION SELECT reach.sheet, reach.r, reach.c, e.r2, e.c2 FROM reach JOIN e ON e.sheet = reach.sheet AND e.r1 = reach.rr AND e.c1 = reach.cc), k AS (SELECT sheet, r, c, min(rr * 100 + cc) AS root FROM reach GROUP BY ALL)
+SELECT sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY root) AS INT) AS table_id, min(r) AS top, min(c) AS "left", max(r) AS bottom, max(c) AS "right" FROM k GROUP BY sheet, root""")
 def flood_fill(spark, d) -> DataFrame:
     own = table(spark, d, "events").select(F.col("user_id").alias("sheet"), (F.col("event_id") % 37).cast("int").alias("row"), (F.col("event_id") % 11).cast("int").alias("col")).distinct()
     return cells.detect_tables(own, ["sheet"], 0)
@@ -159,9 +169,7 @@ def flood_fill(spark, d) -> DataFrame:
 SELECT s.l_suppkey, coalesce(max(n.n), 0) AS longest_blank, any_value(s.ratio) AS blank_ratio FROM (SELECT l_suppkey, avg(CASE WHEN blank THEN 1.0 ELSE 0.0 END) AS ratio FROM g GROUP BY 1) s LEFT JOIN n ON n.l_suppkey = s.l_suppkey GROUP BY s.l_suppkey""")
 def gap_summary(spark, d) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").cast("long").alias("r")).agg((F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)) == 0).alias("blank"))
-    isle = rows.withColumn("isle", F.col("r") - F.row_number().over(Window.partitionBy("l_suppkey", "blank").orderBy("r")))
-    runs = isle.groupBy("l_suppkey", "isle", "blank").agg(F.count("*").alias("n"))
-    return runs.groupBy("l_suppkey").agg(F.coalesce(F.max(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("longest_blank"), (F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("blank_ratio"))
+    return cells.blank_runs(rows, ["l_suppkey"], "r", "blank")
 
 
 @register("""SELECT l_suppkey, sum(l_quantity * l_discount) / ((max(l_quantity) - min(l_quantity) + 1) * (max(l_discount) - min(l_discount) + 1)) > 1 AS dense FROM lineitem GROUP BY 1""")

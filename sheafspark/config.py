@@ -119,6 +119,8 @@ def plain_yaml(text: str) -> dict:
 def dump_yaml(data, depth: int = 0) -> str:
     pad, out = "  " * depth, []
     for k, v in data.items():
+        if not re.fullmatch("[A-Za-z_][A-Za-z0-9_-]*", k) or k.lower() in ("on", "off", "yes", "no", "y", "n", "true", "false", "null"):  # names that YAML would read as something else
+            k = json.dumps(k, ensure_ascii=False)
         if isinstance(v, dict) and v:
             out += [f"{pad}{k}:", dump_yaml(v, depth + 1)]
         elif isinstance(v, list) and v and not any(isinstance(x, (dict, list)) for x in v):
@@ -178,15 +180,17 @@ def resolved(data: dict, most_rounds: int = 10, env: dict[str, str] | None = Non
     def walk(x, beside: dict):
         if isinstance(x, str):
             return text(x, beside)
-        if isinstance(x, dict):
-            return {k: walk(v, x) for k, v in x.items()}
+        if isinstance(x, dict):  # in place, so that later values see those that are settled
+            x.update({k: walk(v, x) for k, v in x.items()})
+            return x
         return [walk(v, beside) for v in x] if isinstance(x, list) else x
 
     for _ in range(most_rounds):
-        new = walk(data, data)
-        if new == data:
+        before = deepcopy(data)
+        for k in data:
+            data[k] = walk(data[k], data)
+        if before == data:
             break
-        data = new
     return data
 
 

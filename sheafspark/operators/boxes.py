@@ -117,14 +117,42 @@ def xy_cut(boxes: list[tuple[float, float, float, float]], least: float = 5.0) -
     return out
 
 
-def reading_order(df: DataFrame, page: list[str], key: str) -> DataFrame:
+def crossing(boxes: list[tuple[float, float, float, float]], beta: float = 2.0, least: int = 2, share: float = 0.1) -> list[int]:
+    """Boxes that lie across a layout: at least beta times as wide as the widest, with ``least`` others that share ``share`` of the narrower width. With a beta over 1 none is."""
+    b = np.asarray(boxes, float).reshape(-1, 4)
+    if len(b) < 3:
+        return []
+    width = b[:, 2] - b[:, 0]
+    out = []
+    for i in np.flatnonzero(width >= beta * width.max()).tolist():
+        over = np.minimum(b[:, 2], b[i, 2]) - np.maximum(b[:, 0], b[i, 0])
+        near = (over > 0) & (over >= share * np.minimum(width, width[i]))
+        if near.sum() - 1 >= least:
+            out.append(i)
+    return out
+
+
+def merged_order(boxes: list[tuple[float, float, float, float]], beta: float = 2.0) -> list[int]:
+    """xy_cut of the boxes that don't lie across the layout, and those between them, each before the first that begins under it."""
+    across = sorted(crossing(boxes, beta), key=lambda i: (boxes[i][1], boxes[i][0]))
+    rest = [i for i in range(len(boxes)) if i not in set(across)]
+    if not rest:
+        return sorted(range(len(boxes)), key=lambda i: (boxes[i][1], boxes[i][0]))
+    out = [rest[k] for k in xy_cut([boxes[i] for i in rest])]
+    for i in across:
+        at = next((n for n, k in enumerate(out) if boxes[k][1] > boxes[i][1]), len(out))
+        out.insert(at, i)
+    return out
+
+
+def reading_order(df: DataFrame, page: list[str], key: str, beta: float = 2.0) -> DataFrame:
     """df with position, from 0; boxes without extent come last."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(key).reset_index(drop=True)
         good = ((own["x2"] > own["x1"]) & (own["y2"] > own["y1"])).to_numpy()
         placed = np.flatnonzero(good)
-        order = [*placed[xy_cut(own.loc[good, EDGES].to_numpy().tolist())].tolist(), *np.flatnonzero(~good).tolist()] if len(placed) else list(range(len(own)))
+        order = [*placed[merged_order(own.loc[good, EDGES].to_numpy().tolist(), beta)].tolist(), *np.flatnonzero(~good).tolist()] if len(placed) else list(range(len(own)))
         own = own.iloc[order]
         return own.assign(position=range(len(own)))
 

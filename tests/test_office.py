@@ -6,7 +6,7 @@ import json
 import pytest
 
 from sheafspark.functions import blocks, charts, inline
-from sheafspark.sources import office
+from sheafspark.sources import flat, office
 from sheafspark.sources import packages as P
 from tests.test_sources import RELS, R, W, p, zipped
 
@@ -211,3 +211,32 @@ def test_packages_are_repaired():
     root = office.parse_xml('<r><AlternateContent><Choice><contentPart/></Choice><Fallback><sp/></Fallback></AlternateContent><AlternateContent><Choice><a/></Choice><Fallback><b/></Fallback></AlternateContent></r>')
     office.alternate(root)
     assert [e.tag for e in root] == ["sp", "a"]
+
+
+def test_flat_writers():
+    run = lambda t, props="": f"<w:r><w:rPr>{props}</w:rPr><w:t xml:space='preserve'>{t}</w:t></w:r>"
+    para = lambda inner, props="": f"<w:p><w:pPr>{props}</w:pPr>{inner}</w:p>"
+    code = run("x = 1", "<w:rFonts w:ascii='Consolas'/>")
+    body = para(run("Big", "<w:sz w:val='60'/>"), "<w:jc w:val='center'/>") + para(run("body", "<w:sz w:val='24'/>")) + para(run("more", "<w:sz w:val='24'/>")) + para(run("一、section")) + para(code) + para(code)
+    body += para(run("b", "<w:b/>") + run("old") + run("  ", "<w:u w:val='single'/>") + run("s", "<w:strike/><w:i/>")) + p("one", num="1") + p("two", num="1")
+    body += '<w:p><w:pPr><w:pStyle w:val="TOC2"/></w:pPr><w:hyperlink w:anchor="_Toc1"><w:r><w:t>Entry&#9;3</w:t></w:r></w:hyperlink></w:p>' + f"<w:tbl><w:tr><w:tc>{p('c')}</w:tc></w:tr></w:tbl>"
+    body += f'<w:p><w:r><w:drawing><c:chart {C} {R} r:id="c1"/></w:drawing></w:r></w:p>'
+    styles = f'<w:styles {W}><w:style w:styleId="TOC2"><w:name w:val="toc 2"/></w:style></w:styles>'
+    numbering = f'<w:numbering {W}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num></w:numbering>'
+    axis = f"<c:valAx><c:title><a:t {A}>amount</a:t></c:title></c:valAx>"
+    raw = zipped(**{"word/document.xml": f"<w:document {W} {R}><w:body>{body}</w:body></w:document>", "word/styles.xml": styles, "word/numbering.xml": numbering, "word/charts/c.xml": chart(axes=axis), "word/_rels/document.xml.rels": RELS % rel("c1", "chart", "charts/c.xml")})
+    (page,) = flat.read_docx(raw)
+    assert page["content"].split("\n\n") == [
+        "# Big", "body", "more", "## 一、section", "```\nx = 1\nx = 1\n```", "**b**\u200bold<u>\u00a0\u00a0</u>*~~s~~*", "1. one\n2. two", "  - [Entry](#_Toc1)", "<table><tr><td>c</td></tr></table>",
+        "<table><thead><tr><th></th><th>amount</th></tr></thead><tbody><tr><td>x</td><td>1</td></tr><tr><td>z</td><td>2.5</td></tr></tbody></table>",
+    ]
+    assert flat.runs_html([("a", "bold,underline", "u"), ("b", "", None)]) == '<a href="u"><u><b>a</b></u></a>b' and flat.with_url("x", "a(b)") == "[x](a%28b%29)"
+    rows = ["<row>" + c("B2", "h") + "</row>", "<row>" + c("B3", "x") + c("C3", 5) + "</row>", "<row>" + c("B9", "late") + "</row>"]
+    (sheet_page,) = flat.read_xlsx(book({"S": sheet(*rows, more='<mergeCells><mergeCell ref="B2:C2"/></mergeCells>')}), max_rows=4)
+    assert sheet_page["content"] == '<table><tr><td colspan="2">h</td></tr><tr><td>x</td><td>5</td></tr></table>'
+    sp = lambda t, ph="", props="": f"<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody><a:p>{props}<a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
+    bullet = '<a:pPr lvl="1"><a:buChar char="-"/></a:pPr>'
+    slide = f"<p:sld {A} {Q}><p:cSld><p:spTree>{sp('T', '<p:ph type=' + chr(34) + 'title' + chr(34) + '/>')}{sp('i', '', bullet)}{sp('j', '', bullet)}{sp('end')}</p:spTree></p:cSld></p:sld>"
+    show = zipped(**{"ppt/presentation.xml": f'<p:presentation {Q} {R}><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": RELS % rel("r1", "slide", "slides/s1.xml"), "ppt/slides/s1.xml": slide, "ppt/slides/_rels/s1.xml.rels": RELS % rel("n", "notesSlide", "../notesSlides/n.xml"), "ppt/notesSlides/n.xml": f"<p:notes {A} {Q}>{sp('note')}</p:notes>"})
+    (page,) = flat.read_pptx(show)
+    assert page["content"] == "## T\n\n  - i\n  - j\n\nend\n\n> **Notes**: note"

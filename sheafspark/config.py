@@ -38,18 +38,18 @@ def yaml():
 def loads(text: str, kind: str | None = None) -> dict:
     """A mapping from text: of the kind (json, yaml, toml), or the first of these that reads it."""
     parsers = {"json": json.loads, "yaml": getattr(yaml(), "safe_load", None) or plain_yaml, "toml": tomllib.loads}
+    got = None
     for name in [kind] if kind else parsers:
         try:
             got = parsers[name](text)
-            break
         except Exception:
             if kind:
                 raise
-    else:
+        if isinstance(got, dict):
+            return got
+    if got is None:
         raise ValueError("neither JSON nor YAML nor TOML")
-    if not isinstance(got, dict):
-        raise TypeError(f"settings must be a mapping, not {type(got).__name__}")
-    return got
+    raise TypeError(f"settings must be a mapping, not {type(got).__name__}")
 
 
 def load(source) -> dict:
@@ -85,8 +85,11 @@ def plain_yaml(text: str) -> dict:
     lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
 
     def value(x: str):
-        x = re.sub(r"\s+#.*$", "", x).strip()
-        return x[1:-1] if x[:1] in "\"'" and x[-1:] == x[:1] and len(x) > 1 else None if x in ("", "null", "~") else scalar(x)
+        quoted = re.match(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')\s*(?:#.*)?$""", x)
+        if quoted:
+            return json.loads(quoted[1]) if quoted[1][0] == '"' else quoted[1][1:-1].replace("''", "'")
+        x = re.sub(r"(^|\s+)#.*$", "", x).strip()
+        return None if x in ("", "null", "~") else scalar(x)
 
     def block(at: int, depth: int):
         out: dict | list = [] if lines[at][1].startswith("- ") else {}

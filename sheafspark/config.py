@@ -99,8 +99,10 @@ def plain_yaml(text: str) -> dict:
                 out.append(value(x[2:]))
                 at += 1
                 continue
+            if isinstance(out, list):  # a list may stand as far out as its name: it ends here
+                break
             key, sep, rest = x.partition(":")
-            if not sep or isinstance(out, list):
+            if not sep:
                 raise ValueError(f"not a mapping: {x!r}")
             at += 1
             if rest.strip():

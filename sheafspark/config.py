@@ -47,6 +47,8 @@ def loads(text: str, kind: str | None = None) -> dict:
                 raise
         if isinstance(got, dict):
             return got
+        if got is not None and not isinstance(got, str):  # a text alone may still be another format
+            break
     if got is None:
         raise ValueError("neither JSON nor YAML nor TOML")
     raise TypeError(f"settings must be a mapping, not {type(got).__name__}")

@@ -1,7 +1,7 @@
 """Language identification: averaged embeddings of hashed subwords, a linear softmax, calibrated rejection.
 
 Subwords are all runs of three and four bytes of the lower-cased text in which
-every character that isn't a letter is a space. A text's vector is the mean of
+every ASCII character that isn't a letter is a space. A text's vector is the mean of
 its subwords' embeddings; a softmax over it names the language. Embeddings and
 weights are trained together by stochastic gradient descent in numpy, on whole
 texts and on short excerpts of them (so that short texts are known as well).
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ BUCKETS, WIDTH, SUBWORDS = 1 << 15, 16, (3, 4)
 EPOCHS, RATE, REJECT_SHARE = 4, 4.0, 0.001
 #: Subwords that each text has besides its own when the unseen ones' share is taken (so that one new word doesn't speak against a short text), subwords from which on a text tells what a left-out language looks like, and the share of such texts under what their language counts with.
 EVEN, LONG, OUTSIDE_SHARE = 30, 60, 0.25
+#: The share of unseen subwords up to which no text is rejected for them: names, numbers and keys have some in any language.
+LEAST_UNSEEN = 0.1
 UNKNOWN = "und"
 
 _FOLD = ASCII_LOWER.copy()
@@ -99,7 +102,7 @@ def logits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def evidence(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Log-odds of each language before the temperature, whether a text has a letter, how many subwords it has and the share of them that is in no training text."""
-    data, offsets = utf8(texts)
+    data, offsets = utf8(pc.utf8_lower(texts.cast(pa.large_string())))  # as in training
     total, new, counts = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     whole = len(texts) > 1 or len(data) <= 2 * CHUNK_BYTES
     for a in range(0, 1 if whole else len(data), CHUNK_BYTES):  # a text that is very long is read in parts, a subword in that where it begins
@@ -139,7 +142,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
     y = np.array(y)
     per_row = []
     for part in runs(rows):  # all subwords at once would take a hundred bytes for each byte of text
-        ids, counts = subwords(*utf8(pa.array(part)))
+        ids, counts = subwords(*utf8(pc.utf8_lower(pa.array(part, pa.large_string()))))
         for own in np.split(ids, np.cumsum(counts)[:-1]):
             got, n = np.unique(own, return_counts=True)
             per_row.append((got, (n / max(1, len(own))).astype(np.float32)))
@@ -189,7 +192,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, by_lang: np.ndarray
     model.least = float(np.quantile(p, REJECT_SHARE))
     inside, outside, long = float(np.quantile(unseen, 1 - REJECT_SHARE)), left_out(texts, y, by_lang), counts >= LONG
     least = min((float(np.quantile(outside[long & (y == k)], OUTSIDE_SHARE)) for k in np.unique(y[long])), default=0.0)
-    model.most_unseen = max(inside, (3 * inside + least) / 4)  # nearer to what must stay
+    model.most_unseen = max(LEAST_UNSEEN, inside, (3 * inside + least) / 4)  # nearer to what must stay
 
 
 def left_out(texts: list[str], y: np.ndarray, by_lang: np.ndarray) -> np.ndarray:
@@ -199,7 +202,7 @@ def left_out(texts: list[str], y: np.ndarray, by_lang: np.ndarray) -> np.ndarray
         seen = np.delete(by_lang, k, axis=0).any(axis=0)
         own, at = np.flatnonzero(y == k), 0
         for part in runs([texts[i] for i in own]):
-            ids, counts = subwords(*utf8(pa.array(part)))
+            ids, counts = subwords(*utf8(pc.utf8_lower(pa.array(part, pa.large_string()))))
             out[own[at : at + len(part)]] = segment_sums(~seen[ids], counts) / (counts + EVEN)
             at += len(part)
     return out

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import os
 import pickle
@@ -97,6 +99,15 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, how: st
     return big.join(hot, key).unionByName(rest)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are kept from task to task, and what each of them holds back adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Values of a sample's strata that get a share of their own at most.
 STRATA = 1000
 
@@ -129,7 +140,9 @@ def fitted(rows: DataFrame, most: int, train: Callable[[list[pa.RecordBatch]], o
     executor, so the driver has the model alone and a lost executor's work is done again elsewhere."""
 
     def run(batches):
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(list(batches)))]}, schema=pa.schema([("model", pa.binary())]))
+        made = pickle.dumps(train(list(batches)))
+        give_back()
+        yield pa.RecordBatch.from_pydict({"model": [made]}, schema=pa.schema([("model", pa.binary())]))
 
     got = rows.limit(most).mapInArrow(run, "model binary").first()
     return pickle.loads(got[0]) if got else train([])
@@ -186,6 +199,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
                 out = step(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in kind], schema=kind)
+        step = out = part = batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -145,8 +145,8 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
         ids, counts = subwords(*utf8(pc.utf8_lower(pa.array(part, pa.large_string()))))
         for own in np.split(ids, np.cumsum(counts)[:-1]):
             got, n = np.unique(own, return_counts=True)
-            per_row.append((got, (n / max(1, len(own))).astype(np.float32)))
-    counts = np.array([len(got) for got, _ in per_row])
+            per_row.append((got.astype(np.uint16), n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32), len(own)))
+    counts = np.array([len(got) for got, _, _ in per_row])
     held = (np.arange(len(rows)) // 2) % 6 == 0 if len(rows) > 60 else np.zeros(len(rows), bool)
     use = np.flatnonzero(~held & (counts > 0))
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -161,7 +161,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
             rate = RATE * (1 - step / steps)
             step += 1
             idx = np.concatenate([per_row[i][0] for i in part])
-            w = np.concatenate([per_row[i][1] for i in part])
+            w = np.concatenate([(per_row[i][1] / per_row[i][2]).astype(np.float32) for i in part])
             n = np.array([len(per_row[i][0]) for i in part])
             mean = segment_sums(embed[idx] * w[:, None], n).astype(np.float32)
             p = softmax(mean @ weight + bias)

@@ -1,6 +1,6 @@
 """Command line: parse files, or list what can be parsed.
 
-python -m sheafspark.cli parse FILE... [--config FILE] [--mode MODE] [--out FOLDER]
+python -m sheafspark.cli parse FILE... [--config FILE] [--out FOLDER] [--quiet]
 python -m sheafspark.cli types
 """
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafspark.llm import byte_bpe, flac, jaccard_join, language_id, main_text, packing, pii, sharding, simhash, toxicity
+from sheafspark.llm import byte_bpe, fill_middle, flac, jaccard_join, language_id, main_text, packing, pii, prefix_trie, sharding, simhash, token_counts, toxicity
 from sheafspark.llm.common import Tables, join_counted, read_table
 
 
@@ -114,7 +114,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_simhash, op3_flac, op4_hash_tree, op5_byte_bpe, op6_language, op7_toxicity, op8_jaccard_join, op9_best_fit, op10_pii)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call has a cache of its own, so all there is to encode is encoded."""
+    cache = token_counts.Cache(spark, f"{Tables(spark).base}/counts")
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_simhash, op3_flac, op4_hash_tree, op5_byte_bpe, op6_language, op7_toxicity, op8_jaccard_join, op9_best_fit, op10_pii, op11_fill_middle, op12_token_counts, op13_prefix_trie)}
 
 JACCARD_SQL = r"""
 WITH RECURSIVE words AS (
@@ -141,4 +155,49 @@ SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(comp.c,
 FROM sets LEFT JOIN reps ON list_sort(sets.s) = reps.s LEFT JOIN comp ON comp.x = reps.r
 """
 
-ORACLE_SQL = {"op8_jaccard_join": JACCARD_SQL}
+FILL_MIDDLE_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS g FROM documents
+), h AS (
+  SELECT doc_id, t, w, len(w) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(g, i, 8))::BIGINT) AS h FROM u
+), f AS (
+  SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h
+), c AS (
+  SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+TRIE_SQL = r"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), sums AS (
+  SELECT c, count(*) AS n, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda r, x: list_reduce(list_prepend(xor(r, x), range(8)), lambda y, k: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS r FROM own GROUP BY c
+), convs AS (
+  SELECT s.c, s.n, xor(s.r, 4294967295) % 6 AS h, s.c - s.c % 100 AS host, least(xor(s.r, 4294967295) % 6, coalesce(t.n, 0)) AS taken FROM sums s LEFT JOIN sums t ON t.c = s.c - s.c % 100
+), turns AS (
+  SELECT convs.c, taken + pos - h AS depth, role, text FROM convs JOIN own USING (c) WHERE pos > h
+  UNION ALL SELECT convs.c, pos, role, text FROM convs JOIN own ON own.c = host WHERE pos <= taken
+), pref AS (
+  SELECT c, depth, string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY c ORDER BY depth) AS k, length(text) AS chars FROM turns UNION ALL SELECT c, 0, '', 0 FROM convs
+), lens AS (
+  SELECT c, max(depth) AS len FROM pref GROUP BY c
+), node AS (
+  SELECT k, depth, min(c) AS c, count(*) AS n, (count(*) - 1) * max(chars) AS saved FROM pref GROUP BY k, depth
+), kids AS (
+  SELECT left(k, 32 * (depth - 1)) AS k, count(*) AS kids FROM node WHERE depth > 0 GROUP BY 1
+), one AS (
+  SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (k)
+), up AS (
+  SELECT p.k, sum(CASE WHEN one.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(one.saved) AS saved FROM one JOIN pref p ON p.c = one.c AND p.depth <= one.depth GROUP BY p.k
+), ends AS (
+  SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM pref JOIN lens USING (c) WHERE depth = len GROUP BY k
+)
+SELECT one.c AS conv_id, CAST(one.depth AS BIGINT) AS depth, par.c AS parent_conv_id, one.n AS n_convs, one.kids AS n_children, CAST(up.leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM one JOIN up USING (k) LEFT JOIN ends USING (k) LEFT JOIN node par ON one.depth > 0 AND par.k = left(one.k, 32 * (one.depth - 1))
+"""
+
+ORACLE_SQL = {"op8_jaccard_join": JACCARD_SQL, "op11_fill_middle": FILL_MIDDLE_SQL, "op13_prefix_trie": TRIE_SQL}

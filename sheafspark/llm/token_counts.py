@@ -15,7 +15,8 @@ vocabulary's own first step does that, and nothing is done for others.
 
 Null text counts as empty, which has no tokens. A text of any length is encoded whole;
 byte-level vocabularies take one of more than PART_CHARS in parts cut where a blank
-stands between two Latin letters, which is a boundary whatever surrounds it. Ties can't
+stands between two Latin letters, which is a boundary whatever surrounds it, and are
+asked for the distinct pieces that their pattern cuts texts into, not for each text. Ties can't
 come up. Repeated rows are rows, an empty table gives an empty result and leaves the
 cache as it is, and columns beyond those named are not read, whatever their names. The
 cache's files come through Spark's commit, so a lost executor leaves no part of a run in
@@ -28,16 +29,23 @@ import hashlib
 import json
 import os
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafspark.llm.byte_bpe import boundaries
 from sheafspark.llm.common import Tables, give_back, join_counted, slices
 
 #: Characters from which on a text is encoded in parts, and of texts that are encoded together.
 PART_CHARS, BATCH_CHARS = 1 << 19, 1 << 18
+#: Pieces that a worker keeps at most.
+CACHE_PIECES = 400_000
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 WHITE = r"[ \t\n\x0B\f\r]+"
 
@@ -109,6 +117,61 @@ def pieces(text: str, most: int = PART_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+@lru_cache(1)
+def _unassigned() -> np.ndarray:
+    """Code points that this Python's Unicode tables don't know; a library with later ones may."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[[c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]] = True
+    return out
+
+
+class Pieces:
+    """Counts of texts by a byte-level vocabulary: the pieces that its pattern cuts are found over many texts at once, and the library counts each distinct piece once, as long as it is kept. Texts with a special string or an unknown code point are left to the library whole."""
+
+    def __init__(self, vocabulary: str):
+        self.library = counter(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        offsets = np.cumsum([0, *map(len, texts)])
+        odd = np.flatnonzero(_unassigned()[points])
+        whole = sorted({*whole, *(np.searchsorted(offsets, odd, "right") - 1).tolist()})
+        start = boundaries(points, offsets[:-1][np.diff(offsets) > 0])
+        cuts = start.tolist()
+        own = [joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)], strict=True)]
+        got = list(map(self.young.get, own))
+        new = dict.fromkeys([own[i] for i, n in enumerate(got) if n is None])
+        self._learn(new)
+        if new:
+            got = [new[p] if n is None else n for p, n in zip(own, got, strict=True)]
+        upto = np.concatenate([[0], np.cumsum(got)])
+        at = np.searchsorted(start, offsets)
+        out = (upto[at[1:]] - upto[at[:-1]]).tolist()
+        if whole:
+            for i, n in zip(whole, self.library([texts[i] for i in whole]), strict=True):
+                out[i] = n
+        return out
+
+    def _learn(self, new: dict[str, int | None]) -> None:
+        """Fills in new's counts. A full young cache becomes the old one."""
+        todo = []
+        for p in new:
+            new[p] = self.old.get(p)
+            if new[p] is None:
+                todo.append(p)
+        for p, n in zip(todo, self.library(todo) if todo else [], strict=True):
+            new[p] = n
+        if len(self.young) + len(new) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        self.young.update((p, n) for p, n in new.items() if len(p) <= 64)
+
+
 def count_all(count: Callable[[list[str]], list[int]], texts: list[str], parts: bool) -> list[int]:
     out, group, chars = [0] * len(texts), [], 0
 
@@ -179,7 +242,7 @@ def encoded(texts: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         seen: set[bytes] = set()
-        count = counter(vocabulary)
+        count = Pieces(vocabulary) if parts else counter(vocabulary)
         for batch in batches:
             for part in slices(batch, "text"):
                 part = _unseen(part, seen)

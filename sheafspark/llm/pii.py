@@ -10,8 +10,8 @@ overlapping, around the characters that any span of its kinds must have (digits
 or an at sign). Connected windows are one stretch, with the mean of the windows'
 scores where they overlap, and it is decoded by Viterbi as one sequence; a
 stretch with a span at its edge grows until the span ends inside it or the text
-does, so no span depends on its place on the grid. Of overlapping spans the
-surest stays, base spans stay always, and what a kind's digits rule out goes.
+does, so no span depends on its place on the grid. Base spans stay always; a span
+of the network that overlaps one goes, and so does what a kind's digits rule out.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Of
 spans equally sure the first in the text stays. Texts of any length are read whole;
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -417,11 +419,21 @@ def stretch_spans(net: Network, texts: list[str], jobs: list[tuple[int, int, int
     return out
 
 
+#: What an address has, in this order: a letter or digit, a sign, a dot between names.
+_NAME, _SIGN, _DOT = (re.compile(p, re.IGNORECASE) for p in (r"[A-Za-z0-9]", r"@|[(\[{]at[)\]}]", r"[A-Za-z0-9]\.[A-Za-z]"))
+
+
 def plausible(kind: int, own: str) -> bool:
-    """What a span of the kind must have, whatever the network says."""
+    """What a span of the kind must have, whatever the network says; one pass over it."""
     n = sum(c.isdigit() and c.isascii() for c in own)
     if kind == 0:
-        return re.search(r"[A-Za-z0-9].*(@|[(\[{]at[)\]}]).*[A-Za-z0-9]\.[A-Za-z]", own, re.DOTALL | re.IGNORECASE) is not None
+        at = 0
+        for part in (_NAME, _SIGN, _DOT):  # the first of each leaves most room for the next
+            m = part.search(own, at)
+            if not m:
+                return False
+            at = m.end()
+        return True
     if kind == 1:
         parts = re.findall("[0-9]+", own)
         return len(parts) == 4 and all(int(p) <= 255 for p in parts if len(p) < 9) and all(len(p) <= 3 for p in parts)
@@ -430,18 +442,15 @@ def plausible(kind: int, own: str) -> bool:
     return 9 <= n <= 15 and not re.search("[A-Za-z]", own)
 
 
-def reconcile(text: str, base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
-    """base, and of the network's (sureness, kind, start, end) those that overlap nothing surer; by kind, then start."""
-    taken = sorted((a, b) for _, a, b in base)
-    import bisect
-
+def reconcile(base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
+    """base, and those of the network's (sureness, kind, start, end) that overlap none of base; by kind, then start. The network's own don't overlap one another: they are runs of one decoding."""
+    base_at = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in base_at], list(accumulate((b for _, b in base_at), max))
     out = list(base)
-    for _, kind, a, b in sorted(found, key=lambda x: (-x[0], x[2], x[1], x[3])):
-        i = bisect.bisect_left(taken, (b,))
-        if i and taken[i - 1][1] > a:
-            continue
-        taken.insert(i, (a, b))
-        out.append((kind, a, b))
+    for _, kind, a, b in found:
+        i = bisect_left(starts, b)
+        if not i or reach[i - 1] <= a:
+            out.append((kind, a, b))
     return sorted(out)
 
 
@@ -464,7 +473,7 @@ def find_all(net: Network, texts: list[str | None], batch: int = 1024) -> list[t
             jobs += [(i, a, e) for a, e in now if (a, e) not in done[i]]
             done[i] = {x: done[i][x] for x in now if x in done[i]}
     found = [[s for spans in own.values() for s in spans if s[0] >= LEAST_SURE and plausible(s[1], t[s[2] : s[3]])] for t, own in zip(texts, done, strict=True)]
-    return [(b, reconcile(t, b, f)) for t, b, f in zip(texts, base, found, strict=True)]
+    return [(b, reconcile(b, f)) for b, f in zip(base, found, strict=True)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -35,6 +35,8 @@ TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000
 BUCKETS, FACTORS, EPOCHS, RATE, DECAY = 1 << 18, 4, 6, 0.3, 0.02
 #: Training rows a term needs, how far its share of toxic rows must lie from the others' (standard deviations), and the least weight and length of factors that stay.
 LEAST_ROWS, LEAST_Z, LEAST_WEIGHT, LEAST_FACTOR = 4, 4.0, 0.1, 0.1
+#: A term whose share of toxic rows is this at least, for all that chance (ALONE_Z standard deviations) may have added, weighs enough to say so alone.
+ALONE_SHARE, ALONE_Z = 0.8, 2.0
 #: Of pairs: the terms that are looked at (the most frequent that stand alone for nothing), the rows a pair needs, and how far its share of toxic rows must lie from the others' and from what the two terms' shares say.
 PAIR_TERMS, PAIR_ROWS, PAIR_Z = 2048, 20, 8.0
 BEGINNINGS, THRESHOLD = (4, 5, 6), 0.3
@@ -223,9 +225,21 @@ def train_terms(own: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Model:
             a, b = a - step[0], b - step[1]
         if a > 0:
             model.slope, model.offset = float(a), float(b)
+    # insults mostly stand several together, which leaves each too little weight to stand alone
+    low = least_share(toxic, seen)
+    alone = np.flatnonzero(trusted & (low >= ALONE_SHARE))
+    need = (np.log(low[alone] / (1 - low[alone])) - model.offset) / model.slope - model.bias
+    model.weight[alone] = np.maximum(model.weight[alone], need.astype(np.float32))
     return model
 
 
+def least_share(toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The least share of toxic rows that ALONE_Z standard deviations allow for (Wilson's bound)."""
+    n, z = np.maximum(seen, 1), ALONE_Z
+    p = toxic / n
+    return np.clip((p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 0, 1 - 1e-6)
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """Trains on a bounded sample (TRAIN_ROWS, TRAIN_CHARS) of rows' labelled texts."""
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & (F.coalesce(F.length("t"), F.lit(0)) <= TRAIN_CHARS))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.functions import geometry as G
+from sheafspark.operators import regions
 
 EDGES = ["x1", "y1", "x2", "y2"]
 
@@ -241,45 +242,32 @@ def projected_order(boxes: list[tuple[float, float, float, float]]) -> list[int]
     return out
 
 
-#: Fixed value: texts that are page numbers, which never end the left column.
-PAGE_NUMBER = r"(?i)(\u7b2c\s*([ivxlcdm]+|\d+|[a-z])\s*\u9875|page[- ]*([ivxlcdm]+|\d+|[a-z])|\d+|[ivxlcdm]+)"
-
-
-def columns_order(rows: list[tuple[tuple[float, float, float, float], str]], width: float, columns: bool = False) -> list[int]:
-    """Order of (box, text): by top and left; on a page of two columns the left one's boxes before the right one's, between boxes that span both."""
-    import re
-
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0][1], rows[i][0][0]))
-    if not columns or len(rows) < 2:
-        return order
-    out, left, right = [], [], []
-    half = width / 2
-
-    def close() -> None:
-        out.extend([*left, *right])
-        left.clear()
-        right.clear()
-
-    for n, i in enumerate(order):
-        x0, y0, x1, _ = rows[i][0]
-        if n == len(order) - 1:
-            above = rows[order[n - 1]][0][3]
-            if y0 > above and x0 < half < x1:
-                close()
-                out.append(i)
-            elif x1 > half or re.fullmatch(PAGE_NUMBER, rows[i][1]):
-                right.append(i)
-            else:
-                left.append(i)
-        elif x0 < width / 4 and x1 < 3 * width / 4:
-            left.append(i)
-        elif x0 > width / 4 and x1 > half:
-            (left if x0 < half * 0.95 else right).append(i)
-        else:
-            close()
-            out.append(i)
-    close()
-    return out
+#: What a text must be, whole and in any case, to count as a page number.
+PAGE_NUMBER = "第\\s*[IVXLCDM]+\\s*页|第\\s*\\d+\\s*页|第\\s*[a-zA-Z]\\s*页|page[- ]*[IVXLCDM]+|page[- ]*\\d+|page[- ]*[a-zA-Z]|\\d+|[IVXLCDM]+"
+
+
+def columns_order(df: DataFrame, page: list[str], key: str, width: Column) -> DataFrame:
+    """df with position, from 0: the reading order of pages set in two columns (boxes with a column text).
+
+    Three sort keys say it all. A box has a side: 0 left, 1 right, 2 across the middle. Boxes across cut a page into bands,
+    numbered by a window that counts those above; within a band the left column comes first, then the right, then the box
+    that ends it; within a column the upper box, then the left one, then the key.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*page).orderBy("y1", "x1", key)
+    quarter, half = width / 4, width / 2
+    # between the columns' edges: a box that starts in the first quarter stays left of the third, one that starts later ends right of the middle
+    side = F.when((F.col("x1") < quarter) & (F.col("x2") < 3 * quarter), 0).when((F.col("x1") > quarter) & (F.col("x2") > half), F.when(F.col("x1") < 0.95 * half, 0).otherwise(1)).otherwise(2)
+    # the lowest box has no column of its own to keep to: under all others it is across if it lies over the middle, else where it ends says it, and page numbers stand right
+    number = F.coalesce(F.col("text").rlike(rf"(?iU)\A(?:{PAGE_NUMBER})\z"), F.lit(False))
+    under = (F.col("y1") > F.lag("y2").over(w)) & (F.col("x1") < half) & (F.col("x2") > half)
+    lowest = F.when(under, 2).when((F.col("x2") > half) | number, 1).otherwise(0)
+    rows = df.withColumn("_side", F.when(F.lead("y1").over(w).isNull() & F.lag("y1").over(w).isNotNull(), lowest).otherwise(side))
+    above = F.sum(F.when(F.col("_side") == 2, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_band", F.coalesce(above, F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*page).orderBy("_band", "_side", "y1", "x1", key)) - 1
+    return rows.withColumn("position", place).drop("_side", "_band")
 
 
 def quad_order(corners: list[tuple[float, float]], same: float = 10.0) -> list[int]:
@@ -294,16 +282,12 @@ def quad_order(corners: list[tuple[float, float]], same: float = 10.0) -> list[i
 
 
 def ordered(df: DataFrame, page: list[str], key: str, how: str, **options) -> DataFrame:
-    """df with position, from 0 in a page; how: "columns", "profile" or "quad"."""
+    """df with position, from 0 in a page; how: "profile" or "quad"."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(key).reset_index(drop=True)
         b = [tuple(r) for r in own[EDGES].to_numpy(float).tolist()]
-        if how == "columns":
-            order = columns_order(list(zip(b, own["text"].tolist(), strict=True)), **options)
-        else:
-            order = quad_order([(x, y) for x, y, _, _ in b], **options) if how == "quad" else projected_order(b)
-        own = own.iloc[order]
+        own = own.iloc[quad_order([(x, y) for x, y, _, _ in b], **options) if how == "quad" else projected_order(b)]
         return own.assign(position=range(len(own)))
 
     return _per_page(df, page, run, "position int")
@@ -321,24 +305,12 @@ def union_area(boxes: list[tuple[float, float, float, float]]) -> float:
     return total
 
 
-def union_areas(df: DataFrame, page: list[str]) -> DataFrame:
-    """page and area: what a page's boxes cover together, as a range join of boxes with the slabs between their edges."""
-    from pyspark.sql import Window
-
-    edges = df.select(*page, F.explode(F.array("x1", "x2")).alias("a")).distinct()
-    slabs = edges.withColumn("e", F.lead("a").over(Window.partitionBy(*page).orderBy("a"))).filter("e is not null")
-    inside = slabs.join(df, page).filter("x1 <= a and x2 >= e")
-    reach = F.max("y2").over(Window.partitionBy(*page, "a").orderBy("y1", "y2").rowsBetween(Window.unboundedPreceding, -1))
-    new = inside.withColumn("_r", reach).withColumn("_h", F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), F.coalesce("_r", F.col("y1")))))
-    return new.groupBy(*page).agg(F.sum(F.col("_h") * (F.col("e") - F.col("a"))).alias("area"))
-
-
 def background_pictures(shapes: DataFrame, page: list[str], order: str, least: float = 0.1) -> DataFrame:
     """page and order of pictures of which later text shapes cover ``least`` or more, together."""
     pics = shapes.filter("kind = 'picture'").select(*page, F.col(order), *[F.col(c).alias(f"p{c}") for c in EDGES])
     texts = shapes.filter("kind = 'text'").select(*page, F.col(order).alias("_o"), *EDGES)
     over = pics.join(texts, page).filter(F.col("_o") > F.col(order))
     cut = over.select(*page, order, F.greatest("x1", "px1").alias("x1"), F.greatest("y1", "py1").alias("y1"), F.least("x2", "px2").alias("x2"), F.least("y2", "py2").alias("y2")).filter("x1 < x2 and y1 < y2")
-    areas = union_areas(cut, [*page, order])
+    areas = regions.union_areas(cut, [*page, order])
     whole = pics.select(*page, order, ((F.col("px2") - F.col("px1")) * (F.col("py2") - F.col("py1"))).alias("_all"))
     return areas.join(whole, [*page, order]).filter(F.col("area") >= F.col("_all") * least).select(*page, order)

@@ -1,8 +1,7 @@
-"""Operators over spreadsheet cells: chunks, subsets, and tables found by flood fill."""
+"""Operators over spreadsheet cells: chunks, subsets, and the choice of tables. Tables are found in ``regions``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +84,6 @@ def table_bounds(cells: set[tuple[int, int]], gap: int = 0) -> list[tuple[int, i
     return out
 
 
-def detect_tables(cells: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
-    """keys, table_id, top, left, bottom, right of each sheet's tables. A sheet is one group."""
-    kinds = dict(cells.dtypes)
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        found = table_bounds(set(zip(own["row"], own["col"], strict=True)), gap)
-        out = pd.DataFrame(found, columns=["top", "left", "bottom", "right"])
-        out.insert(0, "table_id", range(1, len(out) + 1))
-        for k in reversed(keys):
-            out.insert(0, k, own[k].iloc[0])
-        return out
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", table_id int, top int, left int, bottom int, right int"
-    return cells.groupBy(*keys).applyInPandas(run, schema)
-
-
 def content_mask(cells: DataFrame, table: list[str], rows: str, cols: str, semantic: str) -> DataFrame:
     """table, row and col of each place that a cell with content covers, its spans cut at the table's size."""
     own = cells.filter(F.col(semantic))

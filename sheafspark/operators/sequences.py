@@ -111,7 +111,7 @@ def nearest_body(df: DataFrame, page: list[str], idx: str, key: str, is_caption:
 
 
 #: What a text that follows a table, image or chart begins with if it is its caption (in lower case).
-CAPTION_STARTS = {"table": ("\u8868", "table"), "image": ("\u56fe", "fig"), "chart": ("\u56fe", "fig", "chart")}
+CAPTION_STARTS = {"table": ("表", "table"), "image": ("图", "fig"), "chart": ("图", "fig", "chart")}
 
 
 def captions(df: DataFrame, page: list[str], order: str, kind: str = "type", content: str = "content") -> DataFrame:
@@ -232,25 +232,8 @@ def keep_known_anchors(toc: DataFrame, body: DataFrame, anchor: str) -> DataFram
     return out.withColumn(anchor, F.when(~F.col("_any") | F.coalesce("_known", F.lit(False)), F.col(anchor))).drop("_known", "_any")
 
 
-def inherit(styles: DataFrame, key: str, parent: str, value: str, doc: list[str] | None = None) -> DataFrame:
-    """doc, key and value: the style's own, else the nearest of those that it is based on, however far; of a circle without one null.
-
-    A recursive query goes up a step a round and carries only styles that still lack a value; it ends after as many steps as a document has styles.
-    """
-    doc, spark = doc or [], styles.sparkSession
-    own = styles.select(*doc, F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(value).alias("_v"))
-    most = own.groupBy(*doc).count().agg(F.max("count")).first()[0] or 1
-    same = " AND ".join([f"c.`{d}` <=> s.`{d}`" for d in doc] + ["c._p = s._k"])
-    names = "".join(f"c.`{d}`, " for d in doc)
-    chain = spark.sql(
-        f"WITH RECURSIVE c MAX RECURSION LEVEL {most + 1} AS (SELECT *, 0 AS _n FROM {{own}} AS s UNION ALL SELECT {names}c._k, s._p, s._v, c._n + 1 FROM c JOIN {{own}} AS s ON {same} WHERE c._v IS NULL AND c._n < {most}) SELECT * FROM c",
-        own=own,
-    )
-    return chain.groupBy(*doc, F.col("_k").alias(key)).agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_n"))).alias(value))
-
-
 def toggles(runs_: DataFrame, char_styles: DataFrame, para_styles: DataFrame, doc: list[str], direct: str, char: str, para: str, value: str, links: tuple[str, ...] = ("Hyperlink",)) -> DataFrame:
-    """runs_ with value: the run's own, else its character style's (links' aside), else its paragraph style's, else false. The styles' values are those that ``inherit`` gives."""
+    """runs_ with value: the run's own, else its character style's (links' aside), else its paragraph style's, else false. The styles' values are those that ``graph.inherit`` gives."""
     c = char_styles.select(*doc, F.col("style").alias(char), F.col(value).alias("_c"))
     p = para_styles.select(*doc, F.col("style").alias(para), F.col(value).alias("_p"))
     rows = runs_.join(c, [*doc, char], "left").join(p, [*doc, para], "left")

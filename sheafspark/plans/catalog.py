@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafspark.plans import documents, order, rules, structure, tables
+from sheafspark.plans import documents, graphs, order, rules, structure, tables
 
-PARTS = (documents.register, tables.register, order.register, rules.register, structure.register)
+PARTS = (documents.register, tables.register, order.register, rules.register, structure.register, graphs.register)
 
 
 def queries() -> dict:

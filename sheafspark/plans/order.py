@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafspark.operators import documents as D
+from sheafspark.operators import graph
 from sheafspark.operators import sequences as S
 from sheafspark.plans.common import Register, table
 
@@ -116,7 +117,7 @@ def distinct_headers(spark, d) -> DataFrame:
 SELECT s, arg_min(bold, depth) FILTER (WHERE bold IS NOT NULL) AS bold FROM v GROUP BY s""")
 def style_chain(spark, d) -> DataFrame:
     styles = table(spark, d, "nation").select(F.col("n_nationkey").alias("style"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("based_on"), F.when(F.col("n_nationkey") % 3 == 1, F.col("n_nationkey") % 2 == 0).alias("bold"))
-    return S.inherit(styles, "style", "based_on", "bold").select(F.col("style").alias("s"), "bold")
+    return graph.inherit(styles, "style", "based_on", "bold").select(F.col("style").alias("s"), "bold")
 
 
 @register("""WITH t AS (SELECT l_orderkey, list(l_linenumber % 3 ORDER BY l_linenumber) AS x FROM lineitem GROUP BY 1)

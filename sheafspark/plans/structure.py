@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheafspark.operators import boxes as B
 from sheafspark.operators import cells as C
+from sheafspark.operators import graph, regions
 from sheafspark.operators import sequences as S
 from sheafspark.plans.common import Register, table
 
@@ -263,7 +264,7 @@ def style_toggles(spark, d) -> DataFrame:
     chars = spark.createDataFrame([(0, "c0", "base", None), (0, "base", None, True), (0, "c1", "c1", None), (0, "c2", None, True)], style)
     paras = spark.createDataFrame([(0, "p0", None, False), (0, "p1", "p3", None), (0, "p3", "p4", None), (0, "p4", None, True), (0, "p2", "p2", None)], style)
     own = table(spark, d, "lineitem").select(F.lit(0).alias("doc"), "l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 40, F.col("l_quantity") > 45).alias("own"), F.concat(F.lit("c"), (F.col("l_partkey") % 3).cast("string")).alias("ch"), F.concat(F.lit("p"), (F.col("l_suppkey") % 3).cast("string")).alias("pa"))
-    up = lambda t: S.inherit(t, "style", "based_on", "bold", ["doc"])
+    up = lambda t: graph.inherit(t, "style", "based_on", "bold", ["doc"])
     return S.toggles(own, up(chars), up(paras), ["doc"], "own", "ch", "pa", "bold", ("c2",)).select("l_orderkey", "l_linenumber", "bold")
 
 
@@ -310,7 +311,7 @@ def _int_boxes(spark, d) -> DataFrame:
 @register(f"""WITH b AS ({_INT_BOXES}), p AS (SELECT DISTINCT user_id, x, y FROM (SELECT user_id, unnest(range(x1::BIGINT, x2::BIGINT)) AS x, y1, y2 FROM b), LATERAL (SELECT unnest(range(y1::BIGINT, y2::BIGINT)) AS y)) SELECT user_id, count(*)::DOUBLE AS area FROM p GROUP BY 1""")
 def union_area(spark, d) -> DataFrame:
     """What boxes cover together."""
-    return B.union_areas(_int_boxes(spark, d), ["user_id"])
+    return regions.union_areas(_int_boxes(spark, d), ["user_id"])
 
 
 @register(f"""WITH b AS ({_INT_BOXES}), c AS (SELECT DISTINCT a.user_id, a.k, x, y FROM (SELECT * FROM b WHERE kind = 'picture') a JOIN (SELECT * FROM b WHERE kind = 'text') t ON a.user_id = t.user_id AND t.k > a.k AND t.x1 < a.x2 AND a.x1 < t.x2 AND t.y1 < a.y2 AND a.y1 < t.y2, LATERAL (SELECT unnest(range(greatest(a.x1, t.x1)::BIGINT, least(a.x2, t.x2)::BIGINT)) AS x) v, LATERAL (SELECT unnest(range(greatest(a.y1, t.y1)::BIGINT, least(a.y2, t.y2)::BIGINT)) AS y) w)

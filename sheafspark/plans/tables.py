@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafspark.functions import geometry as G
 from sheafspark.functions import tables as TB
-from sheafspark.operators import cells
+from sheafspark.operators import cells, regions
 from sheafspark.plans.common import Register, table
 
 register = Register()
@@ -162,7 +162,7 @@ reach(sheet, r, c, rr, cc) AS (SELECT sheet, r, c, r, c FROM c UNION SELECT reac
 SELECT sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY root) AS INT) AS table_id, min(r) AS top, min(c) AS "left", max(r) AS bottom, max(c) AS "right" FROM k GROUP BY sheet, root""")
 def flood_fill(spark, d) -> DataFrame:
     own = table(spark, d, "events").select(F.col("user_id").alias("sheet"), (F.col("event_id") % 37).cast("int").alias("row"), (F.col("event_id") % 11).cast("int").alias("col")).distinct()
-    return cells.detect_tables(own, ["sheet"], 0)
+    return regions.detect_tables(own, ["sheet"], 0)
 
 
 @register("""WITH g AS (SELECT l_suppkey, CAST(l_linenumber AS BIGINT) AS r, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 0 AS blank FROM lineitem GROUP BY ALL), i AS (SELECT *, r - row_number() OVER (PARTITION BY l_suppkey, blank ORDER BY r) AS isle FROM g), n AS (SELECT l_suppkey, isle, count(*) AS n FROM i WHERE blank GROUP BY ALL)

@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafspark.functions import text as T
-
-
-def shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or os.environ.setdefault("SHEAFSPARK_LOCAL_SHARED", tempfile.mkdtemp(prefix="sheafspark-"))).rstrip("/")
+from sheafspark.session import shared_dir
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +41,7 @@ def write_json(stream: DataFrame, target: str, checkpoint: str):
 
 def drained(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
     """What a stream has now, run to its end into the shared folder and read from there."""
-    base = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/rows")

@@ -57,8 +57,6 @@ def test_orders():
     own = [(0, 0, 100, 10), (0, 20, 45, 100), (55, 20, 100, 100)]
     assert B.projected_order(own) == B.merged_order(own) == [0, 1, 2] and B.projected_order([]) == []
     assert B.quad_order([(50, 0), (0, 5), (20, 30)]) == [1, 0, 2]
-    rows = [((0, 0, 40, 10), "a"), ((60, 0, 99, 10), "b"), ((0, 20, 40, 30), "c"), ((0, 50, 99, 60), "d"), ((0, 70, 40, 80), "e"), ((0, 90, 30, 99), "page 7")]
-    assert B.columns_order(rows, 100) == [0, 1, 2, 3, 4, 5] and B.columns_order(rows, 100, True) == [0, 2, 1, 3, 4, 5]
     # with a beta that lets some lie across, they stand before what begins under them
     assert B.crossing(own, 0.9) == [0] and B.merged_order([(0, 50, 100, 60), (0, 0, 45, 40), (55, 0, 100, 40), (0, 70, 45, 99), (55, 70, 100, 99)], 0.9) == [1, 2, 0, 3, 4]
     assert B.union_area([(0, 0, 10, 10), (5, 5, 15, 15)]) == 175 and B.union_area([]) == 0

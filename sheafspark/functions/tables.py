@@ -70,10 +70,12 @@ def chart_html(headers: Column, columns: Column) -> Column:
     return F.concat(F.lit("<table><thead><tr>"), head, F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>"))
 
 
-def dense(points: Column, most: int = 100_000) -> Column:
-    """An array from a map of index to text, gaps empty; an empty one where it would be longer than ``most``, as indexes so far apart are no series."""
-    last = F.array_max(F.map_keys(points))
-    return F.when((F.size(points) > 0) & (last < most), F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(points, i), F.lit("")))).otherwise(F.array().cast("array<string>"))
+def dense(points: Column) -> Column:
+    """An array from a map of index (from 0) to text, gaps and nulls empty; of any length, in one pass over the sorted points."""
+    own = F.array_sort(F.map_entries(points))
+    before = lambda i: F.coalesce(F.get(own, i - 1)["key"], F.lit(-1))
+    gap = lambda x, i: F.array_repeat(F.lit(""), (x["key"] - before(i) - 1).cast("int"))
+    return F.flatten(F.transform(own, lambda x, i: F.concat(gap(x, i), F.array(F.coalesce(x["value"], F.lit(""))))))
 
 
 def trim_empty(values: Column) -> Column:

@@ -5,27 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafspark.operators import scans
 
-def section_numbers(df: DataFrame, doc: list[str], order: list[str], level: str, deepest: int | None = None) -> DataFrame:
-    """df with number, dotted: a heading counts at its level and starts the deeper ones again; levels without a heading yet count as 1.
 
-    One window per level down to the deepest (asked of df where it isn't given): a level's count is of its headings since the last shallower one.
-    """
-    deepest = deepest or df.agg(F.max(level)).first()[0] or 1
-    rows = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out, last = df, []
-    for k in range(1, deepest + 1):
-        # the run that a shallower heading opens
-        out = out.withColumn(f"_g{k}", F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(rows))
-    for k in range(1, deepest + 1):
-        own = Window.partitionBy(*doc, f"_g{k}").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        n = F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(own)
-        seeded = F.max(F.when(F.col(level) > k, 1).otherwise(0)).over(own)  # a deeper heading came first: the level began as 1
-        first = F.first(F.when(F.col(level) >= k, F.col(level)), ignorenulls=True).over(own)
-        out = out.withColumn(f"_n{k}", F.when(first > k, n + seeded).otherwise(n))
-        last += [f"_g{k}", f"_n{k}"]
-    parts = F.array(*[F.when(F.col(level) >= k, F.col(f"_n{k}").cast("string")) for k in range(1, deepest + 1)])
-    return out.withColumn("number", F.array_join(F.array_compact(parts), ".")).drop(*last)
+def section_numbers(df: DataFrame, doc: list[str], order: list[str], level: str, ranges: int | None = None) -> DataFrame:
+    """df with number, dotted: a heading counts at its level and starts the deeper ones again; levels without a heading yet count as 1. A document may be dealt to many tasks (``scans``)."""
+    return scans.numbered(df, doc, order, level, ranges=ranges)
 
 
 def list_counters(df: DataFrame, keys: list[str], order: str, level: str, depth: int, start: int = 1) -> DataFrame:
@@ -147,20 +132,11 @@ def with_captions(bodies: DataFrame, ties: DataFrame, keys: list[str], body: str
     return bodies.join(own, [*keys, body], "left").withColumn("captions", F.coalesce("captions", F.array().cast("array<string>")))
 
 
-def numbered_titles(df: DataFrame, doc: list[str], order: str, level: str, is_numbered: str, text: str) -> DataFrame:
-    """df with section_number, as section_numbers counts, but a dotted number that a title without one begins with, of as many parts as its level, is taken over. A document's titles are one group, as each number can depend on all before it."""
-    import pandas as pd
-
-    from sheafspark.functions import blocks
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order)
-        titles = [{"type": "title", "level": int(n), "is_numbered": bool(k), "spans": [{"type": "text", "content": t or ""}]} for n, k, t in zip(own[level], own[is_numbered], own[text], strict=True)]
-        made = blocks.numbered([{"para_blocks": titles}])[0]["para_blocks"]
-        return own.assign(section_number=[b.get("section_number") for b in made])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", section_number string"
-    return df.groupBy(*doc).applyInPandas(run, schema)
+def numbered_titles(df: DataFrame, doc: list[str], order: str, level: str, is_numbered: str, text: str, ranges: int | None = None) -> DataFrame:
+    """df with section_number, as section_numbers counts, but a dotted number that a title without one begins with, of as many parts as its level, is taken over. A document may be dealt to many tasks (``scans``)."""
+    parts = F.split(F.regexp_extract(text, r"(?U)\A\s*(\d+(?:\.\d+)*)", 1), r"\.")
+    taken = F.when((F.size(parts) == F.col(level)) & (parts[0] != ""), parts.cast("array<bigint>"))
+    return scans.numbered(df, doc, [order], level, F.col(is_numbered), taken, ranges).withColumnRenamed("number", "section_number")
 
 
 def list_levels(df: DataFrame, keys: list[str], order: str, is_item: str, level: str) -> DataFrame:

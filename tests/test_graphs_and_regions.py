@@ -213,3 +213,47 @@ def test_columns_order(spark):
     df = spark.createDataFrame([(p, i, *map(float, b), t) for p in (1, 2) for i, (b, t) in enumerate(rows) if p == 1 or i == 4], "p int, k int, x1 double, y1 double, x2 double, y2 double, text string")
     got = sorted((r.p, r.position, r.k) for r in boxes.columns_order(df, ["p"], "k", F.lit(100.0)).collect())
     assert got == [(1, n, k) for n, k in enumerate([0, 2, 1, 3, 4, 5])] + [(2, 0, 4)]
+
+
+# Counters over long documents ---------------------------------------------------------
+
+
+def test_numbers_of_titles_over_ranges(spark):
+    from sheafspark.functions import blocks
+    from sheafspark.operators import sequences
+
+    r = random.Random(6)
+    rows = []
+    for d, n in (("a", 400), ("b", 3), ("c", 90), (None, 20)):
+        for i in range(n):
+            level = r.choice([1, 1, 2, 2, 3, 4])
+            lead = r.choice(["", "3", "2.0", "1.2.3", " 0.1 ", "5.1.1.9", "x"])
+            rows.append((d, i, level, r.random() < 0.7, f"{lead} Title"))
+    df = spark.createDataFrame(rows, "doc string, o int, level int, is_numbered boolean, text string")
+    want = {}
+    for d in {x[0] for x in rows}:
+        titles = [{"type": "title", "level": n, "is_numbered": k, "spans": [{"type": "text", "content": t}], "o": o} for x, o, n, k, t in rows if x == d]
+        want |= {(d, b["o"]): b.get("section_number") for b in blocks.numbered([{"para_blocks": titles}])[0]["para_blocks"]}
+    for ranges in (1, 7, 60):
+        got = {(x.doc, x.o): x.section_number for x in sequences.numbered_titles(df, ["doc"], "o", "level", "is_numbered", "text", ranges).collect()}
+        assert got == want, ranges
+
+
+def test_one_document_of_a_million_rows_in_eight_ranges(spark):
+    from sheafspark.operators import sequences
+
+    # a chapter every thousand rows, a section every ten (a chapter's first begins with its first paragraph), the rest paragraphs
+    n = F.col("id")
+    level = F.when(n % 1000 == 0, 1).when(n % 10 == 0, 2).otherwise(3)
+    rows = spark.range(1_000_000).select(n, level.alias("level"))
+    got = sequences.section_numbers(rows, [], ["id"], "level", ranges=8)
+    want = F.concat_ws(".", F.floor(n / 1000) + 1, F.when(F.col("level") > 1, F.floor(n % 1000 / 10) + 1), F.when(F.col("level") > 2, n % 10))
+    assert got.filter(F.col("number") == want).count() == 1_000_000
+
+
+def test_dense_series_of_any_length(spark):
+    from sheafspark.functions import tables
+
+    df = spark.sql("SELECT map_from_arrays(sequence(0, 299999), transform(sequence(0, 299999), i -> cast(i AS string))) AS m UNION ALL SELECT map(3, 'd', 1, 'b', 4, null) UNION ALL SELECT map_from_arrays(cast(array() AS array<int>), cast(array() AS array<string>))")
+    got = [r.d for r in df.select(tables.dense(F.col("m")).alias("d")).collect()]
+    assert len(got[0]) == 300_000 and got[0][123_456] == "123456" and got[1:] == [["", "b", "", "d", ""], []]

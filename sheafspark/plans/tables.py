@@ -140,7 +140,24 @@ def layout_post(spark, d) -> DataFrame:
     return boxes.layout(own, ["page"], "vec_id", F.lit(1.0), F.lit(1.0)).select("page", "vec_id", "order_id")
 
 
-@register()
+def _sql_gap(boxes: str, low: str, high: str) -> str:
+    """The widest gap between each low edge and the furthest high one before it, of several the first."""
+    own = f"list_sort(list_transform({boxes}, lambda v, i: {{'l': v.{low}, 'i': i, 'h': v.{high}}}))"
+    before = f"list_max(list_transform(({own})[1:i - 1], lambda u: u.h))"
+    gaps = f"list_transform(range(2, len({boxes}) + 1), lambda i: {{'g': ({own})[i].l - {before}, 'o': -i, 'at': (({own})[i].l + {before}) / 2}})"
+    return f"coalesce(list_sort(list_filter({gaps}, lambda q: q.g > 0), 'DESC')[1], {{'g': 0.0, 'o': 0, 'at': 0.0}})"
+
+
+_FIRST = "CASE WHEN gx.g >= gy.g THEN (v.x1 + v.x2) / 2 < gx.at ELSE (v.y1 + v.y2) / 2 < gy.at END"
+# regions of a page are cut in two until none has a gap of 5 or more, or all boxes' middles lie on one side of it
+_CUTS = f"""WITH RECURSIVE e AS ({_BOXES}), r AS (SELECT page, '' AS path, list({{'id': vec_id, 'x1': x1 * 1000, 'y1': y1 * 1000, 'x2': x2 * 1000, 'y2': y2 * 1000}} ORDER BY vec_id) AS b, false AS leaf FROM e GROUP BY page
+UNION ALL SELECT page, path || s.s, CASE WHEN ends THEN b ELSE list_filter(b, lambda v: ({_FIRST}) = (s.s = '0')) END, ends FROM (SELECT *, greatest(gx.g, gy.g) < 5 OR n = 0 OR n = len(b) AS ends FROM (SELECT *, len(list_filter(b, lambda v: {_FIRST})) AS n FROM (
+SELECT page, path, b, CASE WHEN ga.g < 5 AND len(b) > 2 AND len(w) > 1 AND len(w) < len(b) THEN gw ELSE ga END AS gx, gy FROM (SELECT page, path, b, w, {_sql_gap('b', 'x1', 'x2')} AS ga, {_sql_gap('w', 'x1', 'x2')} AS gw, {_sql_gap('b', 'y1', 'y2')} AS gy FROM
+(SELECT page, path, b, list_filter(b, lambda v: v.x2 - v.x1 >= 0.1 * (list_max(list_transform(b, lambda u: u.x2)) - list_min(list_transform(b, lambda u: u.x1)))) AS w FROM r WHERE NOT leaf))))) t, (SELECT unnest(['0', '1']) AS s) s WHERE s.s = '0' OR NOT ends)
+SELECT page, v.id AS vec_id, CAST(row_number() OVER (PARTITION BY page ORDER BY path, v.y1, v.x1, v.id) - 1 AS INT) AS position FROM (SELECT page, path, unnest(b) AS v FROM r WHERE leaf)"""
+
+
+@register(_CUTS)
 def xycut_order(spark, d) -> DataFrame:
     from sheafspark.operators import boxes
 

@@ -188,3 +188,17 @@ def two_column_order(spark, d) -> DataFrame:
     x1, y1 = e * 37 % 60, e * 53 % 900
     own = table(spark, d, "events").select("user_id", e.alias("k"), *[c.cast("double").alias(n) for n, c in (("x1", x1), ("y1", y1), ("x2", x1 + 10 + e % 50), ("y2", y1 + 9))], F.when(e % 5 == 0, "page 7").otherwise("words").alias("text"))
     return boxes.columns_order(own, ["user_id"], "k", F.lit(100.0)).select("user_id", "k", "position")
+
+
+@register(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 4 AS k FROM documents), n AS (SELECT *, regexp_full_match(text, '[\x{00}-\x{FF}]*') AND k = 3 AS one_byte, regexp_full_match(text, '[\x{01}-\x{7F}]*') AS ascii FROM t)
+SELECT doc_id, CASE WHEN k = 1 AND text <> '' THEN 'utf-16-le' WHEN k = 2 AND text <> '' THEN 'utf-16-be' WHEN one_byte AND NOT ascii THEN 'latin-1' ELSE 'utf-8' END AS encoding, md5(text) AS md5 FROM n""")
+def encoding_confusion(spark, d) -> DataFrame:
+    """Texts written in four encodings without a mark, and read again in the one that the statistics of their bytes say."""
+    from sheafspark.operators import texts
+
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    one_byte = (k == 3) & text.rlike(r"\A[\x{00}-\x{FF}]*+\z")
+    # a row is only written in the encoding that is its own: Latin-1 can't write all
+    raw = F.when(k == 1, F.encode(text, "UTF-16LE")).when(k == 2, F.encode(text, "UTF-16BE")).when(one_byte, F.encode(F.when(one_byte, text), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    found = texts.decoded(table(spark, d, "documents").select("doc_id", raw.alias("content")), ["doc_id"], "content")
+    return found.select("doc_id", "encoding", F.md5(F.encode("text", "UTF-8")).alias("md5"))

@@ -24,29 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.functions import blocks, markup
+from sheafspark.functions import blocks, encodings, markup
 from sheafspark.functions.xml import attr, child, named, parse_xml
 from sheafspark.sources import office
 
 Page = dict[str, str]
-#: Encodings that are tried in order where bytes aren't UTF-8.
-ENCODINGS = ("utf-8", "gb18030", "latin-1")
 
 
 def decode(raw: bytes) -> tuple[str, str]:
-    """Text and the encoding that read it: a byte order mark, UTF-8, or the first of ENCODINGS that fits."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if raw.startswith(mark):
-            try:
-                return raw.decode(name), name
-            except UnicodeDecodeError:
-                pass
-    for name in ENCODINGS:
-        try:
-            return raw.decode(name), name
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("latin-1"), "latin-1"
+    """Text and the encoding that it is most surely in."""
+    return encodings.decoded(raw)
 
 
 def tidy(text: str) -> str:

@@ -10,7 +10,8 @@ only into itself.
 
 Everything is DataFrame expressions. Slots number a shard's rows without gaps:
 rows are dealt to buckets by a hash, numbered in a bucket, and the buckets'
-counts, summed up, give each bucket its first slot; no task sees a whole shard.
+counts, summed up, give each bucket its first slot; no task sees a whole shard. Rows
+that are equal throughout are numbered as one with a count, and written out in parts.
 
 A null key is a key like others. Null text has no bytes. Repeated rows have a slot each,
 rows of one shard and bucket are numbered by key and hash. Of equal draws the first
@@ -30,6 +31,8 @@ from sheafspark.llm.common import Tables
 SHARDS, RACKS_A_REGION, SHARDS_A_RACK, OVERHEAD = 40, 2, 5, 16
 #: Rows that are numbered together, about.
 BUCKET_ROWS = 20_000
+#: Copies of one row that are written out together.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -92,10 +95,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, weights: dict[int, float] | No
         place(F.col("doc_id"), tree(shards + 1, weights)).cast("int").alias("grown_shard"),
         F.xxhash64("doc_id", "text", F.lit(7)).alias("h"),
     )
-    rows = Tables(docs.sparkSession).cut(rows)
-    buckets = max(1, -(-rows.count() // (BUCKET_ROWS * shards)))
+    tables = Tables(docs.sparkSession)
+    # rows that are equal throughout are counted, so that a row that a third of all repeat is one until the end
+    rows = tables.cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    buckets = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // (BUCKET_ROWS * shards)))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     first = counts.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["first"]).drop("n")
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "h")) - 1)
-    return numbered.join(first, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("k")).cast("long").alias("slot"), "grown_shard")
+    before = F.sum("copies").over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "h", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = tables.cut(rows.withColumn("before", F.coalesce(before, F.lit(0))).join(first, ["shard", "bucket"]).withColumn("slot", F.col("first") + F.col("before")).drop("first", "before", "bucket"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    # a row's copies are written out in parts of COPIES, which are dealt to tasks
+    many = numbered.filter("copies > 1").withColumn("part", parts).repartition("h", "part")
+    inner = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES), F.col("copies") - F.col("part") * COPIES) - 1))
+    many = many.withColumn("inner", inner).withColumn("slot", F.col("slot") + F.col("part") * COPIES + F.col("inner")).drop("part", "inner")
+    out = numbered.filter("copies = 1").unionByName(many)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

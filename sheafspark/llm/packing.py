@@ -7,7 +7,8 @@ with a bit for each amount of free space; a piece goes to the bin that it leaves
 the least space in, and when no bin has room and all are open, the fullest is
 closed. Pieces are dealt to packers by a hash of their document, about
 PACKER_PIECES pieces each, so packers grow in number, not in size, and a result
-doesn't depend on how the input is split.
+doesn't depend on how the input is split; where copies of one row would fill a
+packer, they are dealt to all.
 
 Null text is empty: one piece that holds the end id. Repeated rows are packed
 each, and a row without a key like others. Pieces that tie go by key, place and
@@ -227,7 +228,11 @@ def pack(cut: DataFrame, length: int = LENGTH, packer_pieces: int = PACKER_PIECE
         table = table.append_column("sequence_id", pa.array([base + b for b, _ in put], pa.int64())).append_column("offset", pa.array([o for _, o in put], pa.int64()))
         return table.select(names)
 
-    dealt = cut.withColumn("packer", F.pmod(F.xxhash64("row_key", "start"), F.lit(packers)))
+    # copies of one row that would fill a packer by themselves are dealt by their place in the stored table, which a file that
+    # is read again has again; there are at most as many such rows as packers
+    hot = cut.groupBy("row_key", "start").agg(F.count("*").alias("n")).filter(F.col("n") > packer_pieces).select("row_key", "start", F.lit(True).alias("hot"))
+    deal = F.when(F.col("hot"), F.xxhash64("row_key", "start", F.monotonically_increasing_id())).otherwise(F.xxhash64("row_key", "start"))
+    dealt = cut.join(F.broadcast(hot), ["row_key", "start"], "left").withColumn("packer", F.pmod(deal, F.lit(packers)))
     return dealt.groupBy("packer").applyInArrow(run, PACKED)
 
 

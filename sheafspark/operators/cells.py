@@ -50,18 +50,22 @@ def blank_runs(rows: DataFrame, keys: list[str], at: str, blank: str) -> DataFra
 def without_subsets(sets: DataFrame, group: str, key: str, column: str) -> DataFrame:
     """sets without those that are a strict subset of another of their group; equal sets stay together.
 
-    Equal sets of a group meet as one row. A set meets only the larger ones that have its rarest element (of its group), not all of the group; the empty set is a subset wherever there is another.
+    Equal sets of a group meet as one, which goes by a number of 128 bits. A set meets only the larger ones that have its
+    rarest element (of its group), by their numbers; the sets themselves come to such pairs alone. The empty set is a subset
+    wherever there is another.
     """
-    rows = sets.withColumn("_s", F.array_sort(F.array_distinct(column)))
-    distinct = rows.select(group, "_s").distinct()
-    each = distinct.select(group, "_s", F.explode("_s").alias("_e"))
+    rows = sets.withColumn("_s", F.array_sort(F.array_distinct(column))).withColumn("_id", F.struct(F.xxhash64("_s").alias("a"), F.xxhash64(F.lit(1), "_s").alias("b")))
+    distinct = rows.groupBy(group, "_id").agg(F.first("_s").alias("_s"))
+    each = distinct.select(group, "_id", F.size("_s").alias("_size"), F.explode("_s").alias("_e"))
     rarity = each.groupBy(group, "_e").agg(F.count("*").alias("_n"))
-    counted = each.join(rarity, [group, "_e"])
-    rarest = counted.groupBy(group, "_s").agg(F.min(F.struct("_n", "_e"))["_e"].alias("_e"))
-    a, b = rarest.withColumnRenamed("_s", "_a"), each.withColumnRenamed("_s", "_b")
-    over = a.join(b, [group, "_e"]).filter((F.size("_a") < F.size("_b")) & (F.size(F.array_except("_a", "_b")) == 0)).select(group, F.col("_a").alias("_s")).distinct()
-    full = distinct.filter(F.size("_s") > 0).select(group).distinct().select(group, F.array().cast(dict(distinct.dtypes)["_s"]).alias("_s"))
-    return rows.join(over.union(full), [group, "_s"], "left_anti").drop("_s")
+    rarest = each.join(rarity, [group, "_e"]).groupBy(group, "_id", "_size").agg(F.min(F.struct("_n", "_e"))["_e"].alias("_e"))
+    larger = each.select(group, F.col("_id").alias("_other"), F.col("_size").alias("_more"), "_e")
+    pairs = rarest.join(larger, [group, "_e"]).filter("_size < _more").select(group, "_id", "_other")
+    pairs = pairs.join(distinct, [group, "_id"]).join(distinct.select(group, F.col("_id").alias("_other"), F.col("_s").alias("_o")), [group, "_other"])
+    over = pairs.filter(F.size(F.array_except("_s", "_o")) == 0).select(group, "_id")
+    full = distinct.filter(F.size("_s") > 0).select(group).distinct()
+    empty = distinct.filter(F.size("_s") == 0).join(full, group).select(group, "_id")
+    return rows.join(over.union(empty).distinct(), [group, "_id"], "left_anti").select(*sets.columns)
 
 
 def table_bounds(cells: set[tuple[int, int]], gap: int = 0) -> list[tuple[int, int, int, int]]:

@@ -202,3 +202,31 @@ def encoding_confusion(spark, d) -> DataFrame:
     raw = F.when(k == 1, F.encode(text, "UTF-16LE")).when(k == 2, F.encode(text, "UTF-16BE")).when(one_byte, F.encode(F.when(one_byte, text), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
     found = texts.decoded(table(spark, d, "documents").select("doc_id", raw.alias("content")), ["doc_id"], "content")
     return found.select("doc_id", "encoding", F.md5(F.encode("text", "UTF-8")).alias("md5"))
+
+
+@register("""SELECT conv_id, turn, sha256(coalesce(text, '')) || '.bin' AS file, strlen(coalesce(text, '')) AS size_bytes, md5(coalesce(text, '')) AS md5 FROM conversations""")
+def picture_files(spark, d) -> DataFrame:
+    """Bytes as files by their content, and what is in the files."""
+    from sheafspark.sources import pictures
+
+    folder = Stored(spark).folder()
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    stored = pictures.store(rows, "content", folder)
+    read = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5("content").alias("md5"))
+    return stored.join(read, "file").select("conv_id", "turn", "file", "size_bytes", "md5")
+
+
+@register(r"""WITH f AS (SELECT doc_id, coalesce(text, '') AS text, ['txt', 'md', 'pdf', 'csv', 'docx', 'htm'][CAST(doc_id % 6 AS INT) + 1] AS suffix FROM documents)
+SELECT doc_id, suffix, CASE suffix WHEN 'txt' THEN 'text' WHEN 'md' THEN 'markdown' WHEN 'htm' THEN 'html' ELSE suffix END AS category, CASE WHEN suffix IN ('txt', 'md', 'csv', 'htm') THEN CASE WHEN text <> '' AND doc_id % 2 = 0 THEN 'utf-16-le' ELSE 'utf-8' END END AS encoding FROM f""")
+def file_encodings(spark, d) -> DataFrame:
+    """Encodings of files whose kind needs one; the others' bytes aren't looked at."""
+    from sheafspark.operators import texts
+    from sheafspark.sources import formats
+
+    ends = F.array(*map(F.lit, ("txt", "md", "pdf", "csv", "docx", "htm")))[(F.col("doc_id") % 6).cast("int")]
+    text = F.coalesce("text", F.lit(""))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-8"))
+    files = formats.dispatch(table(spark, d, "documents").select("doc_id", F.concat(F.lit("a/b."), ends).alias("path"), raw.alias("content")), "path")
+    needs = formats.needs_encoding(F.col("category"))
+    found = texts.decoded(files.filter(needs), ["doc_id", "suffix", "category"], "content").select("doc_id", "suffix", "category", "encoding")
+    return found.unionByName(files.filter(~needs).select("doc_id", "suffix", "category", F.lit(None).cast("string").alias("encoding")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Suffixes of each category.
@@ -12,6 +12,7 @@ CATEGORIES = {
 }
 #: Media types in order; of several with the same the first counts.
 MIMES = [("text/csv", "tsv"), ("text/csv", "csv"), ("text/html", "htm"), ("text/html", "html"), ("text/plain", "txt"), ("application/pdf", "pdf"), ("application/json", "ipynb")]
+#: Categories whose files are texts in an encoding that has to be found.
 TEXTUAL = ("text", "markdown", "html", "csv")
 
 
@@ -19,6 +20,11 @@ def kinds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, c) for c, own in CATEGORIES.items() for s in own], "suffix string, category string")
 
 
+def needs_encoding(category: Column) -> Column:
+    """Whether files of a category are texts in an encoding that has to be found."""
+    return F.coalesce(category.isin(*TEXTUAL), F.lit(False))
+
+
 def dispatch(files: DataFrame, path: str) -> DataFrame:
     """files with suffix, category and, for a suffix that isn't known, error 415."""
     named = files.withColumn("suffix", F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))

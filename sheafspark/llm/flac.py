@@ -2,10 +2,12 @@
 
 Samples have eight bits and frames 192 samples. Bytes are companded: the n-th of
 COMMON stands for amplitude 0, -1, 1, -2 and so on, the rest for the larger ones, so
-that text has a small amplitude, which Rice codes are made for. The encoder takes, frame by frame, the best of the fixed predictors of
-order 0 to 2 and a quantised linear predictor of order 2, and writes the
-residuals as Rice codes; a stream's seek table says where every SEEK_FRAMES-th
-frame begins. The decoder goes by the seek table in runs of frames: in a run it
+that text has a small amplitude, which Rice codes are made for; a metadata block of
+each stream says so. The encoder takes, frame by frame, the best of the fixed
+predictors of order 0 to 2 and a quantised linear predictor of order 2, and writes
+the residuals as Rice codes, or the samples as they are where codes would be longer,
+so no frame is longer than its samples by more than a header. A stream's seek table
+says where every SEEK_FRAMES-th frame begins. The decoder goes by the seek table in runs of frames: in a run it
 finds frames by their sync code and header checksum, walks the Rice codes of all
 frames together, one sample a step, undoes the predictors and verifies each
 frame's CRC-16, and over the whole stream its MD5. Runs of many streams are decoded
@@ -15,7 +17,7 @@ together, and a long stream run after run, so memory doesn't grow with its lengt
 offset of their first sample, all of them or only those that hold given samples;
 ``digest`` reads stored streams and takes checksums and features from the same
 blocks. The decoder reads what ``encode`` writes and streams like it: one channel of
-eight bits, frames of 192 samples, fixed and linear predictors, one Rice partition.
+eight bits, frames of 192 samples, verbatim subframes, fixed and linear predictors, one Rice partition.
 
 A damaged stream raises ValueError; nothing is returned in part. An empty or
 null text is stored as one block of 192 blanks, equal texts as equal streams.
@@ -46,6 +48,9 @@ SAMPLE, BYTE = np.zeros(256, np.int16), np.zeros(256, np.uint8)
 SAMPLE[_RANKED] = [-(r + 1) // 2 if r % 2 else r // 2 for r in range(256)]
 BYTE[SAMPLE + 128] = np.arange(256)
 
+#: The metadata block (application data) that says that samples stand for bytes by COMMON.
+COMPANDED = bytes([0x02, 0, 0, 5]) + b"SHFC" + bytes([1])
+
 BLOCK, RATE_CODE, RATE = 192, 4, 8000
 PAD, TAIL = 32, 16
 LPC_BITS, LPC_SHIFT, MOST_RICE = 6, 4, 14
@@ -144,6 +149,10 @@ def encode_frames(pcm: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarra
     linear = kind == 3
     extra = np.where(linear, 4 + 5 + 2 * LPC_BITS, 0)
     sub = 8 + extra + 10 + bits.sum(1)
+    # a frame that codes would make longer is written sample by sample
+    plain = sub > 8 + 8 * BLOCK
+    warm, linear, coded = np.where(plain, BLOCK, warm), linear & ~plain, coded & ~plain[:, None]
+    bits[plain], extra[plain], sub[plain] = 8, 0, 8 + 8 * BLOCK
     total = size + (sub + 7) // 8 + 2
     first = np.cumsum(total) - total
     out = np.zeros(int(total.sum()) * 8, np.uint8)
@@ -156,10 +165,12 @@ def encode_frames(pcm: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarra
         for j in range(n):
             out[at + j] = (value >> (n - 1 - j)) & 1
 
-    write(begin, np.where(linear, (32 | 1) << 1, (8 | kind) << 1), 8)
+    write(begin, np.where(plain, 1 << 1, np.where(linear, (32 | 1) << 1, (8 | kind) << 1)), 8)
     for i in range(2):
-        rows = warm > i
+        rows = (warm > i) & ~plain
         write(place[rows, i], x[rows, i].astype(np.int64) & 255, 8)
+    if plain.any():
+        write(place[plain], x[plain].astype(np.int64) & 255, 8)
     after = begin + 8 + 8 * warm
     if linear.any():
         at = after[linear]
@@ -167,7 +178,7 @@ def encode_frames(pcm: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarra
         write(at + 4, np.full(len(at), LPC_SHIFT), 5)
         write(at + 9, coef[linear, 0] & ((1 << LPC_BITS) - 1), LPC_BITS)
         write(at + 9 + LPC_BITS, coef[linear, 1] & ((1 << LPC_BITS) - 1), LPC_BITS)
-    write(after + extra + 6, k, 4)
+    write((after + extra + 6)[~plain], k[~plain], 4)
     stop = place + q
     out[stop[coded]] = 1
     for j in range(int(k.max(initial=0))):
@@ -214,7 +225,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         own, md5 = np.concatenate(size), hashlib.md5()
         for a in range(0, len(p), 1 << 20):
             md5.update(signed(np.frombuffer(p, np.uint8, min(1 << 20, len(p) - a), a)))
-        out.append(b"".join([stream_info(len(p), int(own.min()), int(own.max()), md5.digest()), seek_table(own), *body]))
+        out.append(b"".join([stream_info(len(p), int(own.min()), int(own.max()), md5.digest()), COMPANDED, seek_table(own), *body]))
     return out
 
 
@@ -276,16 +287,20 @@ class Stream:
         if raw[:4] != b"fLaC" or raw[4] & 0x7F or len(raw) < 42:
             raise ValueError("not a stream that this decoder reads")
         self.raw, self.samples, self.md5 = raw, int.from_bytes(raw[18:26], "big") & ((1 << 36) - 1), raw[26:42]
-        self.frames, at, last, points = self.samples // BLOCK, 42, raw[4] & 0x80, []
+        self.frames, at, last, points, said = self.samples // BLOCK, 42, raw[4] & 0x80, [], False
         while not last:
             if at + 4 > len(raw):
                 raise ValueError("the metadata is cut off")
             last, kind, size = raw[at] & 0x80, raw[at] & 0x7F, int.from_bytes(raw[at + 1 : at + 4], "big")
+            said = said or kind == 2 and raw[at + 4 : at + 4 + size] == COMPANDED[4:]
             if kind == 3:
                 points = [(int.from_bytes(raw[p : p + 8], "big") // BLOCK, int.from_bytes(raw[p + 8 : p + 16], "big")) for p in range(at + 4, at + 4 + size, 18)]
             at += 4 + size
-        if [k for k, _ in points] != list(range(0, self.frames, SEEK_FRAMES)):
-            points = [(0, 0)]
+        if not said:
+            raise ValueError("the stream doesn't say which bytes its samples stand for")
+        if points and [k for k, _ in points] != list(range(0, self.frames, SEEK_FRAMES)):
+            raise ValueError("the seek table is damaged or another's")
+        points = points or [(0, 0)]
         self.points = {k: at + p for k, p in points}
 
     def body(self, first: int, end: int) -> bytes:
@@ -344,10 +359,10 @@ def decode_frames(bodies: list[bytes], spans: list[tuple[int, int]]) -> list[byt
     bits = Bits(data)
     at = (start + lead) * 8
     kind = bits.take(at, 8) >> 1
-    linear, fixed = kind >= 32, (kind >= 8) & (kind <= 12)
-    if not (linear | fixed).all():
+    linear, fixed, plain = kind >= 32, (kind >= 8) & (kind <= 12), kind == 1
+    if not (linear | fixed | plain).all():
         raise ValueError("a kind of subframe that this decoder doesn't read")
-    order = np.where(linear, (kind & 31) + 1, kind & 7)
+    order = np.where(plain, BLOCK, np.where(linear, (kind & 31) + 1, kind & 7))
     at = at + 8
     x = np.zeros((BLOCK, len(start)), np.int64)
     wide = lambda v, n: v - ((v >> (n - 1)) << n)
@@ -365,10 +380,10 @@ def decode_frames(bodies: list[bytes], spans: list[tuple[int, int]]) -> list[byt
             own = order[rows] > i
             coef[i, rows[own]] = wide(bits.take(at[rows[own]], n[own]), n[own])
             at[rows[own]] += n[own]
-    if bits.take(at, 6).any():
+    if bits.take(at, 6)[~plain].any():
         raise ValueError("Rice partitions are not read")
     k = bits.take(at + 2 + 4, 4)
-    at = at + 10
+    at = np.where(plain, at, at + 10)
     for i in range(BLOCK):
         whole = i >= 2 or not (order > i).any()
         rows = slice(None) if whole and i >= int(order.max(initial=0)) else np.flatnonzero(order <= i)

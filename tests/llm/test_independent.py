@@ -192,7 +192,8 @@ def test_checksums_of_the_usual_text():
 def test_streams_by_another_decoder():
     """What the plain decoder makes of streams is what this module makes of them, sample by sample, and equal samples come from equal bytes alone."""
     r = random.Random(6)
-    texts = ["", "a", "The quick brown fox. " * 40, "Größe und Übermut " * 30, "天地玄黄" * 90, bytes(r.randrange(1, 128) for _ in range(900)).decode(), "e" * 500, "\x00\x7f" * 300]
+    wild = ["".join(chr(r.randrange(low, high)) for _ in range(3000)) for low, high in ((0x4E00, 0x9FA5), (1, 0x2000), (0x410, 0x450))]
+    texts = [*wild, "", "a", "The quick brown fox. " * 40, "Größe und Übermut " * 30, "天地玄黄" * 90, bytes(r.randrange(1, 128) for _ in range(900)).decode(), "e" * 500, "\x00\x7f" * 300]
     payloads = [flac.payload(t)[0] for t in texts]
     streams = flac.encode(payloads)
     assert flac.decode(streams) == payloads
@@ -200,6 +201,7 @@ def test_streams_by_another_decoder():
     for own, stream in zip(payloads, streams, strict=True):
         pcm = plain_decoder(stream)
         assert len(pcm) == len(own)
+        assert len(stream) <= 1.06 * len(own) + 42 + 9 + 22 * (1 + len(own) // (flac.BLOCK * flac.SEEK_FRAMES))
         for a, b in zip(own, pcm, strict=True):
             assert of.setdefault(a, b) == b
     assert len(set(of.values())) == len(of)

@@ -166,17 +166,35 @@ def numbers(items: list[tuple[int, bool, int | None]]) -> list[tuple[int, int |
     return out
 
 
-def list_numbers(df: DataFrame, keys: list[str], order: str, level: str, ordered: str, start: str) -> DataFrame:
-    """df with list_no and number of each item, as ``numbers`` says; a shape's items are one group."""
-    import pandas as pd
+def list_numbers(df: DataFrame, keys: list[str], order: str, level: str, ordered: str, start: str, deepest: int | None = None) -> DataFrame:
+    """df with list_no and number of each item, as ``numbers`` says, by windows.
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order)
-        got = numbers([(int(n), bool(o), None if pd.isna(s) else int(s)) for n, o, s in zip(own[level], own[ordered], own[start], strict=True)])
-        return own.assign(list_no=[a for a, _ in got], number=pd.array([b for _, b in got], dtype="Int32"))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", list_no int, number int"
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    An item goes on with the list of the item before it of its level, unless a shallower one came between, or one of the two
+    is ordered and the other isn't. In such a run an explicit start is the item's number whether or not it was expected, so
+    numbers count from the last start, or from 1; a start that isn't the number before plus one opens a new list. Levels
+    count from 0 to ``deepest`` (asked of df where it isn't given).
+    """
+    deepest = deepest if deepest is not None else df.agg(F.max(level)).first()[0] or 0
+    rows = Window.partitionBy(*keys).orderBy(order)
+    before, same = rows.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys, level).orderBy(order)
+    out = df.withColumn("_at", F.row_number().over(rows))
+    shallower = F.lit(None).cast("int")
+    for k in range(1, deepest + 1):  # one window for all levels
+        shallower = F.when(F.col(level) == k, F.max(F.when(F.col(level) < k, F.col("_at"))).over(before)).otherwise(shallower)
+    out = out.withColumn("_over", shallower).withColumn("_last", F.lag("_at").over(same)).withColumn("_kind", F.lag(ordered).over(same))
+    goes_on = F.col("_last").isNotNull() & (F.coalesce("_over", F.lit(0)) < F.col("_last")) & (F.col("_kind") == F.col(ordered))
+    out = out.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy(*keys, level, "_run").orderBy(order)
+    out = out.withColumn("_n", F.row_number().over(run))
+    # an explicit start, or the run's first item, is where counting begins
+    begins = F.when(F.col(start).isNotNull() & F.col(ordered) | (F.col("_n") == 1), F.coalesce(start, F.lit(1)) - F.col("_n"))
+    out = out.withColumn("_number", F.col("_n") + F.last(begins, ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    jumps = F.col(ordered) & F.col(start).isNotNull() & (F.col(start) != F.lag("_number").over(run) + 1)
+    out = out.withColumn("_new", F.when((F.col("_n") == 1) | jumps, 1).otherwise(0))
+    number = F.when(F.col(ordered), F.col("_number")).cast("int").alias("number")
+    opened = F.when(F.col("_new") == 1, F.sum("_new").over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.withColumn("_opened", opened)
+    return out.select(*df.columns, F.last("_opened", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int").alias("list_no"), number)
 
 
 def heading_lists(df: DataFrame, doc: list[str], order: str, num: str, level: str, is_text: str) -> DataFrame:

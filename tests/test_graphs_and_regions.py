@@ -257,3 +257,14 @@ def test_dense_series_of_any_length(spark):
     df = spark.sql("SELECT map_from_arrays(sequence(0, 299999), transform(sequence(0, 299999), i -> cast(i AS string))) AS m UNION ALL SELECT map(3, 'd', 1, 'b', 4, null) UNION ALL SELECT map_from_arrays(cast(array() AS array<int>), cast(array() AS array<string>))")
     got = [r.d for r in df.select(tables.dense(F.col("m")).alias("d")).collect()]
     assert len(got[0]) == 300_000 and got[0][123_456] == "123456" and got[1:] == [["", "b", "", "d", ""], []]
+
+
+def test_list_numbers_by_windows(spark):
+    from sheafspark.operators import sequences
+
+    r = random.Random(12)
+    own = {d: [(r.choice([0, 0, 1, 1, 2, 3]), r.random() < 0.75, r.choice([None, None, None, 1, 2, 3, 7])) for _ in range(n)] for d, n in (("a", 400), ("b", 60), ("c", 1))}
+    df = spark.createDataFrame([(d, i, *x) for d, items in own.items() for i, x in enumerate(items)], "d string, i int, level int, ordered boolean, start int")
+    got = {(x.d, x.i): (x.list_no, x.number) for x in sequences.list_numbers(df, ["d"], "i", "level", "ordered", "start").collect()}
+    assert got == {(d, i): x for d, items in own.items() for i, x in enumerate(sequences.numbers(items))}
+    assert sequences.list_numbers(df.limit(0), ["d"], "i", "level", "ordered", "start").collect() == []

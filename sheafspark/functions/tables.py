@@ -73,9 +73,11 @@ def chart_html(headers: Column, columns: Column) -> Column:
 def dense(points: Column) -> Column:
     """An array from a map of index (from 0) to text, gaps and nulls empty; of any length, in one pass over the sorted points."""
     own = F.array_sort(F.map_entries(points))
-    before = lambda i: F.coalesce(F.get(own, i - 1)["key"], F.lit(-1))
-    gap = lambda x, i: F.array_repeat(F.lit(""), (x["key"] - before(i) - 1).cast("int"))
-    return F.flatten(F.transform(own, lambda x, i: F.concat(gap(x, i), F.array(F.coalesce(x["value"], F.lit(""))))))
+    keys = F.array_sort(F.map_keys(points))
+    before = F.concat(F.array(F.lit(-1)), F.slice(keys, 1, F.size(keys) - 1))  # the index before each point's
+    gap = lambda z: F.array_repeat(F.lit(""), (z["x"]["key"] - z["b"] - 1).cast("int"))
+    filled = F.flatten(F.transform(F.arrays_zip(own.alias("x"), before.alias("b")), lambda z: F.concat(gap(z), F.array(F.coalesce(z["x"]["value"], F.lit(""))))))
+    return F.when(F.size(points) > 0, filled).otherwise(F.array().cast("array<string>"))
 
 
 def trim_empty(values: Column) -> Column:

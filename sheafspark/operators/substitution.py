@@ -70,8 +70,8 @@ def split_runs(runs: DataFrame, texts: DataFrame, keys: list[str], order: str, r
     w = Window.partitionBy(*keys).orderBy(order)
     own = runs.withColumn("_end", F.sum(F.length(run)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_start", F.col("_end") - F.length(run))
     plain = plain_parts(F.col(text))
-    sizes = F.transform(plain, lambda p: F.length(p))
-    cuts = F.transform(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0))), lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n))
+    # running sums of the stretches' lengths, the last left out
+    cuts = F.slice(F.aggregate(plain, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p)))), F.lit(2), F.greatest(F.size(plain) - 1, F.lit(0)))
     whole = runs.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, run))), lambda r: r[run]), "").alias("_all"))
     marks = texts.select(*keys, F.array_distinct(cuts).alias("_cuts"), F.array_join(plain, "").alias("_plain")).join(whole, keys).select(*keys, F.when(F.col("_all") == F.col("_plain"), F.col("_cuts")).alias("_cuts"))
     rows = own.join(marks, keys, "left")

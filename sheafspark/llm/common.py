@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 #: Bytes from which on word_hash leaves a slice to a C function.
 LONG_SLICE = 256
 #: Bytes of text that one step of a vectorised operator looks at together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafspark.functions import geometry as G
 from sheafspark.functions import text as T
-from sheafspark.plans.common import Register, table
+from sheafspark.plans.common import Register, spread, table
 
 register = Register()
 
@@ -98,7 +98,7 @@ def omml_formulas(spark, d) -> DataFrame:
         "bar": _tag("bar", "<m:barPr><m:pos m:val='top'/></m:barPr>", e(n)), "grouped": _tag("groupChr", "<m:groupChrPr><m:chr m:val='⏟'/></m:groupChrPr>", e(n)), "low": _tag("limLow", e(_run("lim")), _tag("lim", _run(F.concat(F.lit("n→"), F.col("p_size").cast("string"))))),
         "upp": _tag("limUpp", e(_run("max")), _tag("lim", n)), "rows": _tag("eqArr", e(_run(F.concat(F.lit("a="), F.col("p_size").cast("string")))), e(_run("b=2"))), "tagged": _tag("eqArr", e(_run(F.concat(F.lit("a="), F.col("p_size").cast("string"), F.lit("#(3)"))))), "symbols": _run("α≤β∞"),
     }
-    return table(spark, d, "part").select("p_partkey", *[texts.latex(F.concat(F.lit(f"<m:oMath {_OMML}>"), x, F.lit("</m:oMath>"))).alias(k) for k, x in made.items()])
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", *[texts.latex(F.concat(F.lit(f"<m:oMath {_OMML}>"), x, F.lit("</m:oMath>"))).alias(k) for k, x in made.items()])
 
 
 @register(r"""SELECT p_partkey, '## ' || p_name || chr(10) || 'x [l](/u%20v) <http://x.y> j' AS heading, '![' || p_name || '](a.png "T")' AS picture, '- ' || p_name || chr(10) || '  - b' || chr(10) || '1. x' || chr(10) || '2. y' AS lists,
@@ -113,7 +113,7 @@ def html_fragments(spark, d) -> DataFrame:
         "lists": F.concat(lit("<ul><li>"), n, lit("<ul><li>b</li></ul></li></ul><ol><li>x</li><li>y</li></ol>")), "quoted": F.concat(lit("<pre>"), n, lit("</pre><blockquote>q</blockquote><hr><code>z</code>")),
         "grid": F.concat(lit("<table><tr><th>a</th><th>b</th></tr><tr><td>"), n, lit("</td><td>2</td></tr></table>")), "marks": F.concat(lit("<p><em>"), n, lit("</em> <strong>s</strong> <b>b</b> <i>i</i></p>")),
     }
-    return table(spark, d, "part").select("p_partkey", *[html.markdown(x).alias(k) for k, x in made.items()])
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", *[html.markdown(x).alias(k) for k, x in made.items()])
 
 
 @register(r"""SELECT p_partkey, '<table><tr><td colspan="2">' || p_name || '</td><td><a href="http://x">l</a><a>j</a></td></tr></table>' AS cleaned, '<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td colspan="2">' || p_name || '</td></tr></table>' AS even FROM part""")

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.functions import markup
+from sheafspark.operators import batches
 
 
 @F.pandas_udf("string")
 def markdown(source: pd.Series) -> pd.Series:
-    return source.map(markup.to_markdown)
+    return batches.each_once(source, markup.to_markdown).fillna("")
 
 
 @F.pandas_udf("string")
@@ -21,4 +22,4 @@ def title(source: pd.Series) -> pd.Series:
 
 def read(pages: DataFrame, key: str, column: str) -> DataFrame:
     """key, page_id (1) and content of each page. Null and empty pages are empty."""
-    return pages.select(key, F.lit(1).alias("page_no"), markdown(F.col(column)).alias("content"))
+    return batches.by_slices(pages.withColumn("page_no", F.lit(1)), [key, "page_no"], column, lambda x: (markup.to_markdown(x),), "content string")

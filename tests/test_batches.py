@@ -48,3 +48,20 @@ def test_values_become_objects_a_slice_at_a_time(spark):
     many = spark.range(4000).selectExpr("id AS k", "encode(repeat('x', 1000), 'UTF-8') AS raw").coalesce(1)
     most = batches.by_slices(many, ["k"], "raw", held, "most int").agg({"most": "max"}).first()[0]
     assert 0 < most <= batches.SLICE_BYTES // 1000 + 1
+
+
+def test_tables_are_aligned_without_a_call_for_each_document(spark):
+    from sheafspark.operators import alignment
+
+    schema = "d long, o long, t string, r int, c int, m int"
+    wanted = [(d, o, t, 1, 2, 0) for d in (1, 2, None) for o, t in ((3, "a b"), (1, ""), (2, "abc"))]
+    there = [(d, o, t, r, 2, 0) for d in (1, None, 9) for o, t, r in ((1, "", 1), (2, "x", 1), (3, "ab", 1), (4, "a", 7))]
+    df = alignment.aligned(spark.createDataFrame(wanted, schema), spark.createDataFrame(there, schema).selectExpr("*", "o * 10 AS k"), ["d"], "o", "t", "r", "c", "m", "k")
+    got = sorted(map(tuple, df.collect()), key=repr)
+    assert got == sorted([(d, o, k) for d, ks in ((1, (10, 30, 40)), (2, (None,) * 3), (None, (10, 30, 40))) for o, k in zip((1, 2, 3), ks, strict=True)], key=repr)
+    assert "CoGroup" not in df._jdf.queryExecution().toString()
+
+
+def test_runs_are_cut_without_carrying_their_text(spark):
+    plan = catalog.queries()["run_splits"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0," not in plan

@@ -49,3 +49,13 @@ def test_a_model_of_given_texts():
     for name in ("utf-8", "utf-16-le", "utf-16-be", "latin-1"):
         part = [t for t in rows[1::2] if encodings._fits(t, name)]
         assert sum(encodings.decoded(t.encode(name), model)[0] == t for t in part) >= 0.99 * len(part) > 50
+
+
+def test_short_texts_with_accents():
+    """One or two words of Latin-1, where few pairs speak for it; words of Cyrillic and Han still come back."""
+    for text in ("Ré.", "Éch.", "Éé.", "Ñ.", "Ó.", "Éçé.", "chö.", "Óll.", "Ungß", "Öu.", "Äpf.", "Für é.", "Ñ é.", "Schö ç.", "É é."):
+        for name in ("utf-8", "utf-16-le", "utf-16-be", "latin-1"):
+            assert encodings.decoded(text.encode(name)) == (text, name), (text, name)
+    for text, names in (("Привет", ("windows-1251", "koi8-r")), ("слово", ("windows-1251", "koi8-r")), ("中国", ("gb18030",)), ("日本語", ("shift_jis",))):
+        for name in names:
+            assert encodings.decoded(text.encode(name)) == (text, name), (text, name)

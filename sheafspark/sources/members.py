@@ -2,7 +2,8 @@
 
 The driver lists files and deals them to splits by size alone: small packages share a
 split, a large one is dealt to several, each of which takes the members that begin in
-its stretch of bytes. Tasks read central directories; a member's bytes are read where
+its stretch of bytes. Tasks read central directories, so a stretch is as long as its
+package's directory at least, whose size the driver asks of a large package; a member's bytes are read where
 the schema asks for ``content`` and the filters let the member through, so give a
 schema of the columns you need. Filters on path, name, suffix and size are taken by the
 reader. Paths are those that ``pyarrow.fs`` opens (file, S3, GCS, HDFS).
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -32,6 +34,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "path string, name string, suffix string, size_bytes long, packed_bytes long, crc32 long, content binary, error string"
 #: Bytes of a split, what a file counts at least, and bytes of a batch.
 SPLIT_BYTES, FILE_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 8 << 20
+#: Bytes at a package's end in which the records about its directory are, a longest comment included.
+END_BYTES = (1 << 16) + 256
 #: Columns that are known before a member is opened.
 LISTED = ("path", "name", "suffix", "size_bytes", "packed_bytes", "crc32")
 
@@ -60,12 +64,27 @@ class Split(InputPartition):
     stretches: list[tuple[str, int, int]]
 
 
-def splits(files: Iterable[tuple[str, int]], most: int = SPLIT_BYTES) -> list[Split]:
-    """A file over ``most`` bytes in as many stretches as it takes, smaller ones together, each counting FILE_BYTES at least."""
+def directory_bytes(path: str, size: int) -> int:
+    """Size of a package's central directory, by the record at its end; 0 where there is none."""
+    try:
+        store, at = open_store(path)
+        with store.open_input_file(at) as raw:
+            raw.seek(max(0, size - END_BYTES))
+            tail = raw.read()
+        end = tail.rfind(b"PK\5\6")
+        n = struct.unpack_from("<I", tail, end + 12)[0] if end >= 0 else 0
+        # a large directory's size is in a record before that
+        return n if n < 0xFFFFFFFF else struct.unpack_from("<Q", tail, tail.rindex(b"PK\6\6", 0, end) + 40)[0]
+    except (OSError, ValueError, struct.error):
+        return 0
+
+
+def splits(files: Iterable[tuple[str, int]], most: int = SPLIT_BYTES, directory: Callable[[str, int], int] = lambda path, size: 0) -> list[Split]:
+    """A file over ``most`` bytes in as many stretches as it takes, none shorter than its directory, which every stretch's task reads: what is read of directories then grows with the file, not with its square. Smaller ones together, each counting FILE_BYTES at least."""
     out, part, size = [], [], 0
     for path, n in files:
         if n > most:
-            parts = -(-n // most)
+            parts = -(-n // max(most, directory(path, n)))
             out += [Split([(path, n * k // parts, n * (k + 1) // parts)]) for k in range(parts)]
             continue
         if part and size + max(n, FILE_BYTES) > most:
@@ -160,7 +179,7 @@ class Reader(_Reading, DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Split]:
-        return splits(((p, n) for p, n, _ in listed(self.path, self.ends)), self.split_bytes)
+        return splits(((p, n) for p, n, _ in listed(self.path, self.ends)), self.split_bytes, directory_bytes)
 
 
 class StreamReader(_Reading, DataSourceStreamReader):
@@ -179,7 +198,7 @@ class StreamReader(_Reading, DataSourceStreamReader):
             begun = time > start["time"] or (time == start["time"] and path not in start["paths"])
             return begun and (time < end["time"] or (time == end["time"] and path in end["paths"]))
 
-        return splits(((p, n) for p, n, t in listed(self.path, self.ends) if between(p, t)), self.split_bytes)
+        return splits(((p, n) for p, n, t in listed(self.path, self.ends) if between(p, t)), self.split_bytes, directory_bytes)
 
 
 @dataclass

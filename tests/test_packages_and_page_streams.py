@@ -63,6 +63,27 @@ def test_splits():
     assert [len(s.stretches) for s in many] == [64, 64, 2]
 
 
+def test_directories_that_splits_read_grow_with_a_package(spark, tmp_path):
+    """Every split of a package reads its directory: together about a package's size, however small splits are to be."""
+    members.register(spark)
+    for n in (200, 2000):
+        at = str(tmp_path / f"{n}.zip")
+        with zipfile.ZipFile(at, "w") as z:
+            z.comment = b"c" * 5000
+            for k in range(n):
+                z.writestr(f"m{k}", f"{k}" * 20)
+        size = os.path.getsize(at)
+        with zipfile.ZipFile(at) as z:
+            own = size - z.start_dir - 22 - 5000
+        assert members.directory_bytes(at, size) == own
+        found = spark.read.format("members").option("splitBytes", 1000).load(at)
+        parts = found.rdd.getNumPartitions()
+        assert 1 < parts and (parts - 1) * own < size
+        assert {r.name: bytes(r.content) for r in found.select("name", "content").collect()} == {f"m{k}": (f"{k}" * 20).encode() for k in range(n)}
+    (tmp_path / "no.zip").write_bytes(b"x" * 90_000)
+    assert members.directory_bytes(str(tmp_path / "no.zip"), 90_000) == 0 == members.directory_bytes(str(tmp_path / "gone.zip"), 5)
+
+
 def test_written_packages_come_back(spark, tmp_path):
     members.register(spark)
     at = str(tmp_path / "out")

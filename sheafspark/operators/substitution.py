@@ -6,6 +6,9 @@ line is a formula. All of it is column expressions and joins.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 EQUATION = ("<eq>", "</eq>")
 #: Stands between the parts of a text while it is cut; no text of Unicode has it.
 _CUT = "\uffff"
+#: References to one uri that meet its text in one task, about.
+REFERENCES = 100_000
 _FORMULA = f"({EQUATION[0]}[^\\n]*?{EQUATION[1]})"
 
 
@@ -85,16 +90,22 @@ def split_runs(runs: DataFrame, texts: DataFrame, keys: list[str], order: str, r
 def replace_pictures(contents: DataFrame, found: DataFrame, keys: list[str], content: str, uri: str, text: str) -> DataFrame:
     """contents with each picture reference that ``found`` (uri and text) knows replaced by its text, a null one by nothing; others stay.
 
-    A content is cut at its references; each distinct uri meets ``found`` once, and pieces go back by their place, so
-    what a text brings in is never searched again. ``found`` has a row for each uri; of several the greatest text counts.
+    What a text brings in is never searched again. ``found`` has a row for each uri; of several the greatest text counts.
+    Only a content's distinct references meet ``found``, those of a uri with many contents in parts of about REFERENCES; what
+    they lead to comes back as a map of the content, in which each of its references is looked up (along the map: a content's
+    references times its distinct ones).
     """
     mark = r"(!\[\]\([^()\s]*\))"
     pieces = F.split(F.regexp_replace(content, mark, f"{_CUT}$1{_CUT}"), _CUT)
-    rows = contents.select(*keys, F.posexplode_outer(pieces).alias("_i", "_p"))
-    rows = rows.withColumn("_uri", F.when(F.col("_i") % 2 == 1, F.substring("_p", F.lit(5), F.length("_p") - 5)))
-    asked = rows.filter("_uri is not null").select("_uri").distinct()
-    known = asked.join(found.groupBy(F.col(uri).alias("_uri")).agg(F.max(text).alias("_t")), "_uri").select("_uri", F.coalesce("_t", F.lit("")).alias("_t"))
-    rows = rows.join(known, "_uri", "left").withColumn("_p", F.coalesce("_t", "_p"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"]), "")
-    whole = rows.groupBy(*keys).agg(F.when(F.max("_i").isNotNull(), joined).alias(content))
-    return contents.drop(content).join(whole, keys)
+    uri_of = lambda p: F.substring(p, F.lit(5), F.length(p) - 5)
+    own = F.array_distinct(F.transform(F.filter(pieces, lambda _, i: i % 2 == 1), uri_of))
+    asked = contents.select(*keys, F.explode(own).alias("_uri"))
+    parts_of = asked.groupBy("_uri").agg(F.ceil(F.count("*") / REFERENCES).alias("_parts"))
+    known = parts_of.join(found.groupBy(F.col(uri).alias("_uri")).agg(F.max(text).alias("_t")), "_uri").select("_uri", F.coalesce("_t", F.lit("")).alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    # uris in several parts are few: each has REFERENCES of the rows
+    part = F.coalesce(F.pmod(F.xxhash64(*keys), F.col("_parts")), F.lit(0))
+    asked = asked.join(F.broadcast(parts_of.filter("_parts > 1")), "_uri", "left").select(*keys, "_uri", part.alias("_part"))
+    texts = asked.join(known, ["_uri", "_part"]).groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.map_from_entries(F.collect_set(F.struct("_uri", "_t"))).alias("_texts"))
+    same = reduce(and_, [F.equal_null(F.col(k), F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    put = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at("_texts", uri_of(p)), p)).otherwise(p))
+    return contents.join(texts, same, "left").select(*keys, *[c for c in contents.columns if c not in (*keys, content)], F.array_join(put, "").alias(content))

@@ -208,6 +208,18 @@ def test_pictures_replaced_by_their_texts(spark):
     assert got == {1: "x A y  A", 2: "A", 3: None, 4: "", 5: "![](aa) ![x](a)"}
 
 
+def test_pictures_of_many_contents(spark, monkeypatch):
+    """Pieces without a picture meet nothing, a uri's references are dealt to several tasks, and rows without a key stay."""
+    monkeypatch.setattr(substitution, "REFERENCES", 50)
+    rows = [(k if k % 10 else None, f"{k} ![](hot) ![](n{k % 7}) ![](hot) w" if k % 3 else f"plain {k}") for k in range(400)]
+    found = spark.createDataFrame([("hot", "H"), ("n1", "![](n2)"), ("n2", None)], "u string, t string")
+    contents = spark.createDataFrame(rows, "k int, c string").repartition(4)
+    got = substitution.replace_pictures(contents, found, ["k"], "c", "u", "t")
+    want = [(k, c.replace("![](hot)", "H").replace("![](n2)", "").replace("![](n1)", "![](n2)")) for k, c in rows]
+    assert sorted(((r.k, r.c) for r in got.filter("k is not null").collect())) == sorted(r for r in want if r[0] is not None)
+    assert sorted(r.c for r in got.filter("k is null").collect()) == sorted(c for k, c in want if k is None)
+
+
 def test_columns_order(spark):
     rows = [((0, 0, 40, 10), "a"), ((60, 0, 99, 10), "b"), ((0, 20, 40, 30), "c"), ((0, 50, 99, 60), "d"), ((0, 70, 40, 80), "e"), ((0, 90, 30, 99), "page 7")]
     df = spark.createDataFrame([(p, i, *map(float, b), t) for p in (1, 2) for i, (b, t) in enumerate(rows) if p == 1 or i == 4], "p int, k int, x1 double, y1 double, x2 double, y2 double, text string")

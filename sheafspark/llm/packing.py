@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from sheafspark.llm.common import Tables, map_arrow
 
 LENGTH, END_ID, OPEN_BINS, PACKER_PIECES = 4096, 1, 1024, 60_000
-#: Words whose ids a worker keeps at most (twice), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Bytes of words and their ids that a worker keeps at most, and of text that it looks at together.
+CACHE_BYTES, CHUNK = 16 << 20, 2 << 20
 
 #: Marks that may end a word and are no letters, digits or apostrophes.
 TAIL = ".,!?;:*%&$#|"
+#: Letters of which a run is one match and which no normal form puts together.
+LETTERS = "".join(c for c in map(chr, range(0x130)) if c.isalpha())
 #: The tokenizer's own end mark.
 MARK = "<|endoftext|>"
 
@@ -44,8 +46,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_k
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+def _taken(blob: np.ndarray, length: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of blob (length has their lengths) that codes names, one after another, and their lengths."""
+    n = length[codes]
+    shift = (np.cumsum(length) - length)[codes] - (np.cumsum(n) - n)
+    return blob[np.repeat(shift, n) + np.arange(n.sum())], n
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes. Words between blanks and line ends are encoded apart, which this tokenizer allows: it drops white space and no match crosses it."""
+    """Ids of texts as little-endian bytes. Words between blanks and line ends are encoded apart, which this tokenizer allows: it drops white space and no match crosses it.
+
+    A run of plain letters is one match and the marks after it are another, so words are taken as such parts. What a worker
+    knows of parts are three arrays: the parts, how many ids each has, and these ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,96 +69,105 @@ class Encoder:
         ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.is_end = ends
         self.mark = self.tokenizer.token_to_id(MARK)
+        self._forget()
         self.plain = not self.check()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+
+    def _forget(self) -> None:
+        self.parts, self.length, self.blob = pa.array([""], pa.string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
 
     def check(self) -> bool:
         """Whether this file's tokenizer drops white space, ends words and keeps its end mark apart."""
         if self.mark is None or not self.is_end.any():
             return False
         try:
-            whole, words = self._ids("a b  word.\nWord 12"), self.encode_words(["a", "b", "word.", "Word", "12"])
+            return self._ids("a b  word.\nWord 12").tobytes() == self._encode_apart(["a b  word.\nWord 12"])[0]
         except ValueError:
             return False
-        return whole.tobytes() == b"".join(words.values())
-
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word. A run of plain letters is one match, so many go through the library as one text of blanks
-        between and end where a token ends a word; marks after it are a match of their own. Other words are encoded apart."""
-        out, split, cores, apart = {}, [], {}, {}
-        for w in words:
-            core = w.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
-                cores[core], tail = None, w[len(core) :]
-                if tail:
-                    apart[tail] = None
-                split.append((w, core, tail))
-            else:
-                apart[w] = None
-                split.append((w, w, ""))
-        todo = list(cores)
-        for at in range(0, len(todo), 4000):
-            own = todo[at : at + 4000]
-            ids = self._ids(" ".join(own))
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(own):
-                raise ValueError("the tokenizer file doesn't mark the ends of words")
-            raw, a = ids.tobytes(), 0
-            for w, e in zip(own, ends.tolist(), strict=True):
-                cores[w] = raw[4 * a : 4 * e]
-                a = e
-        todo = [w for w in apart if "<|" not in w]
-        for w in apart:
-            if "<|" in w:
-                apart[w] = self._ids(w).tobytes()
-        for at in range(0, len(todo), 4000):
-            own = todo[at : at + 4000]
-            ids = self._ids(MARK.join(own) + MARK)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(own):
-                raise ValueError("the tokenizer file doesn't keep its end mark apart")
-            raw, a = ids.tobytes(), 0
-            for w, e in zip(own, ends.tolist(), strict=True):
-                apart[w] = raw[4 * a : 4 * e]
-                a = e + 1
-        for w, core, tail in split:
-            out[w] = cores[core] + apart[tail] if tail else cores[core] if core in cores else apart[core]
-        return out
+        finally:
+            self._forget()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has, and the ids. Runs of letters go through the library as one text of blanks between
+        and end where a token ends a word; others are put between end marks, or go alone where they may hold one."""
+        letters = np.asarray(pc.equal(pc.utf8_ltrim(parts, LETTERS), ""))
+        length, own = np.zeros(len(parts), np.int64), []
+        order = [np.flatnonzero(letters), np.flatnonzero(~letters)]
+        for kind, rows in enumerate(order):
+            words = parts.take(pa.array(rows)).to_pylist()
+            for at in range(0, len(words), 4000):
+                some, here = words[at : at + 4000], rows[at : at + 4000]
+                if kind == 0:
+                    ids = self._ids(" ".join(some))
+                    ends = np.flatnonzero(self.is_end[ids]) + 1
+                    if len(ends) != len(some):
+                        raise ValueError("the tokenizer file doesn't mark the ends of words")
+                    length[here] = np.diff(ends, prepend=0)
+                elif any("<|" in w for w in some):
+                    each = [self._ids(w) for w in some]
+                    length[here], ids = list(map(len, each)), np.concatenate(each)
+                else:
+                    ids = self._ids(MARK.join(some) + MARK)
+                    ends = np.flatnonzero(ids == self.mark)
+                    if len(ends) != len(some):
+                        raise ValueError("the tokenizer file doesn't keep its end mark apart")
+                    length[here], ids = np.diff(ends, prepend=-1) - 1, ids[ids != self.mark]
+                own.append(ids)
+        order = np.concatenate(order)
+        blob, _ = _taken(np.concatenate(own), length[order], np.argsort(order))
+        return length, blob
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             try:
                 return self._encode_apart(texts)
             except ValueError:
-                self.plain, self.young, self.old = True, {}, {}
+                self.plain = True
+                self._forget()
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_apart(self, texts: list[str]) -> list[bytes]:
-        words: list[str] = []
-        ends = []
-        for t in texts:
-            words += self.lower(t).replace("\n", " ").split(" ")
-            ends.append(len(words))
-        young, old = self.young, self.old
-        got = list(map(young.get, words))
-        missing = [i for i, g in enumerate(got) if g is None]
-        new = dict.fromkeys([words[i] for i in missing])
-        found = {w: old[w] for w in new if w in old}
-        found |= self.encode_words([w for w in new if w not in found])
-        for i in missing:
-            got[i] = found[words[i]]
-        if len(young) + len(found) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        self.young.update(found if max(map(len, found), default=0) <= CACHE_CHARS else {w: v for w, v in found.items() if len(w) <= CACHE_CHARS})
-        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
+        if not texts:
+            return []
+        rows = pc.split_pattern(pa.array([self.lower(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        words = rows.values.dictionary_encode()
+        distinct = words.dictionary
+        core = pc.utf8_rtrim(distinct, TAIL)
+        split = pc.and_(pc.not_equal(core, ""), pc.equal(pc.utf8_ltrim(core, LETTERS), ""))
+        parts = pa.concat_arrays([pc.if_else(split, core, distinct), pc.if_else(split, pc.utf8_ltrim(distinct, LETTERS), "")]).dictionary_encode()
+        at = self._places(parts.dictionary)
+        blob, n = _taken(self.blob, self.length, at[np.asarray(parts.indices)].reshape(2, -1).T.ravel())
+        blob, n = _taken(blob, n.reshape(-1, 2).sum(1), np.asarray(words.indices))
+        self._keep(at)
+        ends = np.append(0, np.cumsum(n))[np.asarray(rows.offsets)].tolist()
+        return [blob[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where parts (each once) are among those known; new ones are encoded and known from then on."""
+        at = pc.index_in(parts, value_set=self.parts)
+        new = parts.filter(pc.is_null(at))
+        at = np.asarray(at.fill_null(-1)).astype(np.int64)
+        if len(new):
+            length, blob = self._encode_parts(new)
+            at[at < 0] = np.arange(len(new)) + len(self.parts)
+            self.parts, self.length, self.blob = pa.concat_arrays([self.parts, new]), np.append(self.length, length), np.append(self.blob, blob)
+        return at
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Where parts have become many, those at ``at`` alone are kept, and none where these are many."""
+        for last in (False, True):
+            if self.parts.nbytes + self.length.nbytes + self.blob.nbytes <= CACHE_BYTES:
+                return
+            if last:
+                return self._forget()
+            self.blob, self.length = _taken(self.blob, self.length, at)
+            self.parts = self.parts.take(pa.array(at))
 
     @staticmethod
     def lower(text: str) -> str:
-        """text in lower case where every way to do that agrees (Latin-1); the tokenizer does it anyway, but the cache needs fewer words so."""
+        """text in lower case where every way to do that agrees (Latin-1); the tokenizer does it anyway, but fewer words are to be known so."""
         if "<|" in text:  # a special token's name in capitals is ordinary text
             return text
         try:
@@ -174,7 +196,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         return step
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return map_arrow(rows.withColumn("row_key", F.xxhash64("doc_id", "_text")), make, PIECES)
+    return map_arrow(rows.withColumn("row_key", F.xxhash64("doc_id", "_text")), make, PIECES, most_bytes=CHUNK)
 
 
 class Packer:

@@ -160,6 +160,22 @@ def test_packing_encoder():
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_encodes_a_word_once(monkeypatch):
+    """A word with marks after it goes through the library once, whatever the marks; what is forgotten is encoded again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, seen = packing.Encoder(path), []
+    ids = own._ids
+    own._ids = lambda text: seen.append(text) or ids(text)
+    texts = ["house stone", "house, stone!! house. Stone?!", "", "... house... naïve! stone;", "stone's house:\n\nhouse,stone"]
+    got = [own.encode_all([t])[0] for t in texts]
+    assert not [s for s in seen[1:] if "house" in s.split() or "stone" in s.split()]
+    monkeypatch.setattr(packing, "CACHE_BYTES", 60)
+    small = packing.Encoder(path)
+    for _ in range(2):
+        assert [small.encode_all([t])[0] for t in texts] == got == small.encode_all(texts)
+        assert len(small.parts) < 5
+
+
 def test_shingles():
     def plain(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))

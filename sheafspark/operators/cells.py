@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafspark.session import Stored
+
+#: Rows of a group up to which its sets are held against each other in one list.
+FEW_ROWS = 64
+
 
 def chunks(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
     """df with chunk_id: every ``size`` rows of a file, from 1."""
@@ -50,13 +55,34 @@ def blank_runs(rows: DataFrame, keys: list[str], at: str, blank: str) -> DataFra
 def without_subsets(sets: DataFrame, group: str, key: str, column: str) -> DataFrame:
     """sets without those that are a strict subset of another of their group; equal sets stay together.
 
+    Sets are stored, as they are read several times. A group of up to FEW_ROWS rows is one list, whose distinct sets are held
+    against each other; those of larger groups meet by their rarest elements. The empty set is a subset wherever there is
+    another; sets that are null, or of no group, stay.
+    """
+    tables = Stored(sets.sparkSession)
+    own = tables.cut(sets.withColumn("_s", F.array_sort(F.array_distinct(column))))
+    grouped = own.filter(F.col(group).isNotNull())
+    many = tables.cut(grouped.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > FEW_ROWS).select(group))
+    rows = F.collect_list(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(sets.columns)], "_s"))
+    few = grouped.join(many, group, "left_anti").groupBy(group).agg(rows.alias("_rows"))
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731 (x is worked out once, wherever f has it)
+    under = lambda sets: F.filter(sets, lambda a: F.exists(sets, lambda b: (F.size(a) < F.size(b)) & (F.size(F.array_except(a, b)) == 0)))
+    left = once(once(F.array_distinct(F.col("_rows")["_s"]), under), lambda over: F.filter("_rows", lambda r: ~F.coalesce(F.array_contains(over, r["_s"]), F.lit(False))))
+    few = few.select(F.explode(left).alias("_r")).select(*[F.col("_r")[f"_{i}"].alias(c) for i, c in enumerate(sets.columns)])
+    rest = _without_subsets(own.join(many, group, "left_semi"), group).select(*sets.columns)
+    return few.union(rest).union(own.filter(F.col(group).isNull()).select(*sets.columns))
+
+
+def _without_subsets(sets: DataFrame, group: str) -> DataFrame:
+    """without_subsets for groups of any size; ``_s`` has the sets.
+
     Equal sets of a group meet as one, which goes by a number of 128 bits. A set meets only the larger ones that have its
-    rarest element (of its group), by their numbers; the sets themselves come to such pairs alone. The empty set is a subset
-    wherever there is another.
+    rarest element (of its group), by their numbers; the sets themselves come to such pairs alone.
     """
-    rows = sets.withColumn("_s", F.array_sort(F.array_distinct(column))).withColumn("_id", F.struct(F.xxhash64("_s").alias("a"), F.xxhash64(F.lit(1), "_s").alias("b")))
+    size = F.size("_s")  # a null element is nothing to a hash
+    rows = sets.withColumn("_id", F.struct(F.xxhash64("_s", size).alias("a"), F.xxhash64(F.lit(1), "_s", size).alias("b")))
     distinct = rows.groupBy(group, "_id").agg(F.first("_s").alias("_s"))
-    each = distinct.select(group, "_id", F.size("_s").alias("_size"), F.explode("_s").alias("_e"))
+    each = distinct.select(group, "_id", F.size("_s").alias("_size"), F.explode("_s").alias("_e")).withColumn("_e", F.struct("_e"))
     rarity = each.groupBy(group, "_e").agg(F.count("*").alias("_n"))
     rarest = each.join(rarity, [group, "_e"]).groupBy(group, "_id", "_size").agg(F.min(F.struct("_n", "_e"))["_e"].alias("_e"))
     larger = each.select(group, F.col("_id").alias("_other"), F.col("_size").alias("_more"), "_e")
@@ -65,7 +91,7 @@ def without_subsets(sets: DataFrame, group: str, key: str, column: str) -> DataF
     over = pairs.filter(F.size(F.array_except("_s", "_o")) == 0).select(group, "_id")
     full = distinct.filter(F.size("_s") > 0).select(group).distinct()
     empty = distinct.filter(F.size("_s") == 0).join(full, group).select(group, "_id")
-    return rows.join(over.union(empty).distinct(), [group, "_id"], "left_anti").select(*sets.columns)
+    return rows.join(over.union(empty).distinct(), [group, "_id"], "left_anti")
 
 
 def table_bounds(cells: set[tuple[int, int]], gap: int = 0) -> list[tuple[int, int, int, int]]:

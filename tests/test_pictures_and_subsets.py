@@ -39,3 +39,24 @@ def test_subsets_against_all_pairs(spark):
     got = cells.without_subsets(df, "g", "k", "s")
     want = {(g, k) for g, k, s in sets if not any(h == g and set(s) < set(o) for h, _, o in sets)}
     assert got.columns == ["g", "k", "s"] and {(x.g, x.k) for x in got.collect()} == want
+
+
+def test_subsets_of_groups_small_and_large(spark, monkeypatch):
+    """Groups on both sides of the row limit, nulls as groups, sets and elements; the sets are worked out once."""
+    r = random.Random(6)
+    for few in (cells.FEW_ROWS, 5, 0):
+        monkeypatch.setattr(cells, "FEW_ROWS", few)
+        sets = [(g, i, [None if x == 9 else x for x in r.sample(range(10), r.randint(0, 5))]) for g, n in ((1, 5), (2, 6), (3, 90), (4, 64)) for i in range(n)]
+        sets += [(5, 1, [None]), (5, 2, [None, 1]), (5, 3, None), (5, 4, []), (6, 1, None), (6, 2, []), (None, 1, [1]), (None, 2, [1, 2]), (7, 1, [])]
+        made = spark.sparkContext.accumulator(0)
+
+        def as_it_is(x, made=made):
+            made.add(1)
+            return x
+
+        df = spark.createDataFrame(sets, "g int, k int, s array<int>").select("g", "k", F.udf(as_it_is, "array<int>")("s").alias("s"))
+        got = cells.without_subsets(df, "g", "k", "s").collect()
+        under = lambda s, o: s is not None and o is not None and set(s) < set(o)
+        want = [(g, k, s) for g, k, s in sets if g is None or not any(h == g and under(s, o) for h, _, o in sets)]
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+        assert made.value == len(sets)

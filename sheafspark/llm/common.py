@@ -126,11 +126,12 @@ def sampled(df: DataFrame, key: list[str], rows: int, by: str | None = None, lea
         n = counts.agg(F.sum("_n")).first()[0] or 0
         base = min(1.0, rows / max(1, n))
         rare = counts.filter(F.col("_n") * base < least).orderBy(F.desc("_n"), by).limit(STRATA).collect() if base < 1 else []
-    share = F.lit(base)
-    for r in rare:
-        share = F.when(F.col(by).eqNullSafe(F.lit(r[0])), F.lit(min(1.0, least / r[1]))).otherwise(share)
     if base >= 1:
         return df
+    share = F  # one CASE of all of them: one inside another would be as deep as they are many
+    for r in rare:
+        share = share.when(F.col(by).eqNullSafe(F.lit(r[0])), F.lit(min(1.0, least / r[1])))
+    share = share.otherwise(base) if rare else F.lit(base)
     draw = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.filter(draw < share)
 

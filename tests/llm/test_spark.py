@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sheafspark.llm import components, flac, jaccard_join, packing, queries, sharding, simhash, toxicity
-from sheafspark.llm.common import Tables
+from sheafspark.llm.common import Tables, sampled
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim".split()
 LONG = " ".join(f"{a}{b}" for a in WORDS for b in WORDS[:3])
@@ -156,3 +156,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = components.components(spark.createDataFrame(edges, "a long, b long"), Tables(spark)).collect()
     assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
+
+
+def test_sample_of_many_rare_values(spark):
+    """A share of its own for each of a thousand rare values: the expression's depth was their number, which overflowed the stack."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("l"), F.col("id") % 1000).alias("l"))
+    assert sampled(rows, ["id"], 10, "l", 5).count() == 4000
